@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, packing, secret_scan, token_files
+from lodestone.llm import exact_dedup, language_id, merge_dropout, packing, secret_scan, token_files, winnowing
 from lodestone.llm.common import shared_dir, table
 
 
@@ -28,5 +28,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_token_files, op6_packing, op10_secret_scan)}
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.digest(merge_dropout.decode_documents(merge_dropout.encode_documents(table(spark, sf_dir, "documents"))))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.learn(docs))
+    return found.select("doc_id", (language_id.remainder() == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_exact_dedup, op4_language_id, op5_token_files, op6_packing, op9_winnowing, op10_secret_scan)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE}
