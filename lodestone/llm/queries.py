@@ -6,10 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, language_id, merge_dropout, packing, secret_scan, token_files, winnowing
+from lodestone.llm import exact_dedup, html_extract, language_id, merge_dropout, packing, secret_scan, token_files, winnowing
 from lodestone.llm.common import shared_dir, table
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_exact_dedup, op4_language_id, op5_token_files, op6_packing, op9_winnowing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_extract, op3_exact_dedup, op4_language_id, op5_token_files, op6_packing, op9_winnowing, op10_secret_scan)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE}

@@ -84,8 +84,8 @@ def _bucket(bounds: list[int]) -> Column:
     return F.when(F.col("doc_id").isNull(), -1).otherwise(found)
 
 
-def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) with next_ of each column: its value in the row of the next smaller doc_id; after the smallest, the largest.
+def with_next(docs: DataFrame, columns: list[str], added: dict[str, Column] | None = None, buckets: int | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) and the added columns, with next_ of each of columns: its value in the row of the next smaller doc_id; after the smallest, the largest.
 
     Rows are dealt by range of doc_id. A copy of each range's first row follows the last row of the
     range before it, so ranges need nothing from each other. Of rows with one id, the
@@ -104,7 +104,8 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
     own = rows.withColumns({"bucket": bucket, "real": F.lit(True)})
     copies = rows.join(F.broadcast(links), F.col("doc_id").eqNullSafe(F.col("head"))).drop("head").withColumnRenamed("to_bucket", "bucket").withColumn("real", F.lit(False))
     order = Window.partitionBy("bucket").orderBy(F.col("real").desc(), F.col("doc_id").desc_nulls_last(), "tie")
-    both = own.unionByName(copies).withColumn("tie", F.xxhash64("text"))
+    # Columns are added after the copies are chosen, so nothing is computed for rows that are not.
+    both = own.unionByName(copies).withColumns({"tie": F.xxhash64("text"), **(added or {})})
     return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("real").drop("real", "tie", "bucket")
 
 
@@ -116,11 +117,10 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     ids give a row each. Other columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.select("doc_id", "text", fingerprint(F.col("text"), k, window).alias("prints"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    both = with_next(docs, ["text", "prints"]).select("doc_id", n.cast("long").alias("n_chars"), "prints", "next_prints", let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e, k, window).alias("prints"))).alias("edited"))
+    both = with_next(docs, ["text", "prints"], {"prints": fingerprint(F.col("text"), k, window)}).select("doc_id", n.cast("long").alias("n_chars"), "prints", "next_prints", let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e, k, window).alias("prints"))).alias("edited"))
     return both.select(
         "doc_id", "n_chars", F.col("edited.sha").alias("edited_sha256"), shown(F.col("prints")).alias("fingerprint"), shown(F.col("edited.prints")).alias("edited_fingerprint"),
         likeness(F.col("prints"), F.col("edited.prints")).alias("near_edited"), likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
