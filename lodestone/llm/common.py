@@ -44,3 +44,21 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A key that holds at least one row in so many is heavy; there can be no more than so many heavy keys.
+HEAVY_SHARE = 1000
+
+
+def heavy_join(df: DataFrame, values: DataFrame, key: str, count: Column, rows: int) -> DataFrame:
+    """df left-joined to values, whose rows are unique by key and tell how many of the rows rows of df hold it.
+
+    The values of heavy keys, at most HEAVY_SHARE rows, are broadcast, so that only rows of
+    keys that are not heavy are shuffled by key. values should be materialized: it is read twice.
+    """
+    own = [c for c in values.columns if c != key]
+    heavy = F.broadcast(values.where(count * HEAVY_SHARE >= rows).withColumn("_heavy", F.lit(True)))
+    light = values.where(count * HEAVY_SHARE < rows)
+    marked = df.join(heavy, key, "left")
+    rest = marked.where(F.col("_heavy").isNull()).drop("_heavy", *own).join(light, key, "left")
+    return marked.where(F.col("_heavy")).drop("_heavy").unionByName(rest)

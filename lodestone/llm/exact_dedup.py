@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm import bloom
+from lodestone.llm.common import heavy_join, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A digest held by at least one row in so many is joined by broadcast: there can be no more such digests.
-HEAVY_SHARE = 1000
 
 
 def normalized(text: Column) -> Column:
@@ -22,18 +21,6 @@ def normalized(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def _positions(bits: int) -> list[Column]:
-    """Two filter positions of a digest, from 1 to bits."""
-    return [F.pmod(F.xxhash64("text_sha256", F.lit(k)), F.lit(bits)) + 1 for k in (1, 2)]
-
-
-def _bit(bitmap: Column, position: Column) -> Column:
-    """Whether the bit of a position is set in its bucket's bitmap; false where there is no bitmap."""
-    at = F.bitmap_bit_position(position)
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
-
-
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
@@ -45,32 +32,20 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """
     digests = materialize(df.select(F.col(id_col).alias("doc_id"), F.sha2(normalized(F.col(text_col)), 256).alias("text_sha256")), "digests")
     rows = digests.count()
-    bits = min(max(1 << 15, 1 << max(1, rows * bits_per_row - 1).bit_length()), max_filter_bytes * 8)
-    spots = _positions(bits)
-
-    position = F.col("position")
-    wanted_twice = digests.select(F.explode(F.array(*spots)).alias("position")).groupBy("position").agg(F.count("*").alias("n")).where("n > 1")
-    bloom = wanted_twice.groupBy(F.bitmap_bucket_number(position).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bitmap"))
-    bloom = materialize(bloom, "bloom")
-
-    probed = digests
-    for k, spot in enumerate(spots):
-        part = F.broadcast(bloom.select(F.col("bucket").alias(f"bucket{k}"), F.col("bitmap").alias(f"bitmap{k}")))
-        probed = probed.join(part, F.bitmap_bucket_number(spot) == F.col(f"bucket{k}"), "left")
-    probed = probed.select("doc_id", "text_sha256", *[_bit(F.col(f"bitmap{k}"), spot).alias(f"hit{k}") for k, spot in enumerate(spots)])
-    possible = F.col("hit0") & F.col("hit1")
+    bits = bloom.size_for(rows, bits_per_row, max_filter_bytes)
+    digest = F.col("text_sha256")
+    wanted = digests.select(F.explode(F.array(*bloom.positions(digest, bits))).alias("position"))
+    twice = wanted.groupBy("position").agg(F.count("*").alias("n")).where("n > 1")
+    probed = bloom.probe(digests, bloom.from_positions(twice, "bloom"), digest, bits, "possible")
+    possible = F.col("possible")
 
     single = probed.where(~possible).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     several = probed.where(possible).select("doc_id", "text_sha256")
     groups = materialize(several.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
 
-    heavy = groups.where(F.col("group_size") * HEAVY_SHARE >= rows).select("text_sha256", F.col("keep_id").alias("heavy_keep"), F.col("group_size").alias("heavy_size"))
-    marked = several.join(F.broadcast(heavy), "text_sha256", "left")
-    hot = marked.where("heavy_size is not null").select("doc_id", F.col("heavy_keep").alias("keep_id"), F.col("heavy_size").alias("group_size"), "text_sha256")
-    rest = marked.where("heavy_size is null").select("doc_id", "text_sha256").join(groups.where(F.col("group_size") * HEAVY_SHARE < rows), "text_sha256", "left")
-    rest = rest.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
-
-    every = single.unionByName(hot).unionByName(rest)
+    found = heavy_join(several, groups, "text_sha256", F.col("group_size"), rows)
+    found = found.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
+    every = single.unionByName(found)
     return every.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
 
