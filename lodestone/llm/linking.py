@@ -31,7 +31,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     for _ in range(most):
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20)).alias("s")).first()
+        mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("s")).first()
         if mark == before or not mark["n"]:
             break
         before, rows = mark, mark["n"]
@@ -60,6 +60,13 @@ def shared_members(rows: DataFrame) -> DataFrame:
     return heavy_join(maybe, keys, "key", F.col("n"), max(1, total["n"])).where("hub is not null")
 
 
+def only(df: DataFrame, items: DataFrame, rows: int, key: str = "item") -> DataFrame:
+    """The rows of df whose key is in items (unique, materialized, so many rows); a Bloom filter keeps most others from the shuffle."""
+    bits = bloom.size_for(max(1, rows), 16, MAX_FILTER_BYTES)
+    maybe = bloom.probe(df, bloom.of_keys(items, key, bits), F.col(key), bits).where("maybe").drop("maybe")
+    return maybe.join(items, key, "left_semi")
+
+
 def _with(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     """pairs (a, b) with the table's columns of both items, suffixed _a and _b.
 
@@ -95,12 +102,12 @@ def link(rows: DataFrame, signatures: DataFrame, limit: int, fetch: Callable[[Da
     spokes = members.where("item <> hub").select("key", F.col("item").alias("a"), F.col("hub").alias("b"), F.col("s0").alias("s0_a"), F.col("s1").alias("s1_a"), "n")
     total = members.count()
     held = heavy_join(spokes, materialize(hub.join(_counts(members, "key"), "key"), "hubs").withColumnRenamed("n", "of_key"), "key", F.col("of_key"), max(1, total))
-    held = materialize(held.select("key", "a", "b", near(limit).alias("near")), "held")
+    held = materialize(held.select("key", "a", "b", "s0_a", "s1_a", near(limit).alias("near")), "held")
     first = materialize(held.where("near").select("a", "b").distinct(), "pairs")
     # Items that are far from their key's hub may be near to others of the key.
-    far = held.where("not near").select("key", F.col("a").alias("item")).join(signatures, "item")
+    far = held.where("not near").select("key", "a", "s0_a", "s1_a")
     other = members.where("n > 2 and item <> hub").select("key", F.col("item").alias("b"), F.col("s0").alias("s0_b"), F.col("s1").alias("s1_b"))
-    apart = far.select("key", F.col("item").alias("a"), F.col("s0").alias("s0_a"), F.col("s1").alias("s1_a")).join(other, "key").where((F.col("a") != F.col("b")) & near(limit)).select(*_ordered("a", "b")).distinct()
+    apart = far.join(other, "key").where((F.col("a") != F.col("b")) & near(limit)).select(*_ordered("a", "b")).distinct()
     apart = materialize(apart, "apart")
     wanted = first.unionByName(apart)
     known = materialize(fetch(materialize(wanted.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "wanted")), "known")
