@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bagminhash, exact_dedup, html_extract, language_id, merge_dropout, packing, secret_scan, token_files, winnowing
+from lodestone.llm import bagminhash, exact_dedup, fuzzy_lines, html_extract, language_id, merge_dropout, packing, secret_scan, token_files, winnowing
 from lodestone.llm.common import shared_dir, table
 
 
@@ -46,9 +46,13 @@ def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_extract, op3_exact_dedup, op4_language_id, op5_token_files, op6_packing, op7_bagminhash, op9_winnowing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_extract, op3_exact_dedup, op4_language_id, op5_token_files, op6_packing, op7_bagminhash, op8_fuzzy_lines, op9_winnowing, op10_secret_scan)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE}
