@@ -50,14 +50,12 @@ def near_classes(docs: dict[int, str | None], threshold: float = 0.8) -> dict[in
 
 
 def normal_line(line: str) -> str:
-    signs = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-    folded = line.lower().translate(str.maketrans({**{c: "0" for c in "0123456789"}, **{c: None for c in signs}}))
-    return re.sub(r"\s+", " ", folded, flags=re.A).strip(" ")
+    return " ".join(re.findall(r"[^\s!-/:-@\[-`{-~]+", line.lower(), flags=re.A))
 
 
 def simhash(norm: str) -> int:
     words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in norm.split(" ")]
-    return sum((sum(w >> b & 1 for w in words) * 2 > len(words)) << b for b in range(63))
+    return sum((sum(w >> b & 1 for w in words) * 2 > len(words)) << b for b in range(64))
 
 
 def distance(a: str, b: str) -> int:
@@ -77,7 +75,7 @@ def line_dedup(docs: list[tuple[int, str | None]]) -> dict[int, str | None]:
             if norm := normal_line(line):
                 where.append((d, n, norm))
                 first.setdefault(norm, (d, n))
-    cuts = [0, 16, 32, 47, 63]
+    cuts = [0, 16, 32, 48, 64]
     marks, holders = {n: simhash(n) for n in first}, defaultdict(list)
     for n, s in marks.items():
         parts = [s >> a & ((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
