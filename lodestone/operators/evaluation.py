@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ANSWERABLE = F.col("expected").isin("answer", "partial_answer")
-VALID = F.col("factual_accuracy") >= 0
+
+def answerable() -> Column:
+    return F.col("expected").isin("answer", "partial_answer")
+
+
+def valid() -> Column:
+    return F.col("factual_accuracy") >= 0
 
 
 def half_mean(c: str, when: Column) -> Column:
@@ -24,23 +29,23 @@ def share(hits: Column, of: Column) -> Column:
 
 def headline() -> list[Column]:
     """The metrics of one group of judged rows; coverage and refusals are shares of all rows, not of valid ones."""
-    n, refused, gold = F.greatest(F.count("*"), F.lit(1)), F.col("is_refusal") == 1, ANSWERABLE & F.col("raw_hit5").isNotNull()
+    n, refused, gold = F.greatest(F.count("*"), F.lit(1)), F.col("is_refusal") == 1, answerable() & F.col("raw_hit5").isNotNull()
     r = lambda c, name, d=4: F.round(c, d).alias(name)
     return [
-        F.count("*").alias("total_questions"), F.count_if(ANSWERABLE).alias("answerable"), F.count_if(F.col("expected") == "refuse").alias("refuse_expected"),
+        F.count("*").alias("total_questions"), F.count_if(answerable()).alias("answerable"), F.count_if(F.col("expected") == "refuse").alias("refuse_expected"),
         r(share(gold & F.col("raw_hit3"), gold), "hit_at_3"), r(share(gold & F.col("raw_hit5"), gold), "hit_at_5"),
-        r(half_mean("factual_accuracy", ANSWERABLE & VALID), "accuracy_answerable"), r(half_mean("factual_accuracy", VALID), "accuracy_all"), r(half_mean("completeness", VALID), "completeness"),
-        r(1 - half_mean("hallucination", VALID), "hallucination_rate"), r(F.count_if(VALID & (F.col("appropriate_behavior") >= 1)) / n, "coverage"), r(F.count_if(refused) / n, "refusal_rate"),
-        r(share(refused & (F.col("expected") == "refuse"), F.col("expected") == "refuse"), "correct_refusal_rate"), r(share(refused & ANSWERABLE, ANSWERABLE), "false_refusal_rate"),
+        r(half_mean("factual_accuracy", answerable() & valid()), "accuracy_answerable"), r(half_mean("factual_accuracy", valid()), "accuracy_all"), r(half_mean("completeness", valid()), "completeness"),
+        r(1 - half_mean("hallucination", valid()), "hallucination_rate"), r(F.count_if(valid() & (F.col("appropriate_behavior") >= 1)) / n, "coverage"), r(F.count_if(refused) / n, "refusal_rate"),
+        r(share(refused & (F.col("expected") == "refuse"), F.col("expected") == "refuse"), "correct_refusal_rate"), r(share(refused & answerable(), answerable()), "false_refusal_rate"),
         F.count_if((F.col("expected") == "refuse") & ~refused).alias("missed_refusal_count"), r(share(gold & F.col("raw_hit5") & (F.col("factual_accuracy") >= 1), gold), "evidence_supported_accuracy"),
     ]
 
 
 def by_type(rows: DataFrame, key: str) -> DataFrame:
-    correct, rated = F.count_if(F.col("appropriate_behavior") >= 2), F.count_if(VALID)
+    correct, rated = F.count_if(F.col("appropriate_behavior") >= 2), F.count_if(valid())
     return rows.groupBy(key).agg(
         F.count("*").alias("total"), correct.alias("correct_behavior"), F.round(correct / F.count("*"), 3).alias("behavior_rate"),
-        F.round(F.coalesce(F.sum(F.when(VALID, F.col("factual_accuracy"))), F.lit(0)) / F.greatest(rated, F.lit(1)) / 2, 3).alias("avg_accuracy"), F.count_if(F.col("factual_accuracy") >= 2).alias("perfect"),
+        F.round(F.coalesce(F.sum(F.when(valid(), F.col("factual_accuracy"))), F.lit(0)) / F.greatest(rated, F.lit(1)) / 2, 3).alias("avg_accuracy"), F.count_if(F.col("factual_accuracy") >= 2).alias("perfect"),
     )
 
 
@@ -58,7 +63,7 @@ def retrieval_hits(found: DataFrame, gold: DataFrame) -> DataFrame:
 def override(rows: DataFrame, refused: Column) -> DataFrame:
     """A judge's verdict corrected by the refusal patterns: a missed refusal is set, a wrong one lifted where an answer was due."""
     said = F.col("is_refusal") == 1
-    lifted = ~refused & said & ANSWERABLE
+    lifted = ~refused & said & answerable()
     behavior = F.when(refused & ~said & (F.col("expected") == "refuse"), F.greatest("appropriate_behavior", F.lit(2))).when(lifted, F.greatest("appropriate_behavior", F.lit(1))).otherwise(F.col("appropriate_behavior"))
     return rows.withColumns({"is_refusal": F.when(refused, 1).when(lifted, 0).otherwise(F.col("is_refusal")), "appropriate_behavior": behavior})
 

@@ -94,27 +94,27 @@ def mean(c: str, name: str) -> str:
 
 @query("mt_overall", f"WITH {JUDGED} SELECT count(*) AS total, count(*) FILTER ({V}) AS valid, round(avg(factual_accuracy) FILTER ({V}), 3) AS accuracy, round(avg(hallucination) FILTER ({V}), 3) AS hallucination, count(*) FILTER (factual_accuracy = 0) AS a0, count(*) FILTER (factual_accuracy = 1) AS a1, count(*) FILTER (factual_accuracy = 2) AS a2 FROM judged")
 def mt_overall(spark, sf_dir):
-    valid = evaluation.VALID
+    valid = evaluation.valid()
     f = F.col("factual_accuracy")
     return judged(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(valid).alias("valid"), F.round(F.avg(F.when(valid, f)), 3).alias("accuracy"), F.round(F.avg(F.when(valid, F.col("hallucination"))), 3).alias("hallucination"), *[F.count_if(f == i).alias(f"a{i}") for i in range(3)])
 
 
 @query("mt_by_turn", f"WITH {JUDGED} SELECT turn, count(*) AS n, {mean('factual_accuracy', 'accuracy')}, {mean('completeness', 'completeness')}, {mean('hallucination', 'hallucination')} FROM judged WHERE {V} GROUP BY turn")
 def mt_by_turn(spark, sf_dir):
-    rows = judged(spark, sf_dir).where(evaluation.VALID)
+    rows = judged(spark, sf_dir).where(evaluation.valid())
     return rows.groupBy("turn").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 3).alias(n) for c, n in (("factual_accuracy", "accuracy"), ("completeness", "completeness"), ("hallucination", "hallucination"))])
 
 
 @query("mt_by_chain", f"WITH {JUDGED} SELECT chain, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS questions, {mean('factual_accuracy', 'accuracy')} FROM judged WHERE {V} AND doc_id < 100 GROUP BY chain")
 def mt_by_chain(spark, sf_dir):
-    rows = judged(spark, sf_dir).where(evaluation.VALID & (F.col("doc_id") < 100))
+    rows = judged(spark, sf_dir).where(evaluation.valid() & (F.col("doc_id") < 100))
     return rows.groupBy("chain").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("questions"), F.round(F.avg("factual_accuracy"), 3).alias("accuracy"))
 
 
 @query("mt_coref", f"WITH {JUDGED} SELECT count(*) AS follow_ups, count(*) FILTER (resolved) AS triggered, round(count(*) FILTER (resolved) / count(*), 3) AS rate, round(avg(factual_accuracy) FILTER (resolved AND {V}), 3) AS resolved_accuracy FROM judged WHERE turn > 1")
 def mt_coref(spark, sf_dir):
     rows = judged(spark, sf_dir).where("turn > 1")
-    return rows.agg(F.count("*").alias("follow_ups"), F.count_if("resolved").alias("triggered"), F.round(F.count_if("resolved") / F.count("*"), 3).alias("rate"), F.round(F.avg(F.when(F.col("resolved") & evaluation.VALID, F.col("factual_accuracy"))), 3).alias("resolved_accuracy"))
+    return rows.agg(F.count("*").alias("follow_ups"), F.count_if("resolved").alias("triggered"), F.round(F.count_if("resolved") / F.count("*"), 3).alias("rate"), F.round(F.avg(F.when(F.col("resolved") & evaluation.valid(), F.col("factual_accuracy"))), 3).alias("resolved_accuracy"))
 
 
 @query("mt_latency", f"WITH {JUDGED} SELECT round(avg(seconds), 2) AS avg_s, round(max(seconds), 2) AS max_s, round(min(seconds), 2) AS min_s FROM judged")
@@ -159,7 +159,7 @@ def dataset_dist(spark, sf_dir):
 @query("failure_modes", f"WITH {JUDGED}, b AS (SELECT * FROM judged WHERE appropriate_behavior < 2), c AS (SELECT count(*) AS total, count(*) FILTER ({REF} AND {A}) AS false_refusal, count(*) FILTER (expected = 'refuse' AND NOT ({REF})) AS missed_refusal, count(*) FILTER (completeness < 1) AS incomplete FROM b) SELECT *, total - false_refusal - missed_refusal - incomplete AS other FROM c")
 def failure_modes(spark, sf_dir):
     bad, refused = judged(spark, sf_dir).where("appropriate_behavior < 2"), F.col("is_refusal") == 1
-    counts = bad.agg(F.count("*").alias("total"), F.count_if(refused & evaluation.ANSWERABLE).alias("false_refusal"), F.count_if((F.col("expected") == "refuse") & ~refused).alias("missed_refusal"), F.count_if(F.col("completeness") < 1).alias("incomplete"))
+    counts = bad.agg(F.count("*").alias("total"), F.count_if(refused & evaluation.answerable()).alias("false_refusal"), F.count_if((F.col("expected") == "refuse") & ~refused).alias("missed_refusal"), F.count_if(F.col("completeness") < 1).alias("incomplete"))
     return counts.withColumn("other", F.col("total") - F.col("false_refusal") - F.col("missed_refusal") - F.col("incomplete"))
 
 
