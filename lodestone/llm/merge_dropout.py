@@ -17,6 +17,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,43 +71,38 @@ class MergeDropout:
         self.known = [Known(v) for v in range(self.variants)]
 
     def ids_of(self, word: str, variant: int = 0) -> list[int]:
-        """Ids of a word whose spaces stand for themselves; U+2581 in it is written as bytes."""
-        symbols: list[str | None] = [SPACE if c == " " else c for c in word]
-        literal = {i for i, c in enumerate(word) if c == SPACE}
-        n, pieces = len(symbols), self.pieces
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple] = []
-
-        def offer(left: int, right: int) -> None:
-            if left >= 0 and right >= 0 and left not in literal and right not in literal:
-                merged = symbols[left] + symbols[right]
-                if merged in pieces:
-                    heapq.heappush(agenda, (-pieces[merged][1], left, right, merged))
-
-        key = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8, key=b"%d,%d" % (self.seed, variant)).digest(), "little") if self.bar else 0
-        for i in range(n - 1):
-            offer(i, i + 1)
+        """Ids of a word whose spaces stand for themselves; U+2581 in it is written as bytes.
+
+        A symbol is the stretch from its start to ends[start]; candidates are (-score, start, middle, end).
+        """
+        n, pieces, bar, literal = len(word), self.pieces, self.bar, ()
+        if SPACE in word:
+            literal = {i for i, c in enumerate(word) if c == SPACE}
+            text = "".join("\0" if c == SPACE else SPACE if c == " " else c for c in word)
+        else:
+            text = word.replace(" ", SPACE)
+        ends, before = list(range(1, n + 1)), list(range(-1, n))
+        agenda = [(-found[1], i, i + 1, i + 2) for i in range(n - 1) if (found := pieces.get(text[i : i + 2]))]
+        heapq.heapify(agenda)
+        key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * self.variants + variant) if bar else 0
         while agenda:
-            _, left, right, merged = heapq.heappop(agenda)
-            if symbols[left] is None or symbols[right] is None or len(symbols[left]) + len(symbols[right]) != len(merged) or after[left] != right:
+            _, left, middle, end = heapq.heappop(agenda)
+            if ends[left] != middle or middle >= n or ends[middle] != end:
+                continue
+            if bar and (((key ^ (left << 40 | middle << 20 | end)) * 0x9E3779B97F4A7C15 & MASK) >> 32) < bar:
                 continue
-            if self.bar:
-                x = (key ^ (left * 0x9E3779B97F4A7C15 + right * 0xC2B2AE3D27D4EB4F + len(merged))) & MASK
-                x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
-                x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
-                if (x >> 32) < self.bar:
-                    continue
-            symbols[left], symbols[right] = merged, None
-            after[left] = after[right]
-            if after[left] >= 0:
-                before[after[left]] = left
-            offer(before[left], left)
-            offer(left, after[left])
-        out: list[int] = []
-        for i, s in enumerate(symbols):
-            if s is not None:
-                known = None if i in literal else pieces.get(s)
-                out += [known[0]] if known else [self.bytes[b] for b in s.encode()]
+            ends[left], ends[middle] = end, 0
+            if end < n:
+                before[end] = left
+                if found := pieces.get(text[left : ends[end]]):
+                    heapq.heappush(agenda, (-found[1], left, end, ends[end]))
+            if left and (found := pieces.get(text[before[left] : end])):
+                heapq.heappush(agenda, (-found[1], before[left], left, end))
+        out, i = [], 0
+        while i < n:
+            found = None if i in literal else pieces.get(text[i : ends[i]])
+            out += [found[0]] if found else [self.bytes[b] for b in (SPACE if i in literal else text[i : ends[i]]).encode("utf-8", "surrogatepass")]
+            i = ends[i]
         return out
 
     def encode(self, text: str, first: int = 0) -> bytes:
@@ -126,11 +122,22 @@ class MergeDropout:
                 own.clear()
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """The text of ids that encode() gave; the space that encoding put first is taken away."""
         return b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+@cache
+def shared_coder(path: str, dropout: float, seed: int, variants: int) -> MergeDropout:
+    """One for all tasks that run in a worker process."""
+    return MergeDropout(path, dropout, seed, variants)
+
+
+def first_variant(doc) -> int:
+    """The variant of a document's first word."""
+    return zlib.crc32(str(doc).encode())
+
+
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = PIECES, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
     """doc_id and ids (array<int>) for every row, from its whole text; null text counts as empty and has no ids.
 
@@ -138,9 +145,9 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
 
     def run(batches):
-        coder = MergeDropout(model_path, dropout, seed, variants)
+        coder = shared_coder(model_path, dropout, seed, variants)
         for batch in batches:
-            coded = [coder.encode(t or "", zlib.crc32(str(d).encode())) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            coded = [coder.encode(t or "", first_variant(d)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
             ids = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(np.frombuffer(b"".join(coded), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -150,19 +157,30 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def decode_documents(coded: DataFrame, model_path: str = PIECES) -> DataFrame:
-    """doc_id, text, n_tokens, ids_crc32 from rows of doc_id and ids; null ids count as none."""
+    """doc_id and text from rows of doc_id and ids; null ids count as none."""
 
     def run(batches):
-        coder = MergeDropout(model_path, 0)
+        coder = shared_coder(model_path, 0, 0, 1)
         for batch in batches:
-            ids = [np.array(x or [], "<u4") for x in batch.column(1).to_pylist()]
-            columns = [pa.array([coder.decode(x.tolist()) for x in ids], pa.string()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "text", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     kind = dict(coded.dtypes)["doc_id"]
-    return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string, n_tokens long, ids_crc32 long")
+    return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+
+
+def recode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = PIECES, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+    """Encodes and decodes every row in one pass: doc_id, n_tokens, ids_crc32, and n_chars and text_sha256 of the decoded text."""
 
+    def run(batches):
+        coder = shared_coder(model_path, dropout, seed, variants)
+        for batch in batches:
+            rows = []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = coder.encode(t or "", first_variant(d))
+                text = coder.decode(memoryview(ids).cast("I"))
+                rows.append((len(ids) // 4, zlib.crc32(ids), len(text), hashlib.sha256(text.encode()).hexdigest()))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_crc32", "n_chars", "text_sha256"])
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """The query's columns: n_chars and text_sha256 are those of the decoded text."""
-    return decoded.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    kind = dict(df.dtypes)[id_col]
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, n_chars long, text_sha256 string")

@@ -33,7 +33,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_dropout.digest(merge_dropout.decode_documents(merge_dropout.encode_documents(table(spark, sf_dir, "documents"))))
+    return merge_dropout.recode(table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
