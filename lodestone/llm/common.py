@@ -46,6 +46,14 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(df: DataFrame, names: list[str], taken: list[str]) -> str:
+    """DDL of columns that an operator passes on unchanged; they may not be called like its own."""
+    if clash := set(names) & set(taken):
+        raise ValueError(f"columns {sorted(clash)} are the operator's own")
+    kinds = dict(df.dtypes)
+    return "".join(f"`{c}` {kinds[c]}, " for c in names)
+
+
 #: A key that holds at least one row in so many is heavy; there can be no more than so many heavy keys.
 HEAVY_SHARE = 1000
 

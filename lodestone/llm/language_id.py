@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import carried
+
 #: At most so many documents, and so many characters, are learned for each language.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 20_000
 #: Bytes of one block of text, and of the texts that are parsed together.
@@ -163,18 +165,20 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return out
 
 
-def identify(df: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row, from its whole text alone.
+def identify(df: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, lang_pred, score for every row, from its whole text alone; columns named in carry come before them.
 
     lang_pred is und and score 0 where text is null or has no letter, or no language was learned. Ties go to
-    the first language in alphabetical order. Ids may be null or repeated; other columns are ignored.
+    the first language in alphabetical order. Ids may be null or repeated; columns that are not carried are dropped.
     """
+    carry = carry or []
+    n = len(carry)
 
     def run(batches):
         parser = CrossParser(samples) if samples else None
         for batch in batches:
-            found = parser.predict(batch.column(1).to_pylist()) if parser else [("und", 0.0)] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            found = parser.predict(batch.column(n + 1).to_pylist()) if parser else [("und", 0.0)] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*carry, "doc_id", "lang_pred", "score"])
 
-    kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    ddl = carried(df, carry, ["doc_id", "lang_pred", "score"])
+    return df.select(*carry, F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"{ddl}doc_id {dict(df.dtypes)[id_col]}, lang_pred string, score double")

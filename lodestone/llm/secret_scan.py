@@ -16,6 +16,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import carried
+
 # The base patterns that the contract of the query states.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -133,30 +135,32 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]], mark: str = "[
     return "".join([*out, text[at:]])
 
 
-def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, base_spans, spans (arrays of kind, start, end in code points) and redacted text for every row.
+def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: list[tuple[str, str]] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, base_spans, spans (arrays of kind, start, end in code points) and redacted text for every row; columns named in carry come before them.
 
-    Null text counts as empty and stays null when redacted. Ids may be null or repeated; other
-    columns are ignored. samples replace the built-in labelled samples.
+    Null text counts as empty and stays null when redacted. Ids may be null or repeated; columns that are not carried are
+    dropped. samples replace the built-in labelled samples.
     """
     import pyarrow as pa
 
+    carry = carry or []
+    names = [*carry, "doc_id", "base_spans", "spans", "redacted"]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         scanner = MarkovScanner(samples)
         for batch in batches:
             base, every, clean = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(len(carry) + 1).to_pylist():
                 b, e = find_secrets(text, scanner)
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in b])
                 every.append([dict(zip(("kind", "start", "end"), s)) for s in e])
                 clean.append(redacted(text, e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(every, span), pa.array(clean, pa.string())], ["doc_id", "base_spans", "spans", "redacted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry) + 1], pa.array(base, span), pa.array(every, span), pa.array(clean, pa.string())], names)
 
-    kind = dict(df.dtypes)[id_col]
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, base_spans {spans}, spans {spans}, redacted string")
+    ddl = carried(df, carry, names[len(carry) :])
+    return df.select(*carry, F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"{ddl}doc_id {dict(df.dtypes)[id_col]}, base_spans {spans}, spans {spans}, redacted string")
 
 
 def digest(found: DataFrame) -> DataFrame:
