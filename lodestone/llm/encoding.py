@@ -1,27 +1,30 @@
 """Token ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit integers.
 
-Byte-level BPE never merges across its own pre-tokens, so a text can be encoded chunk by chunk;
-chunks that were seen before come from a bounded cache. Where a text's white space is not plain
-single spaces and line ends, the whole text is encoded at once.
+Byte-level BPE never merges across its own pre-tokens, and a single space or line end before a
+letter or sign always starts one. So a text is encoded chunk by chunk, and chunks that were seen
+before come from a bounded cache; new ones go to the library joined by line ends, which are one
+token each. Where a text's white space is not plain, the whole text is encoded at once.
 """
 
 from __future__ import annotations
 
-import re
+import os
+from array import array
 from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-#: A chunk starts where a pre-token starts: at a line end, or at a single space or letter after one.
-CHUNK = re.compile(r" ?[^ \n]+|\n")
-#: White space whose pre-tokens depend on what follows.
-IRREGULAR = re.compile(r"[^\S \n]| [ \n]|\n\n|[ \n]\Z")
+#: Chunks that a generation of the cache holds, about 200 bytes each.
+CACHE = 300_000
 
 
 @cache
 def tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
@@ -29,28 +32,113 @@ def tokenizer(path: str):
     return made
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others from 256 on in order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
+
+
+def is_plain(text: str) -> bool:
+    """Whether all white space is single spaces and line ends, none of them last, and no line end is first or follows white space."""
+    if not text or "  " in text or " \n" in text or "\n\n" in text or text[0] == "\n" or text[-1] in " \n":
+        return False
+    return text.replace("\n", "").isprintable()  # other white space is not
+
+
 class ChunkEncoder:
-    """encode() gives the ids of each text as bytes; the cache is cleared at cache_limit chunks."""
+    """encode() gives the ids of each text as bytes. The cache holds two generations of at most cache_limit chunks and a batch's."""
 
-    def __init__(self, path: str = BYTE_BPE, cache_limit: int = 400_000):
-        self.tokenizer, self.limit, self.known = tokenizer(path), cache_limit, {}
+    def __init__(self, path: str = BYTE_BPE, cache_limit: int = CACHE):
+        self.tokenizer, self.limit, self.known, self.old = tokenizer(path), cache_limit, {}, {}
+        self.model = self.tokenizer.model
+        ends = self._ids("\n")
+        #: Chunks can only be joined and split where a line end is one id of its own.
+        self.end = ends[0] if len(ends) == 1 and self._ids("a\n b").tolist().count(ends[0]) == 1 else None
+        self.sign = {c: self._ids(c).tobytes() for c in ".,!?"}
+        #: A chunk of letters is one pre-token and can go straight to the library's BPE model.
+        self.direct = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _word(self, text: str) -> bytes:
+        """Ids of one pre-token."""
+        shown = text.replace(" ", LETTERS[32]) if text.isascii() else text.encode().decode("latin-1").translate(LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _learn(self, missing: set[str]) -> None:
+        """Adds chunks, which stand for themselves after a space or start with a line end; a last sign after a letter is a token of its own."""
+        known, old, signed = self.known, self.old, []
+        if old:
+            again = missing & old.keys()
+            known.update((c, old[c]) for c in again)
+            missing -= again
+        line_end = int(self.end).to_bytes(4, "little")
+        if "\n" in missing:  # a run of line ends would be encoded as one
+            missing.remove("\n")
+            known["\n"] = line_end
+        wanted, direct = set(), self.direct
+        for c in missing:
+            if c[-1:] in self.sign and c[-2:-1].isalpha():
+                signed.append(c)
+                c = c[:-1]
+                if c in known:
+                    continue
+            if direct and c.isalpha():
+                known[c] = self._word(f" {c}")
+            elif direct and c[0] == "\n" and c[1:].isalpha():
+                known[c] = line_end + self._word(c[1:])
+            else:
+                wanted.add(c)
+        chunks = list(wanted)
+        for i in range(0, len(chunks), 256):
+            some = chunks[i : i + 256]
+            ids = self._ids("".join(c if c[:1] == "\n" else f"\n {c}" for c in some) + "\n")
+            at = (np.flatnonzero(ids == self.end) * 4).tolist()
+            raw = ids.tobytes()
+            known.update((c, raw[a if c[:1] == "\n" else a + 4 : b]) for c, a, b in zip(some, at, at[1:]))
+        known.update((c, known[c[:-1]] + self.sign[c[-1]]) for c in signed)
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         last = b"" if end is None else end.to_bytes(4, "little")
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.old, self.known = self.known, {}
+        plain = [self.end is not None and bool(t) and is_plain(t) for t in texts]
+        coded = iter(self._plain([t for t, p in zip(texts, plain) if p]))
+        return [(next(coded) if p else self._ids(t or "").tobytes()) + last for t, p in zip(texts, plain)]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The chunks of all texts are numbered once; ids are looked up for each distinct one and gathered by number."""
+        if not texts:
+            return []
+        chunks = pc.split_pattern(pc.replace_substring(pa.array(["\n" + t for t in texts], pa.large_string()), "\n", " \n"), " ")
+        numbered = chunks.values.dictionary_encode()
+        names, numbers = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
         known = self.known
-        chunks = [None if IRREGULAR.search(t) else CHUNK.findall(t) for t in ("" if t is None else t for t in texts)]
-        missing = list(set().union(*(c for c in chunks if c)).difference(known))
-        for i in range(0, len(missing), 4096):
-            known.update(zip(missing[i : i + 4096], self._ids(missing[i : i + 4096])))
-        return [(self._ids([t])[0] if c is None else b"".join(map(known.__getitem__, c))) + last for t, c in zip(texts, chunks)]
+        known[""] = b""  # before the line end that starts each text
+        self._learn({c for c in names if c not in known})
+        ids = [known[c] for c in names]
+        sizes = np.array([len(x) for x in ids], "i4") >> 2
+        starts = np.cumsum(sizes, dtype="i4") - sizes
+        n = sizes[numbers]
+        ends = np.cumsum(n)
+        where = np.arange(int(ends[-1]), dtype="i4") + np.repeat((starts[numbers] - (ends - n)).astype("i4"), n)
+        out = np.frombuffer(b"".join(ids), "<u4")[where]
+        bounds = np.append(0, ends)[chunks.offsets.to_numpy()].tolist()
+        return [out[a + 1 : b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+
+@cache
+def shared_encoder(path: str = BYTE_BPE, cache_limit: int = CACHE) -> ChunkEncoder:
+    """One for all tasks that run in a worker process."""
+    return ChunkEncoder(path, cache_limit)
 
 
-def batches_of(texts: list, rows: int = 400):
+def batches_of(texts: list, rows: int = 2000):
     """Slices of at most so many rows: bounds what encode() holds."""
     for i in range(0, len(texts), rows):
         yield i, texts[i : i + rows]

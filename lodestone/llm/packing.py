@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.encoding import BYTE_BPE, ChunkEncoder, batches_of
+from lodestone.llm.encoding import BYTE_BPE, batches_of, shared_encoder
 
 CAPACITY = 2048
 #: The share of its place in a bin that a piece may leave empty.
 SLACK = 0.02
+#: Chunks that the encoder's cache holds; there is no shuffle here that needs the memory.
+CACHE = 900_000
 PIECES = "doc_id {}, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>, ids_crc32 long"
 NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "ids_crc32"]
 
@@ -81,7 +83,7 @@ class HarmonicPacker:
                     self.next += 1
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str = BYTE_BPE, end_id: int = 1, capacity: int = CAPACITY, slack: float = SLACK, keep_ids: bool = True) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str = BYTE_BPE, end_id: int = 1, capacity: int = CAPACITY, slack: float = SLACK, keep_ids: bool = True, cache_chunks: int = CACHE) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids, ids_crc32.
 
     Null text is empty, so such a document is its end id alone. Ids may be null or repeated; each row
@@ -95,7 +97,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         from pyspark import TaskContext
 
-        packer, encoder = HarmonicPacker(TaskContext.get().partitionId() << 36, capacity, slack), ChunkEncoder(tokenizer_path)
+        packer, encoder = HarmonicPacker(TaskContext.get().partitionId() << 36, capacity, slack), shared_encoder(tokenizer_path, cache_chunks)
 
         def rows(placed):
             out = []

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.encoding import BYTE_BPE, ChunkEncoder, batches_of
+from lodestone.llm.encoding import BYTE_BPE, batches_of, shared_encoder
 
 #: Ids come from a small vocabulary, so they are dictionary-encoded; the columns that count upwards are delta-encoded by the version 2 writer.
 WRITER = {
@@ -41,7 +41,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         from pyspark import TaskContext
 
-        part, before, encoder = TaskContext.get().partitionId(), 0, ChunkEncoder(tokenizer_path)
+        part, before, encoder = TaskContext.get().partitionId(), 0, shared_encoder(tokenizer_path)
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             for i, some in batches_of(texts):
