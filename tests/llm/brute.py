@@ -53,9 +53,9 @@ def normal_line(line: str) -> str:
     return " ".join(re.findall(r"[^\s!-/:-@\[-`{-~]+", line.lower(), flags=re.A))
 
 
-def simhash(norm: str) -> int:
-    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in norm.split(" ")]
-    return sum((sum(w >> b & 1 for w in words) * 2 > len(words)) << b for b in range(64))
+def simhash(norm: str) -> int | None:
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in norm.split(" ") if len(w) >= 4]
+    return None if not words else sum((sum(w >> b & 1 for w in words) * 2 > len(words)) << b for b in range(64))
 
 
 def distance(a: str, b: str) -> int:
@@ -78,10 +78,12 @@ def line_dedup(docs: list[tuple[int, str | None]]) -> dict[int, str | None]:
     cuts = [0, 16, 32, 48, 64]
     marks, holders = {n: simhash(n) for n in first}, defaultdict(list)
     for n, s in marks.items():
+        sets.find((first[n], n))
+        if s is None:
+            continue
         parts = [s >> a & ((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
         for p in combinations(range(4), 2):
             holders[(p, parts[p[0]], parts[p[1]])].append(n)
-        sets.find((first[n], n))
     for a, b in {p for v in holders.values() for p in combinations(v, 2)}:
         longest = max(len(a), len(b))
         if (marks[a] ^ marks[b]).bit_count() <= 10 and abs(len(a) - len(b)) * 10 <= longest and distance(a, b) <= int(0.1 * longest + 1e-9):
