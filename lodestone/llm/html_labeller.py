@@ -394,7 +394,7 @@ class PageMaker:
         return "".join(self.html), self.labels
 
 
-def train(blocks_of, pages: int = 4000, epochs: int = 6, seed: int = 5, rate: float = 0.01, batch: int = 48) -> dict[str, np.ndarray]:
+def train(blocks_of, pages: int = 8000, epochs: int = 7, seed: int = 5, rate: float = 0.01, batch: int = 48) -> dict[str, np.ndarray]:
     """Weights fitted with Adam to made-up pages; blocks_of(html) must give a Block for each label."""
     maker, data = PageMaker(seed), []
     for _ in range(pages):
