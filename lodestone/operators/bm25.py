@@ -17,7 +17,8 @@ SUM = "decimal(24,12)"
 def postings(corpus: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(chunk_id, term, tf, dl); counting is partial before the shuffle, so frequent terms are no hot task."""
     words = corpus.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("ts"))
-    return words.select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    sized = words.withColumn("dl", F.size("ts"))
+    return sized.select("chunk_id", "dl", F.explode("ts").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(corpus: DataFrame, text_col: str = "text") -> DataFrame:
