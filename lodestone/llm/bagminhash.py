@@ -13,11 +13,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import bloom
 from lodestone.llm.common import heavy_join, materialize
-from lodestone.llm.linking import link, only
+from lodestone.llm.linking import MAX_FILTER_BYTES, Get, link, only
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -150,7 +151,10 @@ def sign_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """item, grams of rows (item, text): the multiset as a set, each further copy of a shingle with a hash of its own."""
+    """item, grams of rows (item, text): the multiset as a set of 32-bit hashes, each further copy of a shingle with one of its own.
+
+    Of n shingles of a text, n * n / 2**33 meet by chance, which moves a similarity by less than n / 2**32.
+    """
 
     def run(batches):
         for batch in batches:
@@ -158,20 +162,24 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 400)
                 doc, value, weight, _ = shingles([t or "" for t in part.column(1).to_pylist()])
                 copy = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
-                grams = mixed(np.repeat(value, weight) + copy.astype("u8") * ONE).view("i8")
+                grams = (mixed(np.repeat(value, weight) + copy.astype("u8") * ONE) >> np.uint64(32)).astype("u4").view("i4")
                 sizes = np.bincount(doc, weight, part.num_rows).astype("i8")
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype("i4")), pa.array(grams))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["item", "grams"])
 
-    return docs.select("item", "text").mapInArrow(run, "item long, grams array<bigint>")
+    return docs.select("item", "text").mapInArrow(run, "item long, grams array<int>")
 
 
 def alike(threshold: float = SIMILARITY):
-    """Whether the multisets grams_a and grams_b overlap enough; sizes that rule it out are looked at first."""
-    a, b = F.size("grams_a"), F.size("grams_b")
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    # The least common count at which common / (a + b - common) reaches the threshold.
-    return (F.least(a, b) >= threshold * F.greatest(a, b)) & (common * (1 + threshold) >= threshold * (a + b) - 1e-9)
+    """Whether two multisets grams overlap enough; sizes that rule it out are looked at first."""
+
+    def of(a: Get, b: Get) -> Column:
+        n, m = F.size(a("grams")), F.size(b("grams"))
+        common = F.size(F.array_intersect(a("grams"), b("grams")))
+        # The least common count at which common / (n + m - common) reaches the threshold.
+        return F.when(F.least(n, m) >= threshold * F.greatest(n, m), common * (1 + threshold) >= threshold * (n + m) - 1e-9).otherwise(F.lit(False))
+
+    return of
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -199,3 +207,16 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     named = labels.select(F.col("item"), F.col("label"))
     sizes = materialize(placed.groupBy("item").agg(F.count("*").alias("of_item")).join(named, "item"), "classes")
     return heavy_join(placed, sizes, "item", F.col("of_item"), max(1, rows)).select("doc_id", F.col("item").alias("copy_of"), F.coalesce("label", "item").alias("class_id"))
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of df, all columns, of the one document of each class that stays; see near_dedup().
+
+    Rows with null ids stay. A Bloom filter of the ids that go lets most other rows through without a shuffle.
+    """
+    going = materialize(near_dedup(df, id_col, text_col, threshold).where("class_id <> doc_id").select(F.col("doc_id").alias("_going")).distinct(), "going")
+    bits = bloom.size_for(max(1, going.count()), 16, MAX_FILTER_BYTES)
+    probed = bloom.probe(df, bloom.of_keys(going, "_going", bits), F.col(id_col).cast("long"), bits, "_maybe")
+    sure = probed.where("not _maybe").drop("_maybe")
+    rest = probed.where("_maybe").drop("_maybe")
+    return sure.unionByName(rest.join(going, F.col(id_col) == F.col("_going"), "left_anti"))

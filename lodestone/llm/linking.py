@@ -15,6 +15,9 @@ from lodestone.llm import bloom
 from lodestone.llm.common import heavy_join, materialize
 
 MAX_FILTER_BYTES = 64 << 20
+#: Items of a key that are compared in one row.
+BLOCK_ITEMS = 32
+Get = Callable[[str], Column]
 
 
 def _counts(df: DataFrame, key: str) -> DataFrame:
@@ -88,58 +91,72 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def link(rows: DataFrame, signatures: DataFrame, limit: int, fetch: Callable[[DataFrame], DataFrame], columns: list[str], alike: Column) -> DataFrame:
+def link(rows: DataFrame, signatures: DataFrame, limit: int, fetch: Callable[[DataFrame], DataFrame], columns: list[str], alike: Callable[[Get, Get], Column]) -> DataFrame:
     """(item, label) of all items that a chain of links joins; a link is a pair that shares a key, is near() and alike.
 
     rows: (item, key); signatures: (item, s0, s1), unique by item; fetch: from the items of near
-    pairs to their columns, called once; alike: over columns with _a and _b. First each item is held against
-    the least item of each of its keys. Where a key then still has several labels, each item is held against
-    an item of the key chosen by hash, and what is left in different labels after that is compared pair by pair.
-    So no link between different labels is missed, and a group that holds together costs a pair or two an item.
+    pairs to their columns, called once; alike: from two functions that give a column of either item.
+    First each item is held against the least item of each of its keys, then, where a key still has several
+    labels, against an item of the key chosen by hash. So a group that holds together costs a few pairs an item.
+    Items that are in another label than most of a key after that are compared with blocks of
+    the key's items; only links leave that step. So none between different labels is missed.
     """
     members = materialize(shared_members(rows).join(signatures, "item"), "members")
+    total = max(1, members.count())
     hub = members.where("item = hub").select("key", F.col("s0").alias("s0_b"), F.col("s1").alias("s1_b"))
-    spokes = members.where("item <> hub").select("key", F.col("item").alias("a"), F.col("hub").alias("b"), F.col("s0").alias("s0_a"), F.col("s1").alias("s1_a"), "n")
-    total = members.count()
-    held = heavy_join(spokes, materialize(hub.join(_counts(members, "key"), "key"), "hubs").withColumnRenamed("n", "of_key"), "key", F.col("of_key"), max(1, total))
+    hubs = materialize(hub.join(_counts(members, "key"), "key").withColumnRenamed("n", "of_key"), "hubs")
+    spokes = members.where("item <> hub").select("key", F.col("item").alias("a"), F.col("hub").alias("b"), F.col("s0").alias("s0_a"), F.col("s1").alias("s1_a"))
+    held = heavy_join(spokes, hubs, "key", F.col("of_key"), total)
     held = materialize(held.select("key", "a", "b", "s0_a", "s1_a", near(limit).alias("near")), "held")
     first = materialize(held.where("near").select("a", "b").distinct(), "pairs")
     # Items that are far from their key's hub may be near to others of the key.
     far = held.where("not near").select("key", "a", "s0_a", "s1_a")
     other = members.where("n > 2 and item <> hub").select("key", F.col("item").alias("b"), F.col("s0").alias("s0_b"), F.col("s1").alias("s1_b"))
     apart = far.join(other, "key").where((F.col("a") != F.col("b")) & near(limit)).select(*_ordered("a", "b")).distinct()
-    apart = materialize(apart, "apart")
-    wanted = first.unionByName(apart)
+    wanted = first.unionByName(materialize(apart, "apart")).distinct()
     known = materialize(fetch(materialize(wanted.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "wanted")), "known")
+    same = alike(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return materialize(_with(pairs, known, columns).where(alike).select("a", "b"), "links")
+        return materialize(_with(pairs, known, columns).where(same).select("a", "b"), "links")
 
-    links = checked(wanted.distinct())
-    tested = wanted
+    links = checked(wanted)
     for last in (False, True):
         labels = materialize(components(links), "labels")
         inside = known.select("item").join(labels, "item", "left").select("item", F.coalesce("label", "item").alias("label"))
         placed = members.where("n > 2").select("key", "item", "s0", "s1").join(inside, "item")
-        mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("item", F.xxhash64("item", "key")).alias("chosen"), F.count("*").alias("n")).where("low <> high")
-        mixed = materialize(mixed, "mixed")
-        if mixed.isEmpty():
-            break
-        size = mixed.agg(F.sum("n").alias("n")).first()["n"]
-        placed = materialize(heavy_join(placed, mixed.select("key", "chosen", F.col("n").alias("m")), "key", F.col("m"), size).where("chosen is not null"), "placed")
-        if last:
-            # Only items outside the key's most usual label start a pair; two items of different labels always include one.
-            sizes = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
-            usual = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("usual"))
-            few = placed.join(usual, "key").where("label <> usual").select("key", F.col("item").alias("a"), F.col("label").alias("label_a"), F.col("s0").alias("s0_a"), F.col("s1").alias("s1_a"))
-            every = placed.select("key", F.col("item").alias("b"), F.col("label").alias("label_b"), F.col("s0").alias("s0_b"), F.col("s1").alias("s1_b"))
-            pairs = few.join(every, "key").where((F.col("label_a") != F.col("label_b")) & near(limit))
-        else:
-            one = placed.where("item = chosen").select("key", F.col("label").alias("label_b"), F.col("m").alias("of_key"))
-            pairs = heavy_join(placed.select("key", F.col("item").alias("a"), F.col("chosen").alias("b"), "label"), materialize(one, "chosen"), "key", F.col("of_key"), size).where("label <> label_b")
-        more = materialize(pairs.select(*_ordered("a", "b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(more)
-        links = links.unionByName(checked(more))
-    else:
-        labels = materialize(components(links), "labels")
-    return labels
+        mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("item", F.xxhash64("item", "key")).alias("chosen"), F.count("*").alias("m")).where("low <> high")
+        mixed = materialize(mixed.select("key", "chosen", "m"), "mixed")
+        size = mixed.agg(F.sum("m").alias("m")).first()["m"]
+        if not size:
+            return labels
+        placed = materialize(heavy_join(placed, mixed, "key", F.col("m"), size).where("chosen is not null"), "placed")
+        if not last:
+            one = materialize(placed.where("item = chosen").select("key", F.col("label").alias("label_b"), F.col("m").alias("of_key")), "chosen")
+            pairs = heavy_join(placed.select("key", F.col("item").alias("a"), F.col("chosen").alias("b"), "label"), one, "key", F.col("of_key"), size).where("label <> label_b")
+            more = materialize(pairs.select(*_ordered("a", "b")).distinct().join(wanted, ["a", "b"], "left_anti"), "pairs")
+            links = links.unionByName(checked(more))
+    return materialize(components(links.unionByName(materialize(_in_blocks(placed, known, limit, columns, alike), "links"))), "labels")
+
+
+def _in_blocks(placed: DataFrame, known: DataFrame, limit: int, columns: list[str], alike: Callable[[Get, Get], Column]) -> DataFrame:
+    """(a, b) of all links between different labels of a key; placed: (key, item, label, s0, s1, m), m items in the key.
+
+    Two items of different labels include one outside the key's most usual label; those alone ask. The items of a key are
+    dealt into blocks of about BLOCK_ITEMS; an asking item goes to every block of its key and keeps what it is linked to there.
+    """
+    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
+    usual = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("usual"))
+    blocks = F.ceil(F.col("m") / BLOCK_ITEMS).cast("int")
+    full = placed.join(known, "item")
+    dealt = full.withColumn("block", F.pmod(F.xxhash64("item"), blocks).cast("int"))
+    dealt = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("item", "label", "s0", "s1", *columns)).alias("held"))
+    asking = full.join(usual, "key").where("label <> usual")
+    asking = asking.select("key", F.col("item").alias("a"), F.col("label").alias("label_a"), F.col("s0").alias("s0_a"), F.col("s1").alias("s1_a"), *[F.col(c).alias(f"{c}_a") for c in columns], F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+
+    def linked(x: Column) -> Column:
+        differs = F.bit_count(F.col("s0_a").bitwiseXOR(x["s0"])) + F.bit_count(F.col("s1_a").bitwiseXOR(x["s1"]))
+        return F.when((x["label"] != F.col("label_a")) & (differs <= limit), alike(lambda c: F.col(f"{c}_a"), lambda c: x[c])).otherwise(F.lit(False))
+
+    found = asking.join(dealt, ["key", "block"]).select("a", F.filter("held", linked).alias("held"))
+    return found.select("a", F.explode("held").alias("x")).select(*_ordered("a", "x.item")).distinct()
