@@ -56,14 +56,19 @@ def carried(df: DataFrame, names: list[str], taken: list[str]) -> str:
 
 #: A key that holds at least one row in so many is heavy; there can be no more than so many heavy keys.
 HEAVY_SHARE = 1000
+#: Rows of a few longs that may be broadcast whole.
+SMALL_ROWS = 200_000
 
 
-def heavy_join(df: DataFrame, values: DataFrame, key: str, count: Column, rows: int) -> DataFrame:
+def heavy_join(df: DataFrame, values: DataFrame, key: str, count: Column, rows: int, at_most: int | None = None) -> DataFrame:
     """df left-joined to values, whose rows are unique by key and tell how many of the rows rows of df hold it.
 
     The values of heavy keys, at most HEAVY_SHARE rows, are broadcast, so that only rows of
-    keys that are not heavy are shuffled by key. values should be materialized: it is read twice.
+    keys that are not heavy are shuffled by key. Where the caller knows that there are at_most SMALL_ROWS values, all
+    are broadcast. values should be materialized: it is read twice.
     """
+    if at_most is not None and at_most <= SMALL_ROWS:
+        return df.join(F.broadcast(values), key, "left")
     own = [c for c in values.columns if c != key]
     heavy = F.broadcast(values.where(count * HEAVY_SHARE >= rows).withColumn("_heavy", F.lit(True)))
     light = values.where(count * HEAVY_SHARE < rows)

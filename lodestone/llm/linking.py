@@ -40,16 +40,34 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         before, rows = mark, mark["n"]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-        large = heavy_join(both, least, "a", F.col("n"), 2 * rows).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = heavy_join(both, least, "a", F.col("n"), 2 * rows, 2 * rows).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = materialize(large, "edges")
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-        moved = heavy_join(large, least, "a", F.col("n"), rows).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        moved = heavy_join(large, least, "a", F.col("n"), rows, rows).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("item"), F.col("b").alias("label")).unionByName(now.select("b", F.col("b").alias("label")).distinct().toDF("item", "label"))
 
 
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels, (item, label) as components() gives them, after further edges (a, b) between items, old or new.
+
+    Only edges between labels are left to settle, so it takes few rounds.
+    """
+    def named(df: DataFrame, side: str) -> DataFrame:
+        own = labels.select(F.col("item").alias(side), F.col("label").alias("_label"))
+        return df.join(own, side, "left").withColumn(side, F.coalesce("_label", side)).drop("_label")
+
+    between = materialize(named(named(edges.select("a", "b"), "a"), "b").where("a <> b"), "between")
+    if between.isEmpty():
+        return labels
+    moved = materialize(components(between).select(F.col("item").alias("label"), F.col("label").alias("to")), "moved")
+    old = labels.join(moved, "label", "left").select("item", F.coalesce("to", "label").alias("label"))
+    fresh = moved.join(labels.select(F.col("item").alias("label")), "label", "left_anti").select(F.col("label").alias("item"), F.col("to").alias("label"))
+    return materialize(old.unionByName(fresh), "labels")
+
+
 def shared_members(rows: DataFrame) -> DataFrame:
     """(key, item, hub, n) of all items that share a key (item, key); hub is the least item of the key.
 
@@ -60,7 +78,7 @@ def shared_members(rows: DataFrame) -> DataFrame:
     total = keys.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     bits = bloom.size_for(total["k"], 16, MAX_FILTER_BYTES)
     maybe = bloom.probe(rows, bloom.of_keys(keys, "key", bits), F.col("key"), bits).where("maybe").drop("maybe")
-    return heavy_join(maybe, keys, "key", F.col("n"), max(1, total["n"])).where("hub is not null")
+    return heavy_join(maybe, keys, "key", F.col("n"), max(1, total["n"]), total["k"]).where("hub is not null")
 
 
 def only(df: DataFrame, items: DataFrame, rows: int, key: str = "item") -> DataFrame:
@@ -106,7 +124,7 @@ def link(rows: DataFrame, signatures: DataFrame, limit: int, fetch: Callable[[Da
     hub = members.where("item = hub").select("key", F.col("s0").alias("s0_b"), F.col("s1").alias("s1_b"))
     hubs = materialize(hub.join(_counts(members, "key"), "key").withColumnRenamed("n", "of_key"), "hubs")
     spokes = members.where("item <> hub").select("key", F.col("item").alias("a"), F.col("hub").alias("b"), F.col("s0").alias("s0_a"), F.col("s1").alias("s1_a"))
-    held = heavy_join(spokes, hubs, "key", F.col("of_key"), total)
+    held = heavy_join(spokes, hubs, "key", F.col("of_key"), total, total)
     held = materialize(held.select("key", "a", "b", "s0_a", "s1_a", near(limit).alias("near")), "held")
     first = materialize(held.where("near").select("a", "b").distinct(), "pairs")
     # Items that are far from their key's hub may be near to others of the key.
@@ -120,9 +138,8 @@ def link(rows: DataFrame, signatures: DataFrame, limit: int, fetch: Callable[[Da
     def checked(pairs: DataFrame) -> DataFrame:
         return materialize(_with(pairs, known, columns).where(same).select("a", "b"), "links")
 
-    links = checked(wanted)
+    labels = materialize(components(checked(wanted)), "labels")
     for last in (False, True):
-        labels = materialize(components(links), "labels")
         inside = known.select("item").join(labels, "item", "left").select("item", F.coalesce("label", "item").alias("label"))
         placed = members.where("n > 2").select("key", "item", "s0", "s1").join(inside, "item")
         mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("item", F.xxhash64("item", "key")).alias("chosen"), F.count("*").alias("m")).where("low <> high")
@@ -130,13 +147,13 @@ def link(rows: DataFrame, signatures: DataFrame, limit: int, fetch: Callable[[Da
         size = mixed.agg(F.sum("m").alias("m")).first()["m"]
         if not size:
             return labels
-        placed = materialize(heavy_join(placed, mixed, "key", F.col("m"), size).where("chosen is not null"), "placed")
+        placed = materialize(heavy_join(placed, mixed, "key", F.col("m"), size, size).where("chosen is not null"), "placed")
         if not last:
             one = materialize(placed.where("item = chosen").select("key", F.col("label").alias("label_b"), F.col("m").alias("of_key")), "chosen")
-            pairs = heavy_join(placed.select("key", F.col("item").alias("a"), F.col("chosen").alias("b"), "label"), one, "key", F.col("of_key"), size).where("label <> label_b")
+            pairs = heavy_join(placed.select("key", F.col("item").alias("a"), F.col("chosen").alias("b"), "label"), one, "key", F.col("of_key"), size, size).where("label <> label_b")
             more = materialize(pairs.select(*_ordered("a", "b")).distinct().join(wanted, ["a", "b"], "left_anti"), "pairs")
-            links = links.unionByName(checked(more))
-    return materialize(components(links.unionByName(materialize(_in_blocks(placed, known, limit, columns, alike), "links"))), "labels")
+            labels = joined(labels, checked(more))
+    return joined(labels, materialize(_in_blocks(placed, known, limit, columns, alike), "links"))
 
 
 def _in_blocks(placed: DataFrame, known: DataFrame, limit: int, columns: list[str], alike: Callable[[Get, Get], Column]) -> DataFrame:
