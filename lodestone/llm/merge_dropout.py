@@ -54,7 +54,7 @@ def vocabulary(path: str):
 class MergeDropout:
     """ids_of() encodes a word; encode() a text, each word by one of the variants in turn, from a bounded cache."""
 
-    def __init__(self, path: str = PIECES, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, cache_limit: int = 250_000):
+    def __init__(self, path: str = PIECES, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, cache_limit: int = 450_000):
         self.pieces, self.bytes, self.plain = vocabulary(path)
         self.bar, self.seed, self.variants, self.limit = int(dropout * (1 << 32)), seed, variants if dropout else 1, cache_limit
         outer = self
