@@ -19,7 +19,8 @@ CORPUS = "corpus AS (SELECT doc_id AS chunk_id, source, text, CASE WHEN substr(s
 ASKED = f"asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark), intents AS (SELECT query_id, {sql_intent('lower(text)')} AS intent FROM asked)"
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 BM25 = f"""{CORPUS}, {ASKED},
-words AS (SELECT chunk_id, len({TOKENS}) AS dl, unnest({TOKENS}) AS term FROM corpus), posted AS (SELECT chunk_id, dl, term, count(*) AS tf FROM words GROUP BY ALL),
+words AS (SELECT chunk_id, unnest({TOKENS}) AS term FROM corpus), sizes AS (SELECT chunk_id, len({TOKENS}) AS dl FROM corpus),
+posted AS (SELECT chunk_id, dl, term, tf FROM (SELECT chunk_id, term, count(*) AS tf FROM words GROUP BY chunk_id, term) w JOIN sizes USING (chunk_id)),
 stats AS (SELECT count(*) AS n, avg(len({TOKENS})) AS avgdl FROM corpus), df AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
 raw AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, stats), mean AS (SELECT sum(raw::DECIMAL(24,12))::DOUBLE / count(*) AS mean FROM raw),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN mean * 0.25::DOUBLE ELSE raw END AS idf FROM raw, mean),
