@@ -28,7 +28,7 @@ def rows_of(rows) -> list[tuple]:
 def oracle_rows(sql: str, sf_dir: str, columns: list[str]) -> list[tuple]:
     import duckdb
 
-    con = duckdb.connect()
+    con = duckdb.connect(config={"threads": 4})
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:
         if os.path.exists(f"{sf_dir}/{t}.parquet"):
