@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.encoding import BYTE_BPE, CACHE, batches_of, shared_encoder
+from lodestone.llm.encoding import BYTE_BPE, batches_of, shared_encoder
 
 CAPACITY = 2048
 #: The share of its place in a bin that a piece may leave empty.
 SLACK = 0.02
+#: Chunks that the encoder's cache holds, about 200 bytes each; more save time where memory allows.
+CACHE = 120_000
 PIECES = "doc_id {}, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>, ids_crc32 long"
 NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "ids_crc32"]
 

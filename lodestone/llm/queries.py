@@ -25,7 +25,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False, cache_chunks=900_000).drop("ids")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
