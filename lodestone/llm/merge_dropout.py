@@ -2,7 +2,8 @@
 
 The vocabulary and merge scores come from a public model file. A word's symbols are merged best score
 first, leftmost of equals, from an agenda; a candidate taken from the agenda is skipped
-when a keyed hash of seed, variant, word and place says so. With dropout 0 the ids equal the
+when a keyed hash says so: of seed, document, the word's position in it, the word and the place inside the word, so
+that each occurrence of a word draws anew. With dropout 0 the ids equal the
 library's. Whatever is skipped, decoding gives the text back.
 """
 
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 20, 4
+DROPOUT, SEED = 0.1, 20
 #: No piece continues after a letter with a space or a line end, so merges never cross these borders.
 WORD = re.compile(r" *[^ \n]+|\n| +")
 MASK = (1 << 64) - 1
+STEP = 0x9E3779B97F4A7C15
 
 
 @cache
@@ -52,26 +54,33 @@ def vocabulary(path: str):
 
 
 class MergeDropout:
-    """ids_of() encodes a word; encode() a text, each word by one of the variants in turn, from a bounded cache."""
+    """ids_of() encodes a word by one draw; encode() a text, each word by a draw of its own. What is kept of a word does not depend on the draw."""
 
-    def __init__(self, path: str = PIECES, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, cache_limit: int = 450_000):
+    #: Draw d of seed s is keyed by s * variants + d.
+    variants = 1
+
+    def __init__(self, path: str = PIECES, dropout: float = DROPOUT, seed: int = SEED, cache_limit: int = 450_000):
         self.pieces, self.bytes, self.plain = vocabulary(path)
-        self.bar, self.seed, self.variants, self.limit = int(dropout * (1 << 32)), seed, variants if dropout else 1, cache_limit
+        self.bar, self.seed, self.limit = int(dropout * (1 << 32)), seed, cache_limit
         outer = self
 
         class Known(dict):
-            def __init__(self, variant: int):
-                super().__init__()
-                self.variant = variant
+            """Of a word: its ids if no candidate is skipped, its UTF-8, and the places of the candidates taken on the way."""
 
-            def __missing__(self, word: str) -> bytes:
-                found = self[word] = np.array(outer.ids_of(word, self.variant), "<u4").tobytes()
+            def __missing__(self, word: str) -> tuple[bytes, bytes, bytes]:
+                places: list[int] = []
+                ids = np.array(outer._merged(word, None, places), "<u4").tobytes()
+                found = self[word] = ids, word.encode("utf-8", "surrogatepass"), np.array(places, "u8").tobytes()
                 return found
 
-        self.known = [Known(v) for v in range(self.variants)]
+        self.known = Known()
+
+    def ids_of(self, word: str, draw: int = 0) -> list[int]:
+        """Ids of a word whose spaces stand for themselves; U+2581 in it is written as bytes."""
+        return self._merged(word, xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * self.variants + draw & MASK) if self.bar else None)
 
-    def ids_of(self, word: str, variant: int = 0) -> list[int]:
-        """Ids of a word whose spaces stand for themselves; U+2581 in it is written as bytes.
+    def _merged(self, word: str, key: int | None, places: list[int] | None = None) -> list[int]:
+        """Without a key none is skipped; places gets the place of each candidate taken.
 
         A symbol is the stretch from its start to ends[start]; candidates are (-score, start, middle, end).
         """
@@ -84,13 +93,14 @@ class MergeDropout:
         ends, before = list(range(1, n + 1)), list(range(-1, n))
         agenda = [(-found[1], i, i + 1, i + 2) for i in range(n - 1) if (found := pieces.get(text[i : i + 2]))]
         heapq.heapify(agenda)
-        key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * self.variants + variant) if bar else 0
         while agenda:
             _, left, middle, end = heapq.heappop(agenda)
             if ends[left] != middle or middle >= n or ends[middle] != end:
                 continue
-            if bar and (((key ^ (left << 40 | middle << 20 | end)) * 0x9E3779B97F4A7C15 & MASK) >> 32) < bar:
+            if key is not None and (((key ^ (left << 40 | middle << 20 | end)) * STEP & MASK) >> 32) < bar:
                 continue
+            if places is not None:
+                places.append((left << 40 | middle << 20 | end) & MASK)
             ends[left], ends[middle] = end, 0
             if end < n:
                 before[end] = left
@@ -106,21 +116,23 @@ class MergeDropout:
         return out
 
     def encode(self, text: str, first: int = 0) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; word i is encoded by variant first + i. Empty for an empty text."""
+        """Ids as little-endian unsigned 32-bit integers; word i is encoded by draw first + i. Empty for an empty text."""
         if not text:
             return b""
         words = WORD.findall(" " + text)
-        if self.variants == 1:
-            out = b"".join(map(self.known[0].__getitem__, words))
-        else:
-            parts: list = [None] * len(words)
-            for v in range(self.variants):
-                parts[v :: self.variants] = map(self.known[(first + v) % self.variants].__getitem__, words[v :: self.variants])
-            out = b"".join(parts)
-        for own in self.known:
-            if len(own) > self.limit:
-                own.clear()
-        return out
+        found = list(map(self.known.__getitem__, words))
+        parts = [f[0] for f in found]
+        if self.bar:
+            digest, draw = xxhash.xxh64_intdigest, self.seed * self.variants + first
+            keys = [digest(f[1], draw + i & MASK) for i, f in enumerate(found)]
+            # Where no candidate that is taken without dropout is skipped, the ids are those without dropout.
+            owner = np.repeat(np.arange(len(words)), [len(f[2]) // 8 for f in found])
+            mixed = (np.array(keys, "u8")[owner] ^ np.frombuffer(b"".join([f[2] for f in found]), "u8")) * np.uint64(STEP)
+            for i in np.unique(owner[(mixed >> np.uint64(32)) < self.bar]).tolist():
+                parts[i] = np.array(self._merged(words[i], keys[i]), "<u4").tobytes()
+        if len(self.known) > self.limit:
+            self.known.clear()
+        return b"".join(parts)
 
     def decode(self, ids) -> str:
         """The text of ids that encode() gave; the space that encoding put first is taken away."""
@@ -128,26 +140,26 @@ class MergeDropout:
 
 
 @cache
-def shared_coder(path: str, dropout: float, seed: int, variants: int) -> MergeDropout:
+def shared_coder(path: str, dropout: float, seed: int) -> MergeDropout:
     """One for all tasks that run in a worker process."""
-    return MergeDropout(path, dropout, seed, variants)
+    return MergeDropout(path, dropout, seed)
 
 
-def first_variant(doc) -> int:
-    """The variant of a document's first word."""
-    return zlib.crc32(str(doc).encode())
+def first_draw(doc, seed: int) -> int:
+    """The draw of a document's first word, of 64 bits; the draws of its further words follow."""
+    return xxhash.xxh64_intdigest(str(doc).encode(), seed)
 
 
-def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = PIECES, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = PIECES, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id and ids (array<int>) for every row, from its whole text; null text counts as empty and has no ids.
 
     Equal (seed, id, text) have equal ids, whatever the partitioning. Ids may be null or repeated; other columns are ignored.
     """
 
     def run(batches):
-        coder = shared_coder(model_path, dropout, seed, variants)
+        coder = shared_coder(model_path, dropout, seed)
         for batch in batches:
-            coded = [coder.encode(t or "", first_variant(d)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            coded = [coder.encode(t or "", first_draw(d, seed)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
             ids = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(np.frombuffer(b"".join(coded), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -160,7 +172,7 @@ def decode_documents(coded: DataFrame, model_path: str = PIECES) -> DataFrame:
     """doc_id and text from rows of doc_id and ids; null ids count as none."""
 
     def run(batches):
-        coder = shared_coder(model_path, 0, 0, 1)
+        coder = shared_coder(model_path, 0, 0)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
@@ -168,15 +180,15 @@ def decode_documents(coded: DataFrame, model_path: str = PIECES) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def recode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = PIECES, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def recode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = PIECES, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """Encodes and decodes every row in one pass: doc_id, n_tokens, ids_crc32, and n_chars and text_sha256 of the decoded text."""
 
     def run(batches):
-        coder = shared_coder(model_path, dropout, seed, variants)
+        coder = shared_coder(model_path, dropout, seed)
         for batch in batches:
             rows = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = coder.encode(t or "", first_variant(d))
+                ids = coder.encode(t or "", first_draw(d, seed))
                 text = coder.decode(memoryview(ids).cast("I"))
                 rows.append((len(ids) // 4, zlib.crc32(ids), len(text), hashlib.sha256(text.encode()).hexdigest()))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
