@@ -21,7 +21,10 @@ NAME = re.compile(r"[a-z]+")
 WHITE = re.compile(r"\s+")
 # Names of HTML elements by how they are parsed.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style noscript template title head textarea iframe svg math object canvas audio video".split())
+#: Skipped up to the end tag; markup within them is text.
+UNSEEN = set("script style noscript title textarea iframe".split())
+#: Elements without seen text that stand on the stack, so that one without an end tag ends with its parent.
+HIDDEN = set("template svg math object canvas audio video".split())
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend "
     "li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -39,12 +42,13 @@ def keys_of(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks with text, in order. Comments, the head, scripts, styles and other unseen elements have none."""
+    """The page's blocks with text, in order. Comments, titles, scripts, styles and other unseen elements have none. The tags of the head, which may be left out, are passed over."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     runs: list[str] = []
     known: dict[tuple[str, str], tuple[str, ...]] = {}
     linked = links = 0
+    hidden: int | None = None  # where the outermost open element of HIDDEN stands
 
     def flush() -> None:
         nonlocal linked
@@ -55,9 +59,16 @@ def blocks_of(page: str) -> list[Block]:
         linked = 0
 
     def close(at: int) -> None:
-        nonlocal links
-        if any(t in BLOCK for t, _ in stack[at:]):
+        nonlocal hidden
+        if hidden is not None and at <= hidden:
+            drop(hidden)
+            hidden = None
+        if hidden is None and any(t in BLOCK for t, _ in stack[at:]):
             flush()
+        drop(at)
+
+    def drop(at: int) -> None:
+        nonlocal links
         links -= sum(t == "a" for t, _ in stack[at:])
         del stack[at:]
 
@@ -71,6 +82,8 @@ def blocks_of(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal linked
+        if hidden is not None:
+            return
         text = html.unescape(text) if "&" in text else text
         runs.append(text)
         if links:
@@ -91,27 +104,37 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if (i := find({tag}, set())) >= 0:
                 close(i)
-            elif tag in BLOCK:
+            elif tag in BLOCK and hidden is None:
                 flush()
             continue
+        if tag == "head":
+            continue
         if tag in VOID:
+            if hidden is not None:
+                continue
             if tag == "br":
                 runs.append(" ")
             elif tag == "hr":
                 flush()
             continue
         if tag in UNSEEN:
-            if m[3].endswith("/") and tag in ("svg", "math"):
-                continue
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else size
             continue
+        if tag in HIDDEN:
+            if m[3].endswith("/") and tag in ("svg", "math"):
+                continue
+            hidden = len(stack) if hidden is None else hidden
         if tag in BLOCK:
-            if tag in ENDS and (i := find(*ENDS[tag])) >= 0:
+            # HTML within a drawing or a formula ends it; an object or a template holds its own.
+            if hidden is not None and (i := find({"svg", "math"}, {"foreignobject", "annotation-xml", "object", "template"})) >= 0:
                 close(i)
-            if tag != "option" and (i := find({"p"}, {"td", "th", "table", "button", "li"} if tag == "p" else {"td", "th", "table", "button"})) >= 0:
+            if tag in ENDS and (i := find(ENDS[tag][0], ENDS[tag][1] | {"object", "template"})) >= 0:
                 close(i)
-            flush()
+            if tag != "option" and (i := find({"p"}, {"td", "th", "table", "button", "object", "template", "li"} if tag == "p" else {"td", "th", "table", "button", "object", "template"})) >= 0:
+                close(i)
+            if hidden is None:
+                flush()
         elif tag == "a":
             links += 1
         where = (tag, m[3])
