@@ -69,16 +69,16 @@ def audit(status: Column, size: Column, url: Column) -> Column:
     return F.struct((status < 400).alias("ok"), F.when(blocked, "blocked download").alias("note"))
 
 
-def reachable(start: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """Pages that a crawl from start (url) finds over edges (url, target), each once with its depth; breadth first, a join and an anti-join a level."""
+def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pages that a crawl from start (url) finds over edges (url, target), each once with its depth; breadth first, a join and an anti-join a level, until no page is new."""
     seen, edge = start.select("url").distinct().withColumn("depth", F.lit(0)), edges.select("url", "target").distinct()
-    front = seen
-    for depth in range(1, most + 1):
+    front, depth = seen, 0
+    while True:
+        depth += 1
         front = front.join(edge, "url").select(F.col("target").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front).checkpoint()
-    return seen
 
 
 def stop_after_misses(df: DataFrame, key: str, number: str, missed: Column, run: int = 5, most: int = 50) -> DataFrame:
