@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bloom
 from lodestone.llm.common import heavy_join, materialize
-from lodestone.llm.linking import MAX_FILTER_BYTES, Get, link, only
+from lodestone.llm.linking import MAX_FILTER_BYTES, Get, Test, link, only
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -170,7 +170,12 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("item", "text").mapInArrow(run, "item long, grams array<int>")
 
 
-def alike(threshold: float = SIMILARITY):
+def near(limit: int) -> Test:
+    """Whether the sampled bits of two documents differ in at most so many places."""
+    return lambda a, b: F.bit_count(a("s0").bitwiseXOR(b("s0"))) + F.bit_count(a("s1").bitwiseXOR(b("s1"))) <= limit
+
+
+def alike(threshold: float = SIMILARITY) -> Test:
     """Whether two multisets grams overlap enough; sizes that rule it out are looked at first."""
 
     def of(a: Get, b: Get) -> Column:
@@ -197,13 +202,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     placed = materialize(heavy_join(signed.select("doc_id", "content"), groups.where("n > 1"), "content", F.col("n"), rows).select("doc_id", "content", F.coalesce("item", "doc_id").alias("item")), "placed")
     own = placed.where("content is not null and doc_id = item").select("doc_id").distinct()
     heads = materialize(signed.where("content is not null").join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("item"), "bands", "s0", "s1"), "heads")
-    bands = heads.select("item", F.explode("bands").alias("key"))
+    bands = heads.select("item", F.explode("bands").alias("key"), "s0", "s1")
 
     def fetch(items: DataFrame) -> DataFrame:
         texts = docs.select(F.col("doc_id").alias("item"), "text")
         return shingle_sets(only(texts, items, items.count()).groupBy("item").agg(F.max("text").alias("text")))
 
-    labels = link(bands, heads.select("item", "s0", "s1"), NEAR_BITS, fetch, ["grams"], alike(threshold))
+    labels = link(bands, ["s0", "s1"], near(NEAR_BITS), fetch, ["grams"], alike(threshold))
     named = labels.select(F.col("item"), F.col("label"))
     sizes = materialize(placed.groupBy("item").agg(F.count("*").alias("of_item")).join(named, "item"), "classes")
     return heavy_join(placed, sizes, "item", F.col("of_item"), max(1, rows)).select("doc_id", F.col("item").alias("copy_of"), F.coalesce("label", "item").alias("class_id"))

@@ -36,7 +36,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     digest = F.col("text_sha256")
     wanted = digests.select(F.explode(F.array(*bloom.positions(digest, bits))).alias("position"))
     twice = wanted.groupBy("position").agg(F.count("*").alias("n")).where("n > 1")
-    probed = bloom.probe(digests, bloom.from_positions(twice, "bloom"), digest, bits, "possible")
+    probed = bloom.probe(digests, bloom.from_positions(twice, bits, "bloom"), digest, bits, "possible")
     possible = F.col("possible")
 
     single = probed.where(~possible).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")

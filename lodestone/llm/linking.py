@@ -1,7 +1,7 @@
 """From shared keys to classes of linked items, without all pairs of a group and without the driver.
 
-Items are longs. An item has several keys (bands or blocks of a signature) and a signature of two
-longs whose differing bits estimate how far two items are apart.
+Items are longs. An item has several keys (bands of a signature, parts of a line) and a sketch: a few
+columns from which near() tells pairs that cannot be alike.
 """
 
 from __future__ import annotations
@@ -12,16 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import bloom
-from lodestone.llm.common import heavy_join, materialize
+from lodestone.llm.common import HEAVY_SHARE, discard, heavy_join, materialize
 
 MAX_FILTER_BYTES = 64 << 20
 #: Items of a key that are compared in one row.
 BLOCK_ITEMS = 32
+MANY_PAIRS = 5000
 Get = Callable[[str], Column]
-
-
-def _counts(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count("*").alias("n"))
+Test = Callable[[Get, Get], Column]
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -42,9 +40,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         least = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
         large = heavy_join(both, least, "a", F.col("n"), 2 * rows, 2 * rows).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = materialize(large, "edges")
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-        moved = heavy_join(large, least, "a", F.col("n"), rows, rows).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        after = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        moved = heavy_join(large, after, "a", F.col("n"), rows, rows).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        settled = materialize(moved.unionByName(after.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(now, least, large, after)
+        now = settled
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("item"), F.col("b").alias("label")).unionByName(now.select("b", F.col("b").alias("label")).distinct().toDF("item", "label"))
@@ -69,16 +69,21 @@ def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shared_members(rows: DataFrame) -> DataFrame:
-    """(key, item, hub, n) of all items that share a key (item, key); hub is the least item of the key.
+    """The distinct rows (key, item, ...) whose key two items share, with hub, the least item of the key, and n, its items.
 
-    The keys are counted with a partial aggregate; then a Bloom filter of the shared ones
-    keeps the items of all others from being shuffled.
+    The keys are looked over with a partial aggregate; then a Bloom filter of the shared ones keeps the items of
+    nearly all others from being shuffled. The filter is broadcast and has at most MAX_FILTER_BYTES.
     """
-    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("item").alias("hub")).where("n > 1"), "keys")
-    total = keys.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    bits = bloom.size_for(total["k"], 16, MAX_FILTER_BYTES)
-    maybe = bloom.probe(rows, bloom.of_keys(keys, "key", bits), F.col("key"), bits).where("maybe").drop("maybe")
-    return heavy_join(maybe, keys, "key", F.col("n"), max(1, total["n"]), total["k"]).where("hub is not null")
+    keys = materialize(rows.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).where("low <> high").select("key"), "keys")
+    bits = bloom.size_for(max(1, keys.count()), 16, MAX_FILTER_BYTES)
+    maybe = materialize(bloom.probe(rows, bloom.of_keys(keys, "key", bits), F.col("key"), bits).where("maybe").drop("maybe").distinct(), "maybe")
+    sizes = maybe.groupBy("key").agg(F.min("item").alias("hub"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("item")).alias("mark")).where("n > 1")
+    # Of keys with the same items, which one text in several places gives, one is enough.
+    sizes = materialize(sizes.groupBy("hub", "n", "mark").agg(F.min("key").alias("key")).drop("mark"), "sizes")
+    total = sizes.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    found = materialize(heavy_join(maybe, sizes, "key", F.col("n"), max(1, total["n"]), total["k"]).where("hub is not null"), "members")
+    discard(keys, maybe, sizes)
+    return found
 
 
 def only(df: DataFrame, items: DataFrame, rows: int, key: str = "item") -> DataFrame:
@@ -89,59 +94,81 @@ def only(df: DataFrame, items: DataFrame, rows: int, key: str = "item") -> DataF
 
 
 def _with(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs (a, b) with the table's columns of both items, suffixed _a and _b.
+    """pairs (a, b), materialized, with the table's columns of both items, suffixed _a and _b.
 
-    Items that occur in a large share of the pairs are joined by broadcast.
+    Items that stand in MANY_PAIRS pairs and a large share of all, at most HEAVY_SHARE a side, are joined by broadcast.
     """
-    out = pairs
+    out, least = pairs, max(MANY_PAIRS, pairs.count() // HEAVY_SHARE)
     for side in "ab":
-        named = table.select(F.col("item").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-        out = out.join(named, side)
+        own = table.select(F.col("item").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        heavy = materialize(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(side), "heavy")
+        if heavy.isEmpty():
+            out = out.join(own, side)
+        else:
+            few = F.broadcast(heavy)
+            out = out.join(F.broadcast(own.join(few, side)), side).unionByName(out.join(few, side, "left_anti").join(own, side))
     return out
 
 
-def near(limit: int) -> Column:
-    """Whether the signatures of two items differ in at most so many bits."""
-    return F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) <= limit
+def sides(a: str = "{}_a", b: str = "{}_b") -> tuple[Get, Get]:
+    return lambda c: F.col(a.format(c)), lambda c: F.col(b.format(c))
+
+
+def once(value: Column) -> Column:
+    """A generator of the value: a filter on it is not pushed below, where the value would be computed once more."""
+    return F.explode_outer(F.array(value))
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def link(rows: DataFrame, signatures: DataFrame, limit: int, fetch: Callable[[DataFrame], DataFrame], columns: list[str], alike: Callable[[Get, Get], Column]) -> DataFrame:
-    """(item, label) of all items that a chain of links joins; a link is a pair that shares a key, is near() and alike.
+def _dealt(members: DataFrame, size: str, columns: list[str]) -> DataFrame:
+    """(key, block, held): the items of each key, size of them, in blocks of about BLOCK_ITEMS, so that a common key is many rows."""
+    blocks = members.withColumn("block", F.pmod(F.xxhash64("item"), _blocks(size)).cast("int"))
+    return blocks.groupBy("key", "block").agg(F.collect_list(F.struct("item", *columns)).alias("held"))
+
+
+def _blocks(size: str) -> Column:
+    return F.ceil(F.col(size) / BLOCK_ITEMS).cast("int")
+
+
+def link(rows: DataFrame, sketch: list[str], near: Test, fetch: Callable[[DataFrame], DataFrame], columns: list[str], alike: Test) -> DataFrame:
+    """(item, label) of all items that a chain of links joins; a link is a pair that shares a key, is near and alike.
 
-    rows: (item, key); signatures: (item, s0, s1), unique by item; fetch: from the items of near
-    pairs to their columns, called once; alike: from two functions that give a column of either item.
-    First each item is held against the least item of each of its keys, then, where a key still has several
+    rows: (item, key) and the columns of the sketch, which depend on the item alone; rows may repeat. fetch: from the items of near
+    pairs to their columns, called once; near, alike: from two functions that give a column of either item.
+    First each item is held against the least item of each of its keys, or, if it isn't near that, against one near
+    item in each block of the key's items; then, where a key still has several
     labels, against an item of the key chosen by hash. So a group that holds together costs a few pairs an item.
     Items that are in another label than most of a key after that are compared with blocks of
     the key's items; only links leave that step. So none between different labels is missed.
     """
-    members = materialize(shared_members(rows).join(signatures, "item"), "members")
+    members = shared_members(rows)
     total = max(1, members.count())
-    hub = members.where("item = hub").select("key", F.col("s0").alias("s0_b"), F.col("s1").alias("s1_b"))
-    hubs = materialize(hub.join(_counts(members, "key"), "key").withColumnRenamed("n", "of_key"), "hubs")
-    spokes = members.where("item <> hub").select("key", F.col("item").alias("a"), F.col("hub").alias("b"), F.col("s0").alias("s0_a"), F.col("s1").alias("s1_a"))
+    hubs = materialize(members.where("item = hub").select("key", F.col("n").alias("of_key"), *[F.col(c).alias(f"{c}_b") for c in sketch]), "hubs")
+    spokes = members.where("item <> hub").select("key", "n", F.col("item").alias("a"), F.col("hub").alias("b"), *[F.col(c).alias(f"{c}_a") for c in sketch])
     held = heavy_join(spokes, hubs, "key", F.col("of_key"), total, total)
-    held = materialize(held.select("key", "a", "b", "s0_a", "s1_a", near(limit).alias("near")), "held")
-    first = materialize(held.where("near").select("a", "b").distinct(), "pairs")
-    # Items that are far from their key's hub may be near to others of the key.
-    far = held.where("not near").select("key", "a", "s0_a", "s1_a")
-    other = members.where("n > 2 and item <> hub").select("key", F.col("item").alias("b"), F.col("s0").alias("s0_b"), F.col("s1").alias("s1_b"))
-    apart = far.join(other, "key").where((F.col("a") != F.col("b")) & near(limit)).select(*_ordered("a", "b")).distinct()
-    wanted = first.unionByName(materialize(apart, "apart")).distinct()
-    known = materialize(fetch(materialize(wanted.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "wanted")), "known")
-    same = alike(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
+    held = materialize(held.select("key", "n", "a", "b", *[f"{c}_a" for c in sketch], near(*sides()).alias("near")), "held")
+    first = held.where("near").select("a", "b").distinct()
+    # Items that are far from their key's hub may be near to others of the key; one of each block shows that.
+    asking = held.where("not near and n > 2").withColumn("block", F.explode(F.sequence(F.lit(0), _blocks("n") - 1)))
+    others = _dealt(members.where("n > 2 and item <> hub"), "n", sketch)
+    mine = sides()[0]
+    some = F.filter("held", lambda x: (x["item"] != F.col("a")) & near(mine, lambda c: x[c]))
+    apart = asking.drop("b").join(others, ["key", "block"]).select("a", once(F.array_min(F.transform(some, lambda x: x["item"]))).alias("b")).where("b is not null")
+    wanted = materialize(first.unionByName(apart.select(*_ordered("a", "b"))).distinct(), "wanted")
+    items = materialize(wanted.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "items")
+    known = materialize(fetch(items), "known")
+    discard(hubs, held)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return materialize(_with(pairs, known, columns).where(same).select("a", "b"), "links")
+        return materialize(_with(pairs, known, columns).where(alike(*sides())).select("a", "b"), "links")
 
     labels = materialize(components(checked(wanted)), "labels")
     for last in (False, True):
         inside = known.select("item").join(labels, "item", "left").select("item", F.coalesce("label", "item").alias("label"))
-        placed = members.where("n > 2").select("key", "item", "s0", "s1").join(inside, "item")
+        placed = members.where("n > 2").select("key", "item", *sketch).join(inside, "item")
         mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("item", F.xxhash64("item", "key")).alias("chosen"), F.count("*").alias("m")).where("low <> high")
         mixed = materialize(mixed.select("key", "chosen", "m"), "mixed")
         size = mixed.agg(F.sum("m").alias("m")).first()["m"]
@@ -153,27 +180,30 @@ def link(rows: DataFrame, signatures: DataFrame, limit: int, fetch: Callable[[Da
             pairs = heavy_join(placed.select("key", F.col("item").alias("a"), F.col("chosen").alias("b"), "label"), one, "key", F.col("of_key"), size, size).where("label <> label_b")
             more = materialize(pairs.select(*_ordered("a", "b")).distinct().join(wanted, ["a", "b"], "left_anti"), "pairs")
             labels = joined(labels, checked(more))
-    return joined(labels, materialize(_in_blocks(placed, known, limit, columns, alike), "links"))
+    found = joined(labels, materialize(_in_blocks(placed, size, known, sketch, near, columns, alike), "links"))
+    discard(members, known, placed)
+    return found
 
 
-def _in_blocks(placed: DataFrame, known: DataFrame, limit: int, columns: list[str], alike: Callable[[Get, Get], Column]) -> DataFrame:
-    """(a, b) of all links between different labels of a key; placed: (key, item, label, s0, s1, m), m items in the key.
+def _in_blocks(placed: DataFrame, rows: int, known: DataFrame, sketch: list[str], near: Test, columns: list[str], alike: Test) -> DataFrame:
+    """(a, b) of all links between different labels of a key; placed: (key, item, label, sketch, m), rows rows, m items in the key.
 
     Two items of different labels include one outside the key's most usual label; those alone ask. The items of a key are
     dealt into blocks of about BLOCK_ITEMS; an asking item goes to every block of its key and keeps what it is linked to there.
     """
     sizes = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
-    usual = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("usual"))
-    blocks = F.ceil(F.col("m") / BLOCK_ITEMS).cast("int")
-    full = placed.join(known, "item")
-    dealt = full.withColumn("block", F.pmod(F.xxhash64("item"), blocks).cast("int"))
-    dealt = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("item", "label", "s0", "s1", *columns)).alias("held"))
-    asking = full.join(usual, "key").where("label <> usual")
-    asking = asking.select("key", F.col("item").alias("a"), F.col("label").alias("label_a"), F.col("s0").alias("s0_a"), F.col("s1").alias("s1_a"), *[F.col(c).alias(f"{c}_a") for c in columns], F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    usual = materialize(sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("usual"), F.sum("c").alias("of_key")), "usual")
+    # An item has few keys. Two items are compared in the least key that they share, and by one of them if both ask.
+    keys = placed.groupBy("item").agg(F.collect_list("key").alias("keys"))
+    full = heavy_join(placed, usual, "key", F.col("of_key"), rows, rows).withColumn("asks", F.col("label") != F.col("usual")).drop("usual", "of_key")
+    full = materialize(full.join(known.join(keys, "item"), "item"), "full")
+    dealt = _dealt(full, "m", ["label", "asks", "keys", *sketch, *columns])
+    asking = full.where("asks").select("key", F.col("item").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("label", "keys", *sketch, *columns)], F.explode(F.sequence(F.lit(0), _blocks("m") - 1)).alias("block"))
+    mine = sides()[0]
 
     def linked(x: Column) -> Column:
-        differs = F.bit_count(F.col("s0_a").bitwiseXOR(x["s0"])) + F.bit_count(F.col("s1_a").bitwiseXOR(x["s1"]))
-        return F.when((x["label"] != F.col("label_a")) & (differs <= limit), alike(lambda c: F.col(f"{c}_a"), lambda c: x[c])).otherwise(F.lit(False))
+        here = (x["label"] != F.col("label_a")) & (~x["asks"] | (x["item"] < F.col("a"))) & near(mine, lambda c: x[c])
+        return F.when(here & (F.array_min(F.array_intersect(F.col("keys_a"), x["keys"])) == F.col("key")), alike(mine, lambda c: x[c])).otherwise(F.lit(False))
 
     found = asking.join(dealt, ["key", "block"]).select("a", F.filter("held", linked).alias("held"))
-    return found.select("a", F.explode("held").alias("x")).select(*_ordered("a", "x.item")).distinct()
+    return found.select("a", F.explode_outer("held").alias("x")).where("x is not null").select(*_ordered("a", "x.item")).distinct()

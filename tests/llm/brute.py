@@ -6,7 +6,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
-import xxhash
+import numpy as np
 
 
 class Sets:
@@ -53,43 +53,62 @@ def normal_line(line: str) -> str:
     return " ".join(re.findall(r"[^\s!-/:-@\[-`{-~]+", line.lower(), flags=re.A))
 
 
-def simhash(norm: str) -> int | None:
-    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in norm.split(" ") if len(w) >= 4]
-    return None if not words else sum((sum(w >> b & 1 for w in words) * 2 > len(words)) << b for b in range(64))
-
-
 def distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def line_dedup(docs: list[tuple[int, str | None]]) -> dict[int, str | None]:
-    """Text by id: all pairs of lines whose SimHashes agree in two of four blocks and are near are compared."""
-    first, sets, where = {}, Sets(), []
+    """Edit distance by bits: a bit for each character of a, a step for each of b."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every, last, up, down, found = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        across = (((same & up) + up) ^ up) | same | down
+        more, less = down | (~(across | up) & every), up & across
+        found += bool(more & last) - bool(less & last)
+        more = more << 1 | 1
+        up, down = ((less << 1) | ~(across | more)) & every, more & across & every
+    return found
+
+
+def letter_pairs(norm: str) -> np.ndarray:
+    """Counts of letters, and of pairs of neighbours, by hash."""
+    out = np.zeros(512, "i4")
+    for c in norm:
+        out[ord(c) % 64] += 1
+    for a, b in zip(norm, norm[1:]):
+        out[64 + (ord(a) * 31 + ord(b)) % 448] += 1
+    return out
+
+
+def line_classes(norms: list[str], threshold: float = 0.9) -> Sets:
+    """Lines by number, all pairs compared by edit distance alone.
+
+    An edit changes two letters and four pairs of neighbours at most, so counts that differ more rule a pair out.
+    """
+    sets, counts = Sets(), np.array([letter_pairs(n) for n in norms]).reshape(len(norms), 512)
+    sizes = np.array([len(n) for n in norms])
+    for i, a in enumerate(norms):
+        most = np.floor((1 - threshold) * np.maximum(sizes[:i], len(a)) + 1e-9)
+        maybe = np.flatnonzero(np.abs(sizes[:i] - len(a)) <= most)
+        differ = np.abs(counts[maybe] - counts[i])
+        maybe = maybe[(differ[:, :64].sum(axis=1) <= 2 * most[maybe]) & (differ[:, 64:].sum(axis=1) <= 4 * most[maybe])]
+        for j in maybe.tolist():
+            if sets.find(i) != sets.find(j) and distance(a, norms[j]) <= most[j]:
+                sets.join(i, j)
+    return sets
+
+
+def line_dedup(docs: list[tuple[int, str | None]], threshold: float = 0.9) -> dict[int, str | None]:
+    """Text by id: of connected lines, those after the first go."""
+    number, where = {}, []
     for d, t in sorted(docs):
         for n, line in enumerate((t or "").split("\n")):
             if norm := normal_line(line):
-                where.append((d, n, norm))
-                first.setdefault(norm, (d, n))
-    cuts = [0, 16, 32, 48, 64]
-    marks, holders = {n: simhash(n) for n in first}, defaultdict(list)
-    for n, s in marks.items():
-        sets.find((first[n], n))
-        if s is None:
-            continue
-        parts = [s >> a & ((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
-        for p in combinations(range(4), 2):
-            holders[(p, parts[p[0]], parts[p[1]])].append(n)
-    for a, b in {p for v in holders.values() for p in combinations(v, 2)}:
-        longest = max(len(a), len(b))
-        if (marks[a] ^ marks[b]).bit_count() <= 10 and abs(len(a) - len(b)) * 10 <= longest and distance(a, b) <= int(0.1 * longest + 1e-9):
-            sets.join((first[a], a), (first[b], b))
-    gone = defaultdict(set)
-    for d, n, norm in where:
-        if sets.find((first[norm], norm))[0] != (d, n):
+                where.append((d, n, number.setdefault(norm, len(number))))
+    sets, seen, gone = line_classes(list(number), threshold), set(), defaultdict(set)
+    for d, n, i in where:
+        if sets.find(i) in seen:
             gone[d].add(n)
+        seen.add(sets.find(i))
     return {d: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]) for d, t in docs}
