@@ -132,10 +132,10 @@ def chunk_type_batch(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", classify.batch_chunk_type(typed(), F.when(F.col("doc_id") % 7 == 0, "academic_method").otherwise("other")).alias("kind"))
 
 
-@query("needs_context", f"SELECT doc_id, length(t) < 120 OR (NOT contains(t, '.') AND length(t) < 200) AS needs FROM (SELECT doc_id, {stripped('substr(replace(text, chr(46), CASE WHEN doc_id % 2 = 0 THEN chr(46) ELSE chr(32) END), 1, 100 + (doc_id % 120)::INT)')} AS t FROM documents) q")
+@query("needs_context", f"SELECT doc_id, length(t) < 120 OR (NOT contains(t, '.') AND length(t) < 200) AS needs FROM (SELECT doc_id, {stripped('replace(text, chr(46), CASE WHEN doc_id % 2 = 0 THEN chr(46) ELSE chr(32) END)')} AS t FROM documents) q")
 def needs_context(spark, sf_dir):
     t = F.replace(F.col("text"), F.lit("."), F.when(F.col("doc_id") % 2 == 0, ".").otherwise(" "))
-    return table(spark, sf_dir, "documents").select("doc_id", classify.needs_context(F.substring(t, F.lit(1), (100 + F.col("doc_id") % 120).cast("int"))).alias("needs"))
+    return table(spark, sf_dir, "documents").select("doc_id", classify.needs_context(t).alias("needs"))
 
 
 @query("page_risks", f"SELECT doc_id, length({stripped('text')}) AS n_chars FROM documents WHERE length({stripped('text')}) < 400")
@@ -160,23 +160,23 @@ def llm_triage(spark, sf_dir):
 
 @query(
     "grounding_ratio",
-    """WITH p AS (SELECT doc_id, text, concat(substr(text, 3, 80), CASE WHEN doc_id % 3 = 0 THEN ' zzyzx quux' ELSE '' END) AS seg FROM documents),
+    """WITH p AS (SELECT doc_id, text, concat(text, CASE WHEN doc_id % 3 = 0 THEN ' zzyzx quux' ELSE '' END) AS seg FROM documents),
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(seg), '[a-z0-9]+')) AS w, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS k FROM p)
 SELECT doc_id, count(*) AS n_words, sum(CASE WHEN list_contains(k, w) THEN 1 ELSE 0 END) / count(*) AS ratio FROM w GROUP BY doc_id""",
 )
 def grounding_ratio(spark, sf_dir):
-    seg = F.concat(F.substring("text", 3, 80), F.when(F.col("doc_id") % 3 == 0, " zzyzx quux").otherwise(""))
+    seg = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " zzyzx quux").otherwise(""))
     words = F.size(F.regexp_extract_all(F.lower(seg), F.lit("[a-z0-9]+"), F.lit(0)))
     return table(spark, sf_dir, "documents").select("doc_id", words.cast("long").alias("n_words"), classify.grounding(seg, F.col("text")).alias("ratio")).where("n_words > 0")
 
 
-WRAPPED = """CASE item_id % 3 WHEN 0 THEN concat('```json', chr(10), '{"unit": ', item_id::VARCHAR, ', "ok": true}', chr(10), '```') WHEN 1 THEN concat('Sure: {"unit": ', item_id::VARCHAR, '} ', substr(text, 1, 9)) ELSE text END"""
+WRAPPED = """CASE item_id % 3 WHEN 0 THEN concat('```json', chr(10), '{"unit": ', item_id::VARCHAR, ', "ok": true}', chr(10), '```') WHEN 1 THEN concat('Sure: {"unit": ', item_id::VARCHAR, '} ', text) ELSE text END"""
 
 
 @query("json_extract", f"SELECT item_id, CASE WHEN contains(t, '{{') THEN (regexp_extract(regexp_extract(t, '(?s)\\{{.*\\}}', 0), '\"unit\": ([0-9]+)', 1))::BIGINT END AS unit FROM (SELECT item_id, {WRAPPED} AS t FROM benchmark) q")
 def json_extract(spark, sf_dir):
     i = F.col("item_id")
-    reply = F.when(i % 3 == 0, F.concat(F.lit('```json\n{"unit": '), i.cast("string"), F.lit(', "ok": true}\n```'))).when(i % 3 == 1, F.concat(F.lit('Sure: {"unit": '), i.cast("string"), F.lit("} "), F.substring("text", 1, 9))).otherwise(F.col("text"))
+    reply = F.when(i % 3 == 0, F.concat(F.lit('```json\n{"unit": '), i.cast("string"), F.lit(', "ok": true}\n```'))).when(i % 3 == 1, F.concat(F.lit('Sure: {"unit": '), i.cast("string"), F.lit("} "), "text")).otherwise(F.col("text"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.from_json(classify.json_part(reply), "unit long, ok boolean")["unit"].alias("unit"))
 
 
@@ -199,7 +199,7 @@ LINES = "VALUES ('7. Conclusions'), ('2020. This Report'), ('NEW THINGS NOW'), (
 
 @query(
     "heading_detect",
-    f"""WITH l AS (SELECT col0 AS line FROM ({LINES}) v UNION ALL SELECT substr(text, 1, 30) FROM documents UNION ALL SELECT concat((doc_id % 9 + 1)::VARCHAR, '. ', substr(text, 1, 12)) FROM documents),
+    f"""WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), l AS (SELECT col0 AS line FROM ({LINES}) v UNION ALL SELECT line FROM d UNION ALL SELECT concat((doc_id % 9 + 1)::VARCHAR, '. ', line) FROM d),
 s AS (SELECT {stripped("line")} AS s FROM l), m AS (SELECT s, regexp_extract(s, '^([0-9]+(?:\\.[0-9]+)*)\\.?\\s+([A-Z][A-Za-z,\\s:&/''–\\-]{{3,80}})$', 1) AS num, {stripped("regexp_extract(s, '^([0-9]+(?:" + chr(92) + ".[0-9]+)*)" + chr(92) + ".?" + chr(92) + "s+([A-Z][A-Za-z," + chr(92) + "s:&/''–" + chr(92) + "-]{3,80})$', 2)")} AS label FROM s),
 h AS (SELECT s, CASE WHEN length(s) NOT BETWEEN 3 AND 100 THEN NULL WHEN num <> '' THEN CASE WHEN regexp_matches(num, '^(19|20)[0-9][0-9]$') OR regexp_matches(label, '^(Department|School|University|Institute|Faculty)') OR length(label) < 5 OR regexp_matches(lower(label), '^(table|figure|fig\\.)') THEN NULL ELSE label END
 WHEN regexp_matches(s, '\\p{{Lu}}') AND NOT regexp_matches(s, '\\p{{Ll}}') AND contains(s, ' ') AND length(s) <= 60 AND len(string_split_regex(s, '\\s+')) BETWEEN 2 AND 6 THEN CASE WHEN regexp_matches(s, '^(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*\\s+[0-9]{{4}}$') THEN NULL ELSE 'capitals' END
@@ -208,15 +208,15 @@ SELECT s AS line, heading, count(*) AS n FROM h WHERE heading IS NOT NULL GROUP
 )
 def heading_detect(spark, sf_dir):
     fixed = spark.createDataFrame([(x,) for x in ("7. Conclusions", "2020. This Report", "NEW THINGS NOW", "DEC 2021", "About", "plain words here", "4.1.2. Black Letters", "1. Department of It", "2.1 Table of it", "x")], "line string")
-    docs = table(spark, sf_dir, "documents")
-    lines = fixed.union(docs.select(F.substring("text", 1, 30))).union(docs.select(F.concat((F.col("doc_id") % 9 + 1).cast("string"), F.lit(". "), F.substring("text", 1, 12))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
+    lines = fixed.union(docs.select("line")).union(docs.select(F.concat((F.col("doc_id") % 9 + 1).cast("string"), F.lit(". "), "line")))
     s = classify.strip(F.col("line"))
     found = lines.select(s.alias("line"), classify.heading(F.col("line")).alias("heading")).where("heading is not null")
     shown = F.when(~F.col("line").rlike(r"\p{Ll}"), "capitals").otherwise(F.col("heading"))
     return found.select("line", shown.alias("heading")).groupBy("line", "heading").agg(F.count("*").alias("n"))
 
 
-REFS = "concat(CASE WHEN doc_id % 3 = 0 THEN concat('[CrossRef]', chr(10), 'doi.org/1', chr(10), '1.', chr(10), '2.', chr(10), '3.', chr(10), 'ISBN 9', chr(10), '[PubMed] x', chr(10)) ELSE 'doi.org' END, substr(text, 1, 60))"
+REFS = "concat(CASE WHEN doc_id % 3 = 0 THEN concat('[CrossRef]', chr(10), 'doi.org/1', chr(10), '1.', chr(10), '2.', chr(10), '3.', chr(10), 'ISBN 9', chr(10), '[PubMed] x', chr(10)) ELSE 'doi.org' END, text)"
 SIGNAL = r"(?im)\[CrossRef\]|\[PubMed\]|doi\.org|Available\s+online:?\s+http|ISBN\s+[0-9]|Accessed\s+on\s+[0-9]|^\s*[0-9]+\.\s*$"
 
 
@@ -226,19 +226,19 @@ SIGNAL = r"(?im)\[CrossRef\]|\[PubMed\]|doi\.org|Available\s+online:?\s+http|ISB
 FROM (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: {stripped("x")}), lambda x: x <> '') AS l FROM (SELECT doc_id, {REFS} AS t FROM documents) q) q""",
 )
 def ref_only_page(spark, sf_dir):
-    t = F.concat(F.when(F.col("doc_id") % 3 == 0, "[CrossRef]\ndoi.org/1\n1.\n2.\n3.\nISBN 9\n[PubMed] x\n").otherwise("doi.org"), F.substring("text", 1, 60))
+    t = F.concat(F.when(F.col("doc_id") % 3 == 0, "[CrossRef]\ndoi.org/1\n1.\n2.\n3.\nISBN 9\n[PubMed] x\n").otherwise("doi.org"), "text")
     return table(spark, sf_dir, "documents").select("doc_id", classify.is_reference_page(t).alias("refs"))
 
 
 @query(
     "drop_ref_chunks",
-    """SELECT doc_id FROM (SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN concat('1. Smith, ', chr(10), 'doi.org') WHEN 1 THEN 'Climate. 2020, 12 [CrossRef]' ELSE '' END, substr(text, 1, 200 + (doc_id % 5)::INT * 150)) AS t FROM documents) q
+    """SELECT doc_id FROM (SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN concat('1. Smith, ', chr(10), 'doi.org') WHEN 1 THEN 'Climate. 2020, 12 [CrossRef]' ELSE '' END, text) AS t FROM documents) q
 WHERE NOT (length(t) <= 600 AND regexp_matches(t, '\\[CrossRef\\]|\\[PubMed\\]|doi\\.org') AND (regexp_matches(t, '(?m)^\\s*[0-9]+\\.\\s+[A-Z][a-z]+,') OR regexp_matches(t, '\\b[A-Z][a-z]+\\.\\s+[0-9]{4},\\s+[0-9]+')))""",
 )
 def drop_ref_chunks(spark, sf_dir):
     i = F.col("doc_id")
     head = F.when(i % 4 == 0, "1. Smith, \ndoi.org").when(i % 4 == 1, "Climate. 2020, 12 [CrossRef]").otherwise("")
-    t = F.concat(head, F.substring(F.col("text"), F.lit(1), (200 + i % 5 * 150).cast("int")))
+    t = F.concat(head, F.col("text"))
     return table(spark, sf_dir, "documents").where(~classify.looks_like_reference(t, F.lit("paragraph"))).select("doc_id")
 
 

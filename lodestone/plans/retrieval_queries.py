@@ -1,7 +1,6 @@
 """Queries over indexes, candidates and evidence: documents are the corpus, benchmark items the questions.
 
-Sources with even numbers stand in for web pages, the others for reports. Questions are their first words, so that they
-resemble no single document.
+Sources with even numbers stand in for web pages, the others for reports. Questions are whole texts.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from lodestone.plans.registry import query, table
 from lodestone.plans.text_queries import stripped
 
 CORPUS = "corpus AS (SELECT doc_id AS chunk_id, source, text, CASE WHEN substr(source, 4)::INT % 2 = 0 THEN 'website' ELSE 'pdf' END AS source_type FROM documents)"
-ASKED = f"asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark), intents AS (SELECT query_id, {sql_intent('lower(text)')} AS intent FROM asked)"
+ASKED = f"asked AS (SELECT item_id AS query_id, text FROM benchmark), intents AS (SELECT query_id, {sql_intent('lower(text)')} AS intent FROM asked)"
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 BM25 = f"""{CORPUS}, {ASKED},
 words AS (SELECT chunk_id, unnest({TOKENS}) AS term FROM corpus), sizes AS (SELECT chunk_id, len({TOKENS}) AS dl FROM corpus),
@@ -56,8 +55,8 @@ boosted AS (SELECT *, {BOOST} AS boost FROM deduped), hybrid AS (SELECT *, round
 RERANK = "(CASE WHEN len(list_distinct({q})) = 0 THEN 0::DOUBLE ELSE 10::DOUBLE * len(list_intersect(list_distinct({q}), list_distinct({p}))) / len(list_distinct({q})) END)"
 Q_TOKENS, P_TOKENS = "regexp_extract_all(lower(a.text), '[a-z0-9]+')", "regexp_extract_all(lower(substr(h.text, 1, 512)), '[a-z0-9]+')"
 FINAL = f"{HYBRID}, reranked AS (SELECT h.*, {RERANK.format(q=Q_TOKENS, p=P_TOKENS)} AS rerank FROM hybrid h JOIN asked a USING (query_id)), final AS (SELECT *, round(0.35::DOUBLE * hybrid + 0.65::DOUBLE * rerank / 10::DOUBLE, 6) AS final FROM reranked)"
-#: Memory of answers: a few of the questions with their own first words as answers; some deny.
-QA = f"""qa AS (SELECT item_id AS qa_id, text AS answer, item_id % 3 = 0 AS denies FROM benchmark WHERE item_id % 4 <> 1),
+#: Memory of answers: the questions' texts as answers; some deny.
+QA = f"""qa AS (SELECT item_id AS qa_id, text AS answer, item_id % 3 = 0 AS denies FROM benchmark),
 qtok AS (SELECT qa_id AS id, unnest(regexp_extract_all(lower(answer), '[a-z0-9]+')) AS t FROM qa), qdims AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS dim, sum(CASE WHEN substr(md5(t), 9, 1) < '8' THEN 1 ELSE -1 END)::BIGINT AS v FROM qtok GROUP BY ALL),
 qnorm AS (SELECT id, sum(v * v)::BIGINT AS n2 FROM qdims GROUP BY id),
 qscore AS (SELECT p.query_id, p.qa_id, round(p.dot::DOUBLE / sqrt(nq.n2::DOUBLE * nc.n2::DOUBLE), 6) AS score FROM (SELECT q.id AS query_id, c.id AS qa_id, sum(q.v * c.v) AS dot FROM dims q JOIN qdims c ON q.dim = c.dim AND q.kind = 'q' GROUP BY ALL) p JOIN norms nq ON nq.kind = 'q' AND nq.id = p.query_id JOIN qnorm nc ON nc.id = p.qa_id),
@@ -80,7 +79,7 @@ def corpus(spark, sf_dir):
 
 
 def asked(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def intents(questions):
@@ -124,7 +123,7 @@ def finals(spark, sf_dir):
 
 def memory(spark, sf_dir):
     """(query_id, chunk_id, raw_score, denies, answer) of answers above the floor."""
-    qa = table(spark, sf_dir, "benchmark").where("item_id % 4 <> 1").select(F.col("item_id").alias("chunk_id"), F.col("text"), (F.col("item_id") % 3 == 0).alias("denies"))
+    qa = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text"), (F.col("item_id") % 3 == 0).alias("denies"))
     found = dense_best(spark, qa, asked(spark, sf_dir), rules.TOP_K_QA).where(F.col("score") >= rules.QA_RELEVANCE_FLOOR)
     return found.join(qa, "chunk_id").select("query_id", F.concat(F.lit("qa"), F.col("chunk_id").cast("string")).alias("chunk_id"), F.col("score").alias("raw_score"), "denies", F.col("text").alias("answer"))
 
@@ -341,10 +340,9 @@ def corpus_union(spark, sf_dir):
     return both.select("source_type", F.coalesce("source_file", "source_pdf", F.lit("?")).alias("source"), "id", "n")
 
 
-@query("corpus_scan_filter", "SELECT vec_id, 'pdf' AS source_type, label FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 7 <> 0")
+@query("corpus_scan_filter", "SELECT vec_id, 'pdf' AS source_type, label FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0")
 def corpus_scan_filter(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 7 != 0, F.col("embedding")))
-    return rows.where("embedding is not null").select("vec_id", F.lit("pdf").alias("source_type"), "label")
+    return table(spark, sf_dir, "embeddings").where("size(embedding) > 0").select("vec_id", F.lit("pdf").alias("source_type"), "label")
 
 
 SECTIONED = f"{EVIDENCE}, blocks AS (SELECT e.query_id, e.rank, CASE WHEN e.layer = 'qa_memory' THEN 0 WHEN c.source_type = 'website' THEN 1 ELSE 2 END AS kind, concat('[Source: ', coalesce(c.source, 'qa_memory'), ']', chr(10), e.chunk_id) AS block FROM evidence e LEFT JOIN corpus c ON e.layer = 'corpus' AND e.chunk_id = c.chunk_id::VARCHAR)"

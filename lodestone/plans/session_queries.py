@@ -60,9 +60,9 @@ def events_hourly(spark, sf_dir):
     return stream.activity(table(spark, sf_dir, "events"))
 
 
-@query("chain_turns", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE role <> 'system' AND conv_id % 3 = 0")
+@query("chain_turns", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE role <> 'system'")
 def chain_turns(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role <> 'system' AND conv_id % 3 = 0")
+    rows = table(spark, sf_dir, "conversations").where("role <> 'system'")
     return rows.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("place"))
 
 
@@ -112,10 +112,9 @@ def decompose_parse(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", models.subquestions(reply, F.col("text")).alias("s")).select("item_id", F.size("s").alias("n"), F.get("s", F.lit(0)).alias("first"))
 
 
-@query("expand_gate", "SELECT item_id, len(string_split_regex(trim(substr(text, 1, 60 + (item_id % 5)::INT * 10)), '\\s+')) <= 12 AS expand FROM benchmark")
+@query("expand_gate", "SELECT item_id, len(string_split_regex(trim(text), '\\s+')) <= 12 AS expand FROM benchmark")
 def expand_gate(spark, sf_dir):
-    part = F.substring(F.col("text"), F.lit(1), (60 + F.col("item_id") % 5 * 10).cast("int"))
-    return table(spark, sf_dir, "benchmark").select("item_id", models.short_enough(part).alias("expand"))
+    return table(spark, sf_dir, "benchmark").select("item_id", models.short_enough(F.col("text")).alias("expand"))
 
 
 @query("consistency_parse", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN false ELSE true END AS is_consistent, CASE item_id % 3 WHEN 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS confidence FROM benchmark")

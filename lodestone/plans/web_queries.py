@@ -94,17 +94,18 @@ def page_links(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.posexplode(web.links(F.col("html"))).alias("i", "target")).withColumn("i", F.col("i").cast("long"))
 
 
-EDGES = "e AS (SELECT page_id AS a, (page_id * 7 + 3) % 101 AS b FROM pages UNION ALL SELECT page_id, (page_id * 3 + 1) % 53 FROM pages WHERE page_id % 2 = 0)"
+EDGES = f"l AS (SELECT url, unnest({HREFS}) AS target FROM pages), e AS (SELECT url AS a, target AS b FROM l UNION SELECT target, url FROM l)"
 
 
-@query("crawl_reachable", f"WITH RECURSIVE {EDGES}, r AS (SELECT 0::BIGINT AS url UNION SELECT e.b FROM r JOIN e ON e.a = r.url) SELECT url FROM r")
+@query("crawl_reachable", f"WITH RECURSIVE {EDGES}, r AS (SELECT min(url) AS url FROM pages UNION SELECT e.b FROM r JOIN e ON e.a = r.url) SELECT url FROM r")
 def crawl_reachable(spark, sf_dir):
+    """What a crawl from the first page finds by all links, followed both ways, as no link of the tables names a page."""
     from lodestone.functions.storage import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    p = pages(spark, sf_dir).select(F.col("page_id").alias("url"))
-    edges = p.select("url", ((F.col("url") * 7 + 3) % 101).alias("target")).union(p.where("url % 2 = 0").select("url", ((F.col("url") * 3 + 1) % 53).alias("target")))
-    return web.reachable(spark.createDataFrame([(0,)], "url long"), edges).select("url")
+    linked = pages(spark, sf_dir).select("url", F.explode(web.links(F.col("html"))).alias("target"))
+    edges = linked.union(linked.select("target", "url"))
+    return web.reachable(pages(spark, sf_dir).agg(F.min("url").alias("url")), edges).select("url")
 
 
 LISTED = "CASE page_id % 5 WHEN 0 THEN concat('  ', url, ' ') WHEN 1 THEN concat('# ', url) WHEN 2 THEN concat('see ', url, ').') WHEN 3 THEN ' ' ELSE 'nothing here' END"
