@@ -22,9 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand elsewhere; documents of which nothing is left go."""
+    """Texts without lines that stand elsewhere; documents of which nothing but white space is left go."""
     found = fuzzy_lines.dedup_lines(docs, carry=["lang", "source"])
-    left = found.where("text is null or n_kept = n_lines or trim(text) <> ''")
+    left = found.where(F.col("text").isNull() | (F.col("n_kept") == F.col("n_lines")) | F.col("text").rlike(r"(?U)\S"))
     return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -50,6 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences, as packing.pack_documents() gives them, from all documents.
+
+    Null texts and texts without a letter go in the first stage. Rows that repeat an id are documents of their own but
+    in near-dedup, which keeps or drops all rows of an id; rows with a null id are never dropped as copies. An empty table has no pieces. Columns
+    beyond those of documents are ignored.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
