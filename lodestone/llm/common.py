@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +59,50 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that have run; it does so once the driver's JVM has collected what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+_HELD: dict = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """What make() gives, kept for all tasks of one operator that run in a worker process.
+
+    A worker lives through the stages of a pipeline, so what another operator has kept is dropped first.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; called at the end of a task, as an idle worker would hold it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function from batches to batches, that gives memory back when it ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def carried(df: DataFrame, names: list[str], taken: list[str]) -> str:
     """DDL of columns that an operator passes on unchanged; they may not be called like its own."""
     if clash := set(names) & set(taken):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -112,3 +113,62 @@ def line_dedup(docs: list[tuple[int, str | None]], threshold: float = 0.9) -> di
             gone[d].add(n)
         seen.add(sets.find(i))
     return {d: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]) for d, t in docs}
+
+
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    """The fixed patterns of secrets, sign by sign."""
+    small, found, i = "0123456789abcdef", [], 0
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at: int, signs) -> int:
+        while at < len(text) and text[at] in signs:
+            at += 1
+        return at
+
+    def assigned(at: int) -> int | None:
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[at : at + len(name)].translate({c: c + 32 for c in range(65, 91)}) != name:
+                continue
+            p = at + len(name)
+            p = run(p + (text[p : p + 1] in ("'", '"') and p < len(text)), " ")
+            if text[p : p + 1] not in (":", "="):
+                continue
+            p = run(p + 1, " ")
+            p += text[p : p + 1] in ("'", '"') and p < len(text)
+            end = run(p, value)
+            if end > p:
+                return (end if end - p >= 6 else -end)
+        return None
+
+    while i < len(text):
+        end = assigned(i)
+        if end and end > 0:
+            found.append(("assign", i, end))
+        i = abs(end) if end else i + 1
+    i = 0
+    while (i := text.find("AKIA", i)) >= 0:
+        end = run(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        if end - i >= 20:
+            found.append(("access", i, end))
+        i = max(end, i + 4) if end > i + 4 else i + 1
+    i = 0
+    while i < len(text):
+        end = run(i, small)
+        if end - i >= 24:
+            found.append(("hex", i, end))
+        i = end + 1
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def log_ratio(text: str, samples: list[tuple[str, str]], alphabet: int, smoothing: float = 0.5) -> float:
+    """How much likelier text is to the best model of random strings than to that of ordinary ones, in nats."""
+    pairs: dict = defaultdict(Counter)
+    for sample, label in samples:
+        pairs[label].update(zip("^" + sample, sample))
+    logs = {}
+    for label, own in pairs.items():
+        firsts = Counter()
+        for (a, _), n in own.items():
+            firsts[a] += n
+        logs[label] = sum(math.log((own[a, b] + smoothing) / (firsts[a] + smoothing * alphabet)) for a, b in zip("^" + text, text))
+    return max(v for k, v in logs.items() if k != "ordinary") - logs["ordinary"]

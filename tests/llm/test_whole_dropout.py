@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-
 from lodestone.llm import merge_dropout
 
 
@@ -13,9 +11,12 @@ def test_each_occurrence_draws_anew(spark):
     assert len({tuple(r["ids"]) for r in rows}) == 20
 
 
-def test_encode_is_each_word_by_its_own_draw():
+def test_chunks_and_batches_change_nothing(monkeypatch):
     coder = merge_dropout.MergeDropout(dropout=0.2)
-    words = ["international", "straßenverkehr", "word", "日本x", "a" * 40, "▁x"] * 50
-    found = np.frombuffer(coder.encode(" ".join(words), 7), "<u4").tolist()
-    assert found == [x for i, w in enumerate(words) for x in coder.ids_of(" " + w, 7 + i)]
-    assert len({tuple(coder.ids_of(" international", d)) for d in range(300)}) > 8
+    texts = [" ".join(["international", "straßenverkehr", "word", "日本x", "a" * 40, "▁x"] * n) for n in (50, 0, 3, 120)]
+    found = coder.encode(texts, [7, 8, 9, 10])
+    assert [coder.encode([t], [i])[0] for t, i in zip(texts, (7, 8, 9, 10))] == found
+    monkeypatch.setattr(merge_dropout, "CHUNK", 64)
+    monkeypatch.setattr(merge_dropout, "TABLE", 100)
+    assert coder.encode(texts, [7, 8, 9, 10]) == found
+    assert [coder.decode(memoryview(c).cast("I")) for c in found] == texts
