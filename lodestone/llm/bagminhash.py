@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import bloom
-from lodestone.llm.common import heavy_join, materialize
+from lodestone.llm.common import heavy_join, materialize, tidy, worker_cache
 from lodestone.llm.linking import MAX_FILTER_BYTES, Get, Test, link, only
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -55,21 +55,20 @@ class Words(dict):
         return found
 
 
-KNOWN = Words()
-
 
 def shingles(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document index, shingle hash, weight) of the distinct shingles of each text, by document and hash, and words of each text.
 
     Words are lower-cased and split at white space. A text of fewer than k words has one shingle, of all of them.
     """
+    known = worker_cache("words", Words)
     words = [t.lower().split() for t in texts]
     counts = np.array([len(w) for w in words], "i8")
     padded = np.maximum(counts, np.where(counts > 0, k, 0))
     starts = np.cumsum(padded) - padded
     flat = np.zeros(int(padded.sum()) + k, "u8")
     for w, at in zip(words, starts.tolist()):
-        flat[at : at + len(w)] = np.fromiter(map(KNOWN.__getitem__, w), "u8", len(w))
+        flat[at : at + len(w)] = np.fromiter(map(known.__getitem__, w), "u8", len(w))
     n = np.maximum(padded - k + 1, 0)
     doc = np.repeat(np.arange(len(texts)), n)
     first = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
@@ -147,7 +146,7 @@ def sign_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype="i4") * BANDS), pa.array(bands.view("i8").ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), lists, pa.array(packed[:, 0]), pa.array(packed[:, 1])], ["doc_id", "content", "bands", "s0", "s1"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SIGNED)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), SIGNED)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -167,7 +166,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype("i4")), pa.array(grams))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["item", "grams"])
 
-    return docs.select("item", "text").mapInArrow(run, "item long, grams array<int>")
+    return docs.select("item", "text").mapInArrow(tidy(run), "item long, grams array<int>")
 
 
 def near(limit: int) -> Test:
@@ -208,7 +207,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         texts = docs.select(F.col("doc_id").alias("item"), "text")
         return shingle_sets(only(texts, items, items.count()).groupBy("item").agg(F.max("text").alias("text")))
 
-    labels = link(bands, ["s0", "s1"], near(NEAR_BITS), fetch, ["grams"], alike(threshold))
+    labels = link(bands, near(NEAR_BITS), fetch, ["grams"], alike(threshold))
     named = labels.select(F.col("item"), F.col("label"))
     sizes = materialize(placed.groupBy("item").agg(F.count("*").alias("of_item")).join(named, "item"), "classes")
     return heavy_join(placed, sizes, "item", F.col("of_item"), max(1, rows)).select("doc_id", F.col("item").alias("copy_of"), F.coalesce("label", "item").alias("class_id"))
