@@ -3,20 +3,26 @@
 Two kinds of character bigram models are trained from labelled samples, one for each style of
 random string and one for ordinary identifiers. A long token whose best random model beats the
 ordinary one by a margin of log-likelihood is a secret.
+
+The ordinary samples are names made of the words of two public vocabularies, of many languages, as programs and
+people write them: with signs, in camel case, with versions, dates and numbers.
 """
 
 from __future__ import annotations
 
-import hashlib
+import base64
+import json
 import math
 import random
 import re
 from collections.abc import Iterable
+from functools import cache
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import carried
+from lodestone.llm.common import carried, tidy, worker_cache
 
 # The base patterns that the contract of the query states.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -25,51 +31,66 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "markov")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: Tokens that the models judge.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Nats by which a random model must win, and a digit or a change of case must occur as often as one character in so many.
-MARGIN = 12.0
+#: Tokens that the models judge: the signs at their ends don't count, so runs of signs are none.
+CANDIDATE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+/_=-]{18,}[A-Za-z0-9])")
+#: Tokens of this form name things and are never judged.
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: Nats by which a random model must win.
+MARGIN = 14.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STYLES = {
     "hex": "0123456789abcdef",
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
     "lower": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "urlsafe": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-",
 }
-WORDS = (
-    "the and for with that this from are was has have not but you all can her one our out day get use man new now old see two way who boy did its let put say she too user name "
-    "file path data list item index count value result error message request response client server session config default option handler service manager factory builder "
-    "customer address number string buffer stream parser reader writer update delete insert select create table column record field static public private import export "
-    "about other which their would these other into more time very when come here just like long make many over such take than them well were information international "
-    "und der die das nicht eine werden verwaltung gesellschaft les des une pour dans avec gouvernement monsieur los las del para como entre administracion desarrollo"
-).split()
-
-
-def labelled_samples(seed: int = 7, each: int = 3000) -> list[tuple[str, str]]:
+#: Where the ordinary words come from: of one file those that end a word, of the other those that start one.
+VOCABULARIES = (public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@cache
+def ordinary_words(vocabularies: tuple[str, str] = VOCABULARIES) -> tuple[str, ...]:
+    """ASCII words of 2 to 14 letters of both vocabularies, in lower case, in alphabetical order."""
+    ended, started = vocabularies
+    with open(ended, encoding="utf-8") as f:
+        words = {w[: -len("</w>")] for w in json.load(f)["model"]["vocab"] if w.endswith("</w>")}
+    with open(started, "rb") as f:
+        tokens = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+    words |= {t[1:].decode().lower() for t in tokens if t[:1] == b" " and t.isascii()}
+    return tuple(sorted(w for w in words if 2 <= len(w) <= 14 and w.isascii() and w.isalpha()))
+
+
+def ordinary_name(rng: random.Random, words: tuple[str, ...]) -> str:
+    """Words as names have them, often with a number, a version, a date or a code of few characters."""
+    parts = rng.choices(words, k=rng.randint(2, 6))
+    way = rng.randrange(8)
+    if rng.random() < 0.35:
+        day = f"{rng.randint(1990, 2039)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+        clock = f"{rng.randint(0, 23):02}-{rng.randint(0, 59):02}-{rng.randint(0, 59):02}"
+        extra = [str(rng.randint(0, 99)), f"v{rng.randint(0, 20)}", f"{rng.randint(0, 9)}_{rng.randint(0, 30)}", day, f"{day}T{clock}", day.replace("-", ""), str(rng.randint(0, 10**7)), f"x{rng.choice((32, 64, 86))}", f"{rng.choice('abcdefpst')}{rng.randint(0, 999)}"]
+        parts.insert(rng.randint(0, len(parts)), rng.choice(extra))
+    if way == 0:
+        return parts[0] + "".join(w.capitalize() for w in parts[1:])
+    if way == 1:
+        return "".join(w.capitalize() for w in parts)
+    if way == 2:
+        return "_".join(parts).upper()
+    if way == 3:
+        return "".join(parts)
+    if way == 4:
+        return "-".join(w.capitalize() for w in parts)
+    return ("_", "-", "/")[way - 5].join(parts)
+
+
+def labelled_samples(seed: int = 7, each: int = 3000, ordinary: int = 40_000) -> list[tuple[str, str]]:
     """(string, label) with label ordinary or a style of random string; the same for the same seed."""
     rng, out = random.Random(seed), []
     for style, letters in STYLES.items():
         out += [("".join(rng.choices(letters, k=rng.randint(20, 64))), style) for _ in range(each)]
-    for _ in range(4 * each):
-        words = rng.choices(WORDS, k=rng.randint(2, 6))
-        way = rng.randrange(6)
-        if way == 0:
-            text = "_".join(words)
-        elif way == 1:
-            text = words[0] + "".join(w.capitalize() for w in words[1:])
-        elif way == 2:
-            text = "-".join(words)
-        elif way == 3:
-            text = "_".join(words).upper()
-        elif way == 4:
-            text = "/".join(words)
-        else:
-            text = "".join(words)
-        if rng.random() < 0.3:
-            text += rng.choice("_-/=") + str(rng.choice((rng.randint(0, 99), rng.randint(1900, 2099), rng.randint(0, 10**8))))
-        out.append((text, "ordinary"))
-    return out
+    words = ordinary_words()
+    return out + [(ordinary_name(rng, words), "ordinary") for _ in range(ordinary)]
 
 
 class MarkovScanner:
@@ -97,7 +118,7 @@ class MarkovScanner:
         return max(sum(map(t.__getitem__, pairs)) for t in self.tables)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        return [m.span() for m in CANDIDATE.finditer(text) if not m[0].isalpha() and self.score(m[0]) > self.margin]
+        return [m.span() for m in CANDIDATE.finditer(text) if self.score(m[0]) > self.margin and not UUID.fullmatch(m[0])]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -114,8 +135,13 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 def find_secrets(text: str | None, scanner: MarkovScanner) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans: those of the models are added where they overlap no base span."""
-    base = base_spans(text or "")
-    added = [("markov", a, b) for a, b in scanner.spans(text or "") if all(b <= s or e <= a for _, s, e in base)]
+    base, added, at, reach = base_spans(text or ""), [], 0, 0
+    for start, end in scanner.spans(text or ""):
+        # reach is the end of the base spans that start before this one ends.
+        while at < len(base) and base[at][1] < end:
+            reach, at = max(reach, base[at][2]), at + 1
+        if reach <= start:
+            added.append(("markov", start, end))
     return base, in_order(base + added)
 
 
@@ -148,7 +174,7 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        scanner = MarkovScanner(samples)
+        scanner = MarkovScanner(samples) if samples is not None else worker_cache("secrets", MarkovScanner)
         for batch in batches:
             base, every, clean = [], [], []
             for text in batch.column(len(carry) + 1).to_pylist():
@@ -160,7 +186,7 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
     ddl = carried(df, carry, names[len(carry) :])
-    return df.select(*carry, F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"{ddl}doc_id {dict(df.dtypes)[id_col]}, base_spans {spans}, spans {spans}, redacted string")
+    return df.select(*carry, F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(run), f"{ddl}doc_id {dict(df.dtypes)[id_col]}, base_spans {spans}, spans {spans}, redacted string")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -168,9 +194,3 @@ def digest(found: DataFrame) -> DataFrame:
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(F.col("base_spans")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
-
-
-def digest_of(text: str | None, scanner: MarkovScanner) -> tuple[str, str]:
-    """Brute-force form of digest() for one text: base_sha256 and spans."""
-    base, every = find_secrets(text, scanner)
-    return hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)
