@@ -3,7 +3,7 @@
 Byte-level BPE never merges across its own pre-tokens, and a single space or line end before a
 letter or sign always starts one. So a text is encoded chunk by chunk, and chunks that were seen
 before come from a bounded cache; new ones go to the library joined by line ends, which are one
-token each. Where a text's white space is not plain, the whole text is encoded at once.
+token each. Where a text's white space is not plain, or it holds an added token of the tokenizer, the whole text is encoded at once.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lodestone.llm.common import worker_cache
+
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Chunks that a generation of the cache holds, about 200 bytes each.
 CACHE = 300_000
@@ -27,9 +29,7 @@ def tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 def byte_letters() -> dict[int, str]:
@@ -59,6 +59,8 @@ class ChunkEncoder:
         #: Chunks can only be joined and split where a line end is one id of its own.
         self.end = ends[0] if len(ends) == 1 and self._ids("a\n b").tolist().count(ends[0]) == 1 else None
         self.sign = {c: self._ids(c).tobytes() for c in ".,!?"}
+        #: The library cuts these out of a text before anything else.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: A chunk of letters is one pre-token and can go straight to the library's BPE model.
         self.direct = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
 
@@ -107,7 +109,7 @@ class ChunkEncoder:
         last = b"" if end is None else end.to_bytes(4, "little")
         if len(self.known) > self.limit:
             self.old, self.known = self.known, {}
-        plain = [self.end is not None and bool(t) and is_plain(t) for t in texts]
+        plain = [self.end is not None and bool(t) and is_plain(t) and not any(a in t for a in self.added) for t in texts]
         coded = iter(self._plain([t for t, p in zip(texts, plain) if p]))
         return [(next(coded) if p else self._ids(t or "").tobytes()) + last for t, p in zip(texts, plain)]
 
@@ -132,10 +134,9 @@ class ChunkEncoder:
         return [out[a + 1 : b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
-@cache
 def shared_encoder(path: str = BYTE_BPE, cache_limit: int = CACHE) -> ChunkEncoder:
-    """One for all tasks that run in a worker process."""
-    return ChunkEncoder(path, cache_limit)
+    """One for all tasks of an operator that run in a worker process."""
+    return worker_cache(f"encoder {path} {cache_limit}", lambda: ChunkEncoder(path, cache_limit))
 
 
 def batches_of(texts: list, rows: int = 2000):

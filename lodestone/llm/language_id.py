@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import carried
+from lodestone.llm.common import carried, tidy, worker_cache
 
 #: At most so many documents, and so many characters, are learned for each language.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 20_000
@@ -175,10 +175,10 @@ def identify(df: DataFrame, samples: dict[str, str], id_col: str = "doc_id", tex
     n = len(carry)
 
     def run(batches):
-        parser = CrossParser(samples) if samples else None
+        parser = worker_cache(f"languages {sorted(samples.items())}", lambda: CrossParser(samples)) if samples else None
         for batch in batches:
             found = parser.predict(batch.column(n + 1).to_pylist()) if parser else [("und", 0.0)] * batch.num_rows
             yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*carry, "doc_id", "lang_pred", "score"])
 
     ddl = carried(df, carry, ["doc_id", "lang_pred", "score"])
-    return df.select(*carry, F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"{ddl}doc_id {dict(df.dtypes)[id_col]}, lang_pred string, score double")
+    return df.select(*carry, F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(run), f"{ddl}doc_id {dict(df.dtypes)[id_col]}, lang_pred string, score double")

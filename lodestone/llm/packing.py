@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import tidy
 from lodestone.llm.encoding import BYTE_BPE, batches_of, shared_encoder
 
 CAPACITY = 2048
@@ -118,4 +119,4 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield rows(packer.done())
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES.format(kind))
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), PIECES.format(kind))
