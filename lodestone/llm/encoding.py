@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from array import array
 from functools import cache
+from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
@@ -40,6 +41,12 @@ def byte_letters() -> dict[int, str]:
 
 
 LETTERS = byte_letters()
+SPACE = LETTERS[32]
+ID = attrgetter("id")
+
+
+def shown(letters: str) -> str:
+    return letters.encode().decode("latin-1").translate(LETTERS)
 
 
 def is_plain(text: str) -> bool:
@@ -67,10 +74,9 @@ class ChunkEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _word(self, text: str) -> bytes:
-        """Ids of one pre-token."""
-        shown = text.replace(" ", LETTERS[32]) if text.isascii() else text.encode().decode("latin-1").translate(LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+    def _word(self, shown: str) -> bytes:
+        """Ids of one pre-token, given by the letters that stand for its bytes."""
+        return array("I", map(ID, self.model.tokenize(shown))).tobytes()
 
     def _learn(self, missing: set[str]) -> None:
         """Adds chunks, which stand for themselves after a space or start with a line end; a last sign after a letter is a token of its own."""
@@ -83,17 +89,17 @@ class ChunkEncoder:
         if "\n" in missing:  # a run of line ends would be encoded as one
             missing.remove("\n")
             known["\n"] = line_end
-        wanted, direct = set(), self.direct
+        wanted, direct, word = set(), self.direct, self._word
         for c in missing:
-            if c[-1:] in self.sign and c[-2:-1].isalpha():
+            if not c.isalpha() and c[-1:] in self.sign and c[-2:-1].isalpha():
                 signed.append(c)
                 c = c[:-1]
                 if c in known:
                     continue
             if direct and c.isalpha():
-                known[c] = self._word(f" {c}")
+                known[c] = word(SPACE + (c if c.isascii() else shown(c)))
             elif direct and c[0] == "\n" and c[1:].isalpha():
-                known[c] = line_end + self._word(c[1:])
+                known[c] = line_end + word(c[1:] if c.isascii() else shown(c[1:]))
             else:
                 wanted.add(c)
         chunks = list(wanted)
