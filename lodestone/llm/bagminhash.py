@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import bloom
-from lodestone.llm.common import heavy_join, materialize, tidy, worker_cache
+from lodestone.llm.common import heavy_join, materialize, tidy, unused, worker_cache
 from lodestone.llm.linking import MAX_FILTER_BYTES, Get, Test, link, only
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -187,13 +187,15 @@ def alike(threshold: float = SIMILARITY) -> Test:
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, copy_of, class_id for every row.
+    """doc_id, copy_of, class_id for every row. A threshold below SIMILARITY, for which the bands are made, is refused.
 
     copy_of is the least id with the same words; class_id is the least id of all documents that links of at least
     the threshold join, so the one document to keep has class_id equal to doc_id. Texts without words and null
     texts are alike to nothing, and null ids have null classes. Rows with one id are one document, whose texts are all
     linked. Other columns are ignored. Copies collapse before the search, so they cost no pairs.
     """
+    if threshold < SIMILARITY:
+        raise ValueError(f"the bands find pairs of at least {SIMILARITY}")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(sign_documents(docs), "signed")
     rows = signed.count()
@@ -218,9 +220,10 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows with null ids stay. A Bloom filter of the ids that go lets most other rows through without a shuffle.
     """
-    going = materialize(near_dedup(df, id_col, text_col, threshold).where("class_id <> doc_id").select(F.col("doc_id").alias("_going")).distinct(), "going")
+    name, maybe = unused("_going", df.columns), unused("_maybe", df.columns)
+    going = materialize(near_dedup(df, id_col, text_col, threshold).where("class_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "going")
     bits = bloom.size_for(max(1, going.count()), 16, MAX_FILTER_BYTES)
-    probed = bloom.probe(df, bloom.of_keys(going, "_going", bits), F.col(id_col).cast("long"), bits, "_maybe")
-    sure = probed.where("not _maybe").drop("_maybe")
-    rest = probed.where("_maybe").drop("_maybe")
-    return sure.unionByName(rest.join(going, F.col(id_col) == F.col("_going"), "left_anti"))
+    probed = bloom.probe(df, bloom.of_keys(going, name, bits), F.col(id_col).cast("long"), bits, maybe)
+    sure = probed.where(~F.col(maybe)).drop(maybe)
+    rest = probed.where(F.col(maybe)).drop(maybe)
+    return sure.unionByName(rest.join(going, F.col(id_col) == F.col(name), "left_anti"))

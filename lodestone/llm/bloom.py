@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import materialize, unused
 
 BUCKET = 1 << 15
 
@@ -44,12 +44,11 @@ def of_keys(keys: DataFrame, key: str, bits: int) -> DataFrame:
 def probe(df: DataFrame, bloom: DataFrame, key: Column, bits: int, into: str = "maybe") -> DataFrame:
     """df with a column that is false only for keys that were not put in. The filter is broadcast; size_for() bounds it.
 
-    A column of df may not be called into, _bucket or _words.
+    No column of df may be called into.
     """
     columns, spots = df.columns, positions(key, bits)
-    if clash := {into, "_bucket", "_words"} & set(columns):
-        raise ValueError(f"columns {sorted(clash)} are the filter's own")
-    part = F.broadcast(bloom.select(F.col("bucket").alias("_bucket"), F.col("words").alias("_words")))
-    out = df.join(part, F.shiftright(spots[0], 15) == F.col("_bucket"), "left")
-    hits = [F.getbit(F.get("_words", F.shiftright(at, 6).bitwiseAND(511).cast("int")), at.bitwiseAND(63).cast("int")) == 1 for at in spots]
+    bucket, words = unused("_bucket", columns), unused("_words", columns)
+    part = F.broadcast(bloom.select(F.col("bucket").alias(bucket), F.col("words").alias(words)))
+    out = df.join(part, F.shiftright(spots[0], 15) == F.col(bucket), "left")
+    hits = [F.getbit(F.get(words, F.shiftright(at, 6).bitwiseAND(511).cast("int")), at.bitwiseAND(63).cast("int")) == 1 for at in spots]
     return out.select(*columns, F.coalesce(hits[0] & hits[1], F.lit(False)).alias(into))

@@ -111,6 +111,13 @@ def carried(df: DataFrame, names: list[str], taken: list[str]) -> str:
     return "".join(f"`{c}` {kinds[c]}, " for c in names)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores before it while a column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 #: A key that holds at least one row in so many is heavy; there can be no more than so many heavy keys.
 HEAVY_SHARE = 1000
 #: Rows of a few longs that may be broadcast whole.
@@ -132,3 +139,12 @@ def heavy_join(df: DataFrame, values: DataFrame, key: str, count: Column, rows:
     marked = df.join(heavy, key, "left")
     rest = marked.where(F.col("_heavy").isNull()).drop("_heavy", *own).join(light, key, "left")
     return marked.where(F.col("_heavy")).drop("_heavy").unionByName(rest)
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most key, by binary search; -1 for null."""
+    if not bounds:
+        return F.when(key.isNull(), -1).otherwise(0)
+    array, steps = F.lit(bounds).cast("array<bigint>"), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    found = F.aggregate(F.lit(steps), F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(array, lo + s - 1) <= key), lo + s).otherwise(lo))
+    return F.when(key.isNull(), -1).otherwise(found)

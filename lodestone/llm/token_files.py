@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import tidy
+from lodestone.llm.common import range_of, tidy
 from lodestone.llm.encoding import BYTE_BPE, batches_of, shared_encoder
 
 #: Ids come from a small vocabulary, so they are dictionary-encoded; the columns that count upwards are delta-encoded by the version 2 writer.
@@ -56,7 +56,10 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(tidy(run), TOKENS)
+    # The ranges come from the ids alone; repartitionByRange() would read the texts once more to sample them.
+    found = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100_000)).first()[0]
+    dealt = docs.repartitionById(parts, F.greatest(range_of(F.col("doc_id"), sorted(set(found or []))[: parts - 1]), F.lit(0)))
+    return dealt.sortWithinPartitions("doc_id").mapInArrow(tidy(run), TOKENS)
 
 
 def write_tokens(tokens: DataFrame, path: str, row_group_bytes: int = 16 << 20, mode: str = "errorifexists") -> None:

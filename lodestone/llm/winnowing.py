@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let
+from lodestone.llm.common import let, range_of
 
 K, WINDOW, WORD = 5, 8, 16
 LAST = (1 << 31) - 1
@@ -75,15 +75,6 @@ def document_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return df.select(F.col(id_col).alias("doc_id"), fingerprint(F.coalesce(F.col(text_col), F.lit("")), k, window).alias("prints"))
 
 
-def _bucket(bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most doc_id, by binary search; -1 for a null id."""
-    if not bounds:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
-    array, steps = F.lit(bounds).cast("array<bigint>"), [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    found = F.aggregate(F.lit(steps), F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(array, lo + s - 1) <= F.col("doc_id")), lo + s).otherwise(lo))
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(found)
-
-
 def with_next(docs: DataFrame, columns: list[str], added: dict[str, Column] | None = None, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) and the added columns, with next_ of each of columns: its value in the row of the next smaller doc_id; after the smallest, the largest.
 
@@ -95,7 +86,7 @@ def with_next(docs: DataFrame, columns: list[str], added: dict[str, Column] | No
     buckets = buckets or min(8192, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     found = ids.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100_000)).first()[0]
-    bucket = _bucket(sorted(set(found or [])))
+    bucket = range_of(F.col("doc_id"), sorted(set(found or [])))
     heads = ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head")).orderBy(F.col("bucket").desc()).collect()
     # At most one row a range.
     after = [(heads[(i + 1) % len(heads)]["head"], h["bucket"]) for i, h in enumerate(heads)]

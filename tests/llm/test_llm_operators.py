@@ -502,6 +502,7 @@ def test_clean_prose_has_no_secrets(spark, sf_dir):
 
 EMPTY = {
     "recode": merge_dropout.recode, "exact": exact_dedup.exact_dedup, "identify": lambda d: language_id.identify(d, language_id.learn(d)), "pack": packing.pack_documents, "encode": token_files.encode_documents,
+    "pages": lambda d: html_extract.extract_main_text(d.selectExpr("doc_id AS page_id", "source AS url", "text AS html")), "decode": lambda d: merge_dropout.decode_documents(merge_dropout.encode_documents(d)),
     "near": bagminhash.near_dedup, "lines": fuzzy_lines.dedup_lines, "prints": winnowing.edited_fingerprints, "secrets": secret_scan.secret_scan, "drop": bagminhash.drop_near_copies,
 }
 
@@ -511,6 +512,50 @@ def test_empty_tables(name, none):
     assert EMPTY[name](none).count() == 0
 
 
+def test_token_files_of_an_empty_table(spark, none, tmp_path):
+    token_files.write_tokens(token_files.encode_documents(none, parts=3), str(tmp_path / "t"))
+    assert token_files.digest(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Rows that repeat an id, with one text and with two, and rows without an id."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (2, text + " x"), (2, "another text of its own, nothing else"), (3, None), (3, ""), (None, text), (None, text)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    exact = Counter(tuple(r)[:4] for r in exact_dedup.exact_dedup(frame).collect())
+    assert exact[(1, 1, 4, True)] == 2 and exact[(None, 1, 4, False)] == 2 and exact[(3, 3, 2, True)] == 2
+    coded = merge_dropout.encode_documents(frame).where("doc_id = 1").collect()
+    assert len(coded) == 2 and coded[0]["ids"] == coded[1]["ids"]
+    assert merge_dropout.recode(frame).count() == token_files.encode_documents(frame, parts=2).count() == len(rows)
+    prints = [r["fingerprint"] for r in winnowing.edited_fingerprints(frame).where("doc_id = 1").collect()]
+    assert len(prints) == 2 and prints[0] == prints[1]
+    assert Counter(r["doc_id"] for r in secret_scan.secret_scan(frame).collect()) == Counter(r[0] for r in rows)
+    assert Counter(r["doc_id"] for r in language_id.identify(frame, {"en": text}).collect()) == Counter(r[0] for r in rows)
+    packed = packing.pack_documents(frame, keep_ids=False).groupBy("doc_id").sum("length").collect()
+    assert {r["doc_id"]: r[1] for r in packed} == {i: sum(len(plain_ids(t, 1)) for j, t in rows if j == i) for i in (1, 2, 3, None)}
+    lines = {(r["doc_id"], r["text"]) for r in fuzzy_lines.dedup_lines(frame.where("doc_id is not null")).collect()}
+    assert (1, text) in lines and (2, "another text of its own, nothing else") not in lines  # line 0 of document 2 goes from all its rows
+    near = {(r["doc_id"], r["class_id"]) for r in bagminhash.near_dedup(frame).collect()}
+    assert near == {(1, 1), (2, 2), (3, 3), (None, None)}
+
+
+def test_clashing_columns_are_kept(spark):
+    rows = [(i, f"document number {i} has words of its own {i * 7} {i * 11}") for i in range(6)] + [(9, "document number 0 has words of its own 0 0")]
+    names = ["_going", "_maybe", "_bucket", "_words", "_text", "maybe", "gone", "bucket", "real", "_heavy", "item", "key", "label"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    kept = bagminhash.drop_near_copies(frame).collect()
+    assert {r["doc_id"] for r in kept} == set(range(6)) and all(r[c] == c for r in kept for c in names)
+    for run in (exact_dedup.exact_dedup, fuzzy_lines.dedup_lines, winnowing.edited_fingerprints, merge_dropout.recode, packing.pack_documents, secret_scan.secret_scan, token_files.encode_documents, lambda d: language_id.identify(d, language_id.learn(d.withColumn("lang", F.lit("en"))))):
+        assert run(frame).count() >= len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows_as_sql(name, same_as_sql):
     assert same_as_sql(name) > 0
