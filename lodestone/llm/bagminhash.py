@@ -200,7 +200,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     signed = materialize(sign_documents(docs), "signed")
     rows = signed.count()
     groups = materialize(signed.where("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("item"), F.count("*").alias("n")), "groups")
-    placed = materialize(heavy_join(signed.select("doc_id", "content"), groups.where("n > 1"), "content", F.col("n"), rows).select("doc_id", "content", F.coalesce("item", "doc_id").alias("item")), "placed")
+    placed = materialize(heavy_join(signed.select("doc_id", "content"), groups.where("n > 1"), "content", F.col("n"), rows).select("doc_id", "content", F.when(F.col("doc_id").isNotNull(), F.coalesce("item", "doc_id")).alias("item")), "placed")
     own = placed.where("content is not null and doc_id = item").select("doc_id").distinct()
     heads = materialize(signed.where("content is not null").join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("item"), "bands", "s0", "s1"), "heads")
     bands = heads.select("item", F.explode("bands").alias("key"), "s0", "s1")
