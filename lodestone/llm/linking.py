@@ -15,8 +15,6 @@ from lodestone.llm import bloom
 from lodestone.llm.common import HEAVY_SHARE, discard, free_shuffles, heavy_join, materialize
 
 MAX_FILTER_BYTES = 64 << 20
-#: Items of a key whose sketches are compared in one row.
-BLOCK_ITEMS = 256
 MANY_PAIRS = 5000
 Get = Callable[[str], Column]
 Test = Callable[[Get, Get], Column]
@@ -121,20 +119,32 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def _blocks(size: str) -> Column:
-    return F.ceil(F.col(size) / BLOCK_ITEMS).cast("int")
+def _blocks(size: str, block: int) -> Column:
+    return F.ceil(F.col(size) / block).cast("int")
 
 
-def link(rows: DataFrame, near: Test, fetch: Callable[[DataFrame], DataFrame], columns: list[str], alike: Test, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _dealt(members: DataFrame, size: str, columns: list[str], block: int) -> DataFrame:
+    """(key, block, held): the items of each key, size of them, in blocks of about block, so that a common key is many rows."""
+    blocks = members.withColumn("block", F.pmod(F.xxhash64("item"), _blocks(size, block)).cast("int"))
+    return blocks.groupBy("key", "block").agg(F.collect_list(F.struct("item", *columns)).alias("held"))
+
+
+def once(value: Column) -> Column:
+    """A generator of the value: a filter on it is not pushed below, where the value would be computed once more."""
+    return F.explode_outer(F.array(value))
+
+
+def link(rows: DataFrame, near: Test, fetch: Callable[[DataFrame], DataFrame], columns: list[str], alike: Test, more: Callable[[DataFrame], DataFrame] | None = None, block: int = 32) -> DataFrame:
     """(item, label) of all items that a chain of links joins; a link is a pair that shares a key, is near and alike.
 
-    rows: (item, key) and the columns of a sketch, which depend on the item alone; rows may repeat. fetch: from items
-    to the columns that alike needs; near, alike: from two functions that give a column of either item. more: adds to (item, ...)
+    rows: (item, key) and the columns of a sketch, which depend on the item alone; rows may repeat. fetch: from the items of near pairs
+    to the columns that alike needs, called once; near, alike: from two functions that give a column of either item. more: adds to (item, ...)
     the columns of the sketch that are made for items that share a key alone.
-    First each item is held against the least item of each of its keys, then, where a key still has several
+    First each item is held against the least item of each of its keys, or, if it isn't near that, against one near
+    item in each block of the key's items; then, where a key still has several
     labels, against an item of the key chosen by hash. So a group that holds together costs a few pairs an item.
     Items that are in another label than most of a key after that are compared with blocks of
-    the key's items by their sketches; only pairs that are near leave that step. So none between different labels is missed.
+    the key's items, of about block items each; only links leave that step. So none between different labels is missed.
     """
     members = shared_members(rows)
     if more:
@@ -143,20 +153,29 @@ def link(rows: DataFrame, near: Test, fetch: Callable[[DataFrame], DataFrame], c
     own = [c for c in members.columns if c not in ("key", "item", "hub", "n")]
     total = max(1, members.count())
     hubs = materialize(members.where("item = hub").select("key", F.col("n").alias("of_key"), *[F.col(c).alias(f"{c}_b") for c in own]), "hubs")
-    spokes = members.where("item <> hub").select("key", F.col("item").alias("a"), F.col("hub").alias("b"), *[F.col(c).alias(f"{c}_a") for c in own])
-    wanted = materialize(heavy_join(spokes, hubs, "key", F.col("of_key"), total, total).where(near(*sides())).select("a", "b").distinct(), "wanted")
-    discard(hubs)
+    spokes = members.where("item <> hub").select("key", "n", F.col("item").alias("a"), F.col("hub").alias("b"), *[F.col(c).alias(f"{c}_a") for c in own])
+    held = heavy_join(spokes, hubs, "key", F.col("of_key"), total, total)
+    held = materialize(held.select("key", "n", "a", "b", *[f"{c}_a" for c in own], near(*sides()).alias("near")), "held")
+    first = held.where("near").select("a", "b").distinct()
+    # Items that are far from their key's hub may be near to others of the key; one of each block shows that.
+    asking = held.where("not near and n > 2").withColumn("block", F.explode(F.sequence(F.lit(0), _blocks("n", block) - 1)))
+    others = _dealt(members.where("n > 2 and item <> hub"), "n", own, block)
+    mine = sides()[0]
+    some = F.filter("held", lambda x: (x["item"] != F.col("a")) & near(mine, lambda c: x[c]))
+    apart = asking.drop("b").join(others, ["key", "block"]).select("a", once(F.array_min(F.transform(some, lambda x: x["item"]))).alias("b")).where("b is not null")
+    wanted = materialize(first.unionByName(apart.select(*_ordered("a", "b"))).distinct(), "wanted")
+    items = materialize(wanted.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "items")
+    known = materialize(fetch(items), "known")
+    discard(hubs, held, items)
+    free_shuffles(rows.sparkSession)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        items = materialize(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "items")
-        known = materialize(fetch(items), "known")
-        found = materialize(_with(pairs, known, columns).where(alike(*sides())).select("a", "b"), "links")
-        discard(items, known)
-        return found
+        return materialize(_with(pairs, known, columns).where(alike(*sides())).select("a", "b"), "links")
 
     labels = materialize(components(checked(wanted)), "labels")
     for last in (False, True):
-        placed = members.where("n > 2").select("key", "item", *own).join(labels, "item", "left").withColumn("label", F.coalesce("label", "item"))
+        inside = known.select("item").join(labels, "item", "left").select("item", F.coalesce("label", "item").alias("label"))
+        placed = members.where("n > 2").select("key", "item", *own).join(inside, "item")
         mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("item", F.xxhash64("item", "key")).alias("chosen"), F.count("*").alias("m")).where("low <> high")
         mixed = materialize(mixed.select("key", "chosen", "m"), "mixed")
         size = mixed.agg(F.sum("m").alias("m")).first()["m"]
@@ -169,34 +188,34 @@ def link(rows: DataFrame, near: Test, fetch: Callable[[DataFrame], DataFrame], c
             pairs = heavy_join(pairs, one, "key", F.col("of_key"), size, size).where((F.col("label") != F.col("label_b")) & near(*sides()))
             second = materialize(pairs.select(*_ordered("a", "b")).distinct().join(wanted, ["a", "b"], "left_anti"), "pairs")
             labels = joined(labels, checked(second))
-            discard(one, mixed, placed)
-    rest = materialize(_in_blocks(placed, size, own, near), "pairs")
+            discard(one, mixed, placed, second)
+    found = joined(labels, materialize(_in_blocks(placed, size, known, own, near, columns, alike, block), "links"))
+    discard(members, mixed, placed, wanted, known)
     free_shuffles(rows.sparkSession)
-    found = joined(labels, checked(rest))
-    discard(members, mixed, placed, wanted, second, rest)
     return found
 
 
-def _in_blocks(placed: DataFrame, rows: int, own: list[str], near: Test) -> DataFrame:
-    """(a, b) of all near pairs between different labels of a key; placed: (key, item, label, the sketch, m), rows rows, m items in the key.
+def _in_blocks(placed: DataFrame, rows: int, known: DataFrame, own: list[str], near: Test, columns: list[str], alike: Test, block: int) -> DataFrame:
+    """(a, b) of all links between different labels of a key; placed: (key, item, label, the sketch, m), rows rows, m items in the key.
 
     Two items of different labels include one outside the key's most usual label; those alone ask. The items of a key are
-    dealt into blocks of about BLOCK_ITEMS; an asking item goes to every block of its key and keeps what it is near to there.
+    dealt into blocks; an asking item goes to every block of its key and keeps what it is linked to there.
     """
     sizes = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
     usual = materialize(sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("usual"), F.sum("c").alias("of_key")), "usual")
     # An item has few keys. Two items are compared in the least key that they share, and by one of them if both ask.
     keys = placed.groupBy("item").agg(F.collect_list("key").alias("keys"))
     full = heavy_join(placed, usual, "key", F.col("of_key"), rows, rows).withColumn("asks", F.col("label") != F.col("usual")).drop("usual", "of_key")
-    full = materialize(full.join(keys, "item"), "full")
-    dealt = full.withColumn("block", F.pmod(F.xxhash64("item"), _blocks("m")).cast("int"))
-    dealt = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("item", "label", "asks", "keys", *own)).alias("held"))
-    asking = full.where("asks").select("key", F.col("item").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("label", "keys", *own)], F.explode(F.sequence(F.lit(0), _blocks("m") - 1)).alias("block"))
+    full = materialize(full.join(known.join(keys, "item"), "item"), "full")
+    dealt = _dealt(full, "m", ["label", "asks", "keys", *own, *columns], block)
+    asking = full.where("asks").select("key", F.col("item").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("label", "keys", *own, *columns)], F.explode(F.sequence(F.lit(0), _blocks("m", block) - 1)).alias("block"))
     mine = sides()[0]
 
-    def maybe(x: Column) -> Column:
+    def linked(x: Column) -> Column:
+        theirs = lambda c: x[c]
         here = (x["label"] != F.col("label_a")) & (~x["asks"] | (x["item"] < F.col("a")))
-        return F.when(here, near(mine, lambda c: x[c]) & (F.array_min(F.array_intersect(F.col("keys_a"), x["keys"])) == F.col("key"))).otherwise(F.lit(False))
+        once_here = F.array_min(F.array_intersect(F.col("keys_a"), x["keys"])) == F.col("key")
+        return F.when(here, F.when(near(mine, theirs), F.when(once_here, alike(mine, theirs)))).otherwise(F.lit(False))
 
-    found = asking.join(dealt, ["key", "block"]).select("a", F.transform(F.filter("held", maybe), lambda x: x["item"]).alias("held"))
+    found = asking.join(dealt, ["key", "block"]).select("a", F.transform(F.filter("held", linked), lambda x: x["item"]).alias("held"))
     return found.select("a", F.explode_outer("held").alias("b")).where("b is not null").select(*_ordered("a", "b")).distinct()
