@@ -562,9 +562,21 @@ def test_same_rows_as_sql(name, same_as_sql):
 
 
 @pytest.mark.parametrize("name", ["op3_exact_dedup", "op8_fuzzy_lines", "op9_winnowing"])
-def test_native_plans_have_no_python(name, spark, sf_dir):
-    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+def test_native_plans_have_no_python(name, spark, sf_dir, monkeypatch):
+    """Neither the last plan nor those that are written on the way."""
+    from lodestone.llm import bloom
+
+    plans, shown = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def recorded(df, *label, **options):
+        plans.append(shown(df))
+        return common.materialize(df, *label, **options)
+
+    for module in (bloom, exact_dedup, fuzzy_lines, linking):
+        monkeypatch.setattr(module, "materialize", recorded)
+    plans.append(shown(queries.QUERIES[name](spark, sf_dir)))
+    assert len(plans) > (name == "op8_fuzzy_lines") * 20
+    assert not any(x in plan for plan in plans for x in ("Python", "Arrow", "Pandas"))
 
 
 # ---- pipeline ----
