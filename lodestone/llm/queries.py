@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bagminhash, exact_dedup, fuzzy_lines, html_extract, language_id, merge_dropout, packing, secret_scan, token_files, winnowing, yinyang
+from lodestone.llm import bagminhash, exact_dedup, frequency_filter, fuzzy_lines, html_extract, language_id, merge_dropout, packing, secret_scan, token_files, winnowing, yinyang
 from lodestone.llm.common import shared_dir, table
 
 
@@ -54,9 +54,13 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_frequency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency_filter.lm_score(table(spark, sf_dir, "documents"))
+
+
 def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_extract, op3_exact_dedup, op4_language_id, op5_token_files, op6_packing, op7_bagminhash, op8_fuzzy_lines, op9_winnowing, op10_secret_scan, op12_yinyang)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_extract, op3_exact_dedup, op4_language_id, op5_token_files, op6_packing, op7_bagminhash, op8_fuzzy_lines, op9_winnowing, op10_secret_scan, op11_frequency_filter, op12_yinyang)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op12_yinyang": yinyang.oracle()}
