@@ -34,9 +34,9 @@ FREQUENT = 500_000
 #: Filters of at most so many bytes are broadcast whole; beyond, parts of PART_BYTES are joined.
 MAX_FILTER_BYTES, PART_BYTES = 128 << 20, 8 << 20
 #: Tokens to a bucket of the filter, bytes of text that are scored together, n-grams counted together.
-BUCKET_TOKENS, GROUP_BYTES, COUNTED = 20_000, 8 << 20, 4_000_000
+BUCKET_TOKENS, GROUP_BYTES, COUNTED = 20_000, 2 << 20, 3_000_000
 GOLD, M32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF)
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
@@ -173,7 +173,7 @@ def gram_counts(texts: DataFrame, order: int, buckets: int) -> DataFrame:
 
 def spots(hashes: np.ndarray, level: int, size) -> Iterator[np.ndarray]:
     """The bits of n-grams at a level, in buckets of size bits."""
-    x = mix(hashes + np.uint64(level) * GOLD)
+    x = mix(hashes + np.uint64(level * int(GOLD) % (1 << 64)))
     low, step, size = x & M32, (x >> np.uint64(32)) | np.uint64(1), np.asarray(size).astype("u8")
     for i in range(HASHES):
         yield ((low + np.uint64(i) * step) & M32) * size >> np.uint64(32)
