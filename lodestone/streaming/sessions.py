@@ -45,7 +45,12 @@ def session_state(turns: DataFrame, most: int = rules.SESSION_TURNS, ttl_s: floa
     return turns.groupBy("session").applyInPandasWithState(lambda k, b, s: ring(k, b, s, most, ttl_s), OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def watermarked(events: DataFrame, at: str) -> bool:
+    """Whether the column has a watermark already."""
+    return "spark.watermarkDelayMs" in events.schema[at].metadata
+
+
 def activity(events: DataFrame, at: str = "ts", late: str = "10 minutes", width: str = "1 hour", by: str = "event_type") -> DataFrame:
     """Counts of events by kind in windows of event time, for batch and stream; events later than the watermark are left out of a stream."""
-    marked = events.withWatermark(at, late) if events.isStreaming else events
+    marked = events.withWatermark(at, late) if events.isStreaming and not watermarked(events, at) else events
     return marked.groupBy(F.window(at, width).alias("w"), by).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
