@@ -30,7 +30,7 @@ LOWER = np.unique(np.ceil(BASE ** np.arange(100)).astype("i8"))
 #: What a level stands for: the middle of its counts; level 0 is none.
 EXPECTED = np.concatenate([[0.0], (LOWER[:-1] + LOWER[1:] - 1) / 2])
 #: Words with more than one in so many of the tokens are broadcast with their counts.
-FREQUENT = 500_000
+FREQUENT = 2_000_000
 #: Filters of at most so many bytes are broadcast whole; beyond, parts of PART_BYTES are joined.
 MAX_FILTER_BYTES, PART_BYTES = 128 << 20, 8 << 20
 #: Tokens to a bucket of the filter, bytes of text that are scored together, n-grams counted together.
@@ -331,10 +331,17 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     ddl = f"doc_id {dict(df.dtypes)[id_col]}, held_out boolean, {kinds}{Scorer.DDL}"
     scorer = spark.sparkContext.broadcast(Scorer(tokens, types, frequent, order, prior))
     bytes_ = bits.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)) + F.lit(16 * buckets)).first()[0]
-    scored = (by_broadcast if bytes_ <= max_filter_bytes else by_join)(asked, bits, buckets, bytes_, scorer, ddl)
+    sent = [scorer]
+    if bytes_ <= max_filter_bytes:
+        sent.append(spark.sparkContext.broadcast(whole_filter(bits, buckets)))
+        scored = by_broadcast(asked, scorer, sent[1], ddl)
+    else:
+        scored = by_join(asked, bits, buckets, bytes_, scorer, ddl)
     scored = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    scorer.destroy()
+    for x in sent:
+        x.destroy()
     discard(bits)
+    free_shuffles(spark)
 
     rare = scored.select("_row", F.explode("rare").alias("x")).select("_row", "x.a", "x.b", "x.times")
     found = rare.join(vocabulary, ["a", "b"], "left")
@@ -345,10 +352,14 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     return whole.select("doc_id", "held_out", *carry, "n_tokens", n_known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score")
 
 
-def by_broadcast(asked: DataFrame, bits: DataFrame, buckets: int, bytes_: int, scorer, ddl: str) -> DataFrame:
-    """Scores with the whole filter in every worker; the caller has checked its size."""
+def whole_filter(bits: DataFrame, buckets: int) -> Filter:
+    """The filter in one piece; the caller has checked its size."""
     held = bits.toArrow()
-    told = asked.sparkSession.sparkContext.broadcast(Filter(held["bucket"].to_numpy(), held["bits"].to_pylist(), buckets))
+    return Filter(held["bucket"].to_numpy(), held["bits"].to_pylist(), buckets)
+
+
+def by_broadcast(asked: DataFrame, scorer, told, ddl: str) -> DataFrame:
+    """Scores with the whole filter, a broadcast of it, in every worker."""
 
     def run(batches):
         for batch in batches:
