@@ -28,7 +28,11 @@ def corpus_stats(corpus: DataFrame, text_col: str = "text") -> DataFrame:
 
 def idf(posted: DataFrame, stats: DataFrame, epsilon: float = rules.BM25_EPSILON) -> DataFrame:
     """(term, idf); a negative one becomes epsilon times the mean of all."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    return idf_of(posted.groupBy("term").agg(F.count("*").alias("df")), stats, epsilon)
+
+
+def idf_of(df: DataFrame, stats: DataFrame, epsilon: float = rules.BM25_EPSILON) -> DataFrame:
+    """idf() from (term, df), the number of documents of each term."""
     raw = df.crossJoin(F.broadcast(stats)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg((F.sum(F.col("raw").cast(SUM)).cast("double") / F.count("*")).alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))

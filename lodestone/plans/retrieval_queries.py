@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify, rules
+from lodestone.functions.storage import ensure_checkpoint_dir
 from lodestone.functions.text import tokens
-from lodestone.operators import bm25, conversation, retrieval, vectors
+from lodestone.operators import bm25, conversation, retrieval, search_index, vectors
 from lodestone.plans.classify_queries import INTENTS, any_match, sql_intent
 from lodestone.plans.registry import query, table
 from lodestone.plans.text_queries import stripped
@@ -90,6 +91,15 @@ def sparse_scores(spark, sf_dir):
     return bm25.scores(corpus(spark, sf_dir), asked(spark, sf_dir), "chunk_id", "query_id")
 
 
+def indexed(spark, sf_dir):
+    """The index of the documents, built once for the same rows."""
+    return search_index.built(corpus(spark, sf_dir).select("chunk_id", "text"), ensure_checkpoint_dir(spark))
+
+
+def sparse_best(spark, sf_dir, k: int):
+    return indexed(spark, sf_dir).search(asked(spark, sf_dir), k)
+
+
 def dense_best(spark, rows, questions, k: int):
     """The k nearest of rows (chunk_id, text) by hashed embeddings; rows and questions without tokens have none."""
     own = vectors.embed(rows, "chunk_id", tokens(F.col("text"))).where("norm2 > 0").select("id", F.col("counts").alias("vector"), F.col("norm2").alias("scale"))
@@ -100,7 +110,7 @@ def dense_best(spark, rows, questions, k: int):
 def lists(spark, sf_dir):
     c, q = corpus(spark, sf_dir), asked(spark, sf_dir)
     dense = retrieval.candidates(dense_best(spark, c, q, rules.TOP_K_DENSE), c, rules.TOP_K_DENSE)
-    sparse = retrieval.candidates(sparse_scores(spark, sf_dir), c, rules.TOP_K_SPARSE, positive=True)
+    sparse = retrieval.candidates(sparse_best(spark, sf_dir, rules.TOP_K_SPARSE), c, rules.TOP_K_SPARSE, positive=True)
     return dense, sparse
 
 
@@ -179,7 +189,7 @@ def bm25_scores(spark, sf_dir):
 
 @query("bm25_topk", f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25) SELECT * FROM r WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
-    return retrieval.top(sparse_scores(spark, sf_dir), rules.TOP_K_SPARSE)
+    return sparse_best(spark, sf_dir, rules.TOP_K_SPARSE)
 
 
 @query("ret_dense", f"WITH {LISTS} SELECT query_id, chunk_id, score FROM d20")
@@ -261,7 +271,7 @@ SUBS = f"{BM25}, subs AS (SELECT query_id // 3 AS query_id, (query_id % 3)::INT
 
 
 def subqueries(spark, sf_dir):
-    best = retrieval.top(sparse_scores(spark, sf_dir), 5)
+    best = sparse_best(spark, sf_dir, 5)
     return best.select(F.floor(F.col("query_id") / 3).alias("query_id"), (F.col("query_id") % 3).cast("int").alias("sub"), "chunk_id", "score", "rank")
 
 
@@ -274,7 +284,7 @@ TURNED = f"{BM25}, t AS (SELECT query_id, chunk_id, score, rank FROM (SELECT *,
 
 
 def turned(spark, sf_dir):
-    return retrieval.top(sparse_scores(spark, sf_dir), 5).select("query_id", "chunk_id", "score", "rank")
+    return sparse_best(spark, sf_dir, 5).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("strategy_reuse", f"WITH {TURNED} SELECT query_id + 1 AS query_id, chunk_id, score, rank FROM t")
@@ -293,7 +303,7 @@ m AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank)
 SELECT query_id, chunk_id, score, source, row_number() OVER (PARTITION BY query_id ORDER BY over, place) AS rank FROM k WHERE NOT over OR place <= 5 - kept""")
 def diversity_cap(spark, sf_dir):
     named = corpus(spark, sf_dir).select("chunk_id", F.substring("source", 1, 4).alias("source"))
-    return retrieval.diversify(retrieval.top(sparse_scores(spark, sf_dir), 12).join(named, "chunk_id"))
+    return retrieval.diversify(sparse_best(spark, sf_dir, 12).join(named, "chunk_id"))
 
 
 ENTITIES = ["thand", "ción de", "chen ein", "tion of the", "zz"]
@@ -323,6 +333,7 @@ class CorpusRetriever:
     def __init__(self, spark, sf_dir):
         self.spark, self.sf_dir = spark, sf_dir
         self.corpus = corpus(spark, sf_dir)
+        self.index = indexed(spark, sf_dir)
 
     def _embedded(self, rows, id_col: str):
         own = vectors.embed(rows, id_col, tokens(F.col("text"))).where("norm2 > 0")
@@ -343,7 +354,7 @@ class CorpusRetriever:
         numbered = asked.withColumn("name", F.col("query_id")).withColumn("query_id", F.xxhash64("query_id"))
         questions = numbered.select("query_id", F.col("text").alias("question"), "intent")
         dense = retrieval.candidates(self._searched(numbered, self.corpus, rules.TOP_K_DENSE, True), self.corpus, rules.TOP_K_DENSE)
-        sparse = retrieval.candidates(bm25.scores(self.corpus, numbered, "chunk_id", "query_id"), self.corpus, rules.TOP_K_SPARSE, positive=True)
+        sparse = retrieval.candidates(self.index.search(numbered, rules.TOP_K_SPARSE), self.corpus, rules.TOP_K_SPARSE, positive=True)
         placed = retrieval.merge_lists(dense, sparse).join(self.corpus, "chunk_id").join(questions, "query_id")
         scored = retrieval.hybrid(retrieval.drop_when_both(placed, PAIRS).withColumn("boost", retrieval.boost(F.col("intent"), F.col("source_type"))))
         final = retrieval.final_score(F.col("hybrid"), retrieval.lexical_rerank(F.col("question"), F.col("text")))
@@ -362,7 +373,7 @@ class CorpusRetriever:
         """Ten nearest and ten best chunks by BM25 of each entity, reranked."""
         named = missing.select("entity").distinct().select(F.xxhash64("entity").alias("query_id"), "entity", F.col("entity").alias("text"))
         dense = retrieval.candidates(self._searched(named, self.corpus, rules.TOP_K_DENSE // 2, False), self.corpus, rules.TOP_K_DENSE // 2)
-        sparse = retrieval.candidates(bm25.scores(self.corpus, named, "chunk_id", "query_id"), self.corpus, rules.TOP_K_SPARSE // 2, positive=True)
+        sparse = retrieval.candidates(self.index.search(named, rules.TOP_K_SPARSE // 2), self.corpus, rules.TOP_K_SPARSE // 2, positive=True)
         both = dense.select("query_id", "chunk_id").unionByName(sparse.select("query_id", "chunk_id")).distinct().join(named.drop("text"), "query_id").drop("query_id").join(self.corpus, "chunk_id")
         score = retrieval.lexical_rerank(F.col("entity"), F.col("text")) / 10.0
         rows = both.select("entity", F.col("chunk_id").cast("string").alias("chunk_id"), "source", "source_type", "text", score.alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -25,6 +26,16 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def read_written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What was written to a Parquet table so far: no rows where nothing was."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def stream_table(spark: SparkSession, path: str, schema: StructType | None = None, files_a_batch: int | None = None) -> DataFrame:
     """A Parquet table, one file or a folder of them, as a stream of its files."""
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
