@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.storage import ensure_checkpoint_dir
 from lodestone.functions.text import let, strip
 
 
@@ -32,17 +35,43 @@ def without_repeats(pages: DataFrame, key: str, text_col: str = "text", **limits
     return pages.join(gone, key, "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("_gone")
 
 
-def char_ranges(pages: DataFrame, doc: str, page: str, text_col: str = "text", gap: int = 2) -> DataFrame:
-    """(doc, page, start, end): where each page stands in the document when pages are joined by gap characters."""
-    order = Window.partitionBy(doc).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length(text_col) + gap).over(order), F.lit(0))
-    return pages.select(doc, page, start.alias("start"), (start + F.length(text_col)).alias("end"))
-
+def sums_before(df: DataFrame, doc: str, order: str, values: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """(doc, order, and for each value the sum over the document's rows before this one), whatever the size of a document.
 
-def span_pages(spans: DataFrame, ranges: DataFrame, doc: str, page: str) -> DataFrame:
-    """The first and last page that each span (doc, span_id, from, to) touches, both ends included."""
-    overlaps = (F.col("start") <= F.col("to")) & (F.col("end") >= F.col("from"))
-    return spans.join(ranges, doc).where(overlaps).groupBy(doc, "span_id").agg(F.min(page).alias("page_start"), F.max(page).alias("page_end"))
+    Rows are dealt by ranges of (doc, order) and written once; a document's ranges add up their own sums, offsets are running sums over
+    those few rows, and windows stay within a range. order must be unique in a document.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = f"{ensure_checkpoint_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    df.select(doc, order, *[v.alias(n) for n, v in values.items()]).repartitionByRange(parts, doc, order).withColumn("_part", F.spark_partition_id()).write.parquet(at)
+    dealt = spark.read.parquet(at)
+    before = Window.partitionBy(doc).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(doc, "_part").agg(*[F.sum(n).alias(n) for n in values])
+    offsets = sums.select(doc, "_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in values])
+    inside = Window.partitionBy(doc, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.select(doc, order, "_part", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(n) for n in values])
+    return own.join(offsets, [doc, "_part"]).select(doc, order, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in values])
+
+
+def char_ranges(pages: DataFrame, doc: str, order: str, text_col: str = "text", gap: int = 2) -> DataFrame:
+    """(doc, order, page, start, end): the number of each page, from 1, and where it stands when pages are joined by gap characters. Texts are not moved."""
+    n = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
+    sized = pages.select(doc, order, n.alias("_n"))
+    before = sums_before(sized, doc, order, {"page": F.lit(1).cast("long"), "start": F.col("_n") + gap})
+    return before.join(sized, [doc, order]).select(doc, order, (F.col("page") + 1).alias("page"), "start", (F.col("start") + F.col("_n")).alias("end"))
+
+
+def span_pages(spans: DataFrame, ranges: DataFrame, doc: str, page: str, width: int = 4096) -> DataFrame:
+    """The first and last page that each span (doc, span_id, from, to) touches, both ends included.
+
+    Both sides are put into bins of so many characters, so that a span meets only pages near it; a pair meets in the first bin that both have.
+    """
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
+    left, right = spans.withColumn("_bin", bins("from", "to")), ranges.select(doc, page, "start", "end", bins("start", "end").alias("_bin"))
+    first = F.floor(F.greatest("start", "from") / width)
+    overlaps = (F.col("start") <= F.col("to")) & (F.col("end") >= F.col("from")) & (F.col("_bin") == first)
+    return left.join(right, [doc, "_bin"]).where(overlaps).groupBy(doc, "span_id").agg(F.min(page).alias("page_start"), F.max(page).alias("page_end"))
 
 
 def sections(text: Column, is_heading, label=None, preamble: str | None = None, keep_heading: bool = False) -> Column:

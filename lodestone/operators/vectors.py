@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.storage import ensure_checkpoint_dir
+
 DIMS = 64
-#: Query vectors that are scored together.
-BLOCK = 512
+#: Query vectors and corpus vectors that are scored together.
+BLOCK, ROWS = 512, 2048
+#: Query sets up to so many vectors are broadcast: 32 MB at 64 dimensions.
+SMALL_QUERIES = 1 << 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,32 +66,52 @@ def embed(df: DataFrame, id_col: str, tokens: Column, embedder=HashEmbedder) ->
     return df.select(F.col(id_col).alias("id"), tokens.alias("tokens")).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, counts array<bigint>, norm2 bigint")
 
 
+def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows (id, vector, scale) as blocks: name_ids, name_values (their vectors, one after another), name_scales."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                columns = part.column(0), part.column(1).flatten(), part.column(2)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], [f"{name}_{c}" for c in ("ids", "values", "scales")])
+
+    kinds = ", ".join(f"{name}_{c} array<{t}>" for c, t in (("ids", "bigint"), ("values", "double"), ("scales", "double")))
+    return df.select(F.col("id").cast("long"), F.col("vector").cast("array<double>"), F.col("scale").cast("double")).mapInArrow(run, kinds)
+
+
+def block_best(ids: tuple, values: tuple, scales: tuple, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best of one block of rows for each query of another; each argument is (of queries, of rows)."""
+    q, m = (v.reshape(len(i), -1) for v, i in zip(values, ids))
+    product, root = q @ m.T, np.sqrt(scales[0][:, None] * scales[1][None, :])
+    score = np.round(np.divide(product, root, out=np.zeros_like(product), where=root > 0), digits) + 0.0
+    best = np.stack([np.lexsort((ids[1], -row))[:k] for row in score])
+    return np.repeat(ids[0], best.shape[1]), ids[1][best.ravel()], np.take_along_axis(score, best, axis=1).ravel()
+
+
 def dense_topk(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank): the k rows of corpus (id, vector, scale) of greatest inner product with each query (query_id, vector, scale), exactly.
 
-    Products are divided by both scales' root, rounded, and ties go to the least id. Queries are a stated
-    set that fits the driver; they are scored in blocks against each batch of the corpus, and a batch keeps its k best for each, so k rows
-    a query and batch are shuffled.
+    Products are divided by both scales' root, rounded, and ties go to the least id. Both sides are cut into blocks of rows, every block of queries
+    meets every block of the corpus, and a pair of blocks keeps its k best a query, so k rows a query and pair are shuffled. Up to SMALL_QUERIES queries
+    are broadcast; more are written once and joined from there, so that no side has to fit anywhere.
     """
-    asked = queries.select("query_id", "vector", "scale").collect()
-    if not asked:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    ids = np.array([r[0] for r in asked])
-    matrix, scale = np.array([r[1] for r in asked], "f8"), np.array([r[2] for r in asked], "f8")
+    asked = blocks(queries.withColumnRenamed("query_id", "id"), BLOCK, "q")
+    if queries.count() <= SMALL_QUERIES:
+        asked = F.broadcast(asked)
+    else:
+        at = f"{ensure_checkpoint_dir(spark)}/queries-{uuid.uuid4().hex}"
+        asked.write.parquet(at)
+        asked = spark.read.parquet(at)
+    pairs = blocks(corpus, ROWS, "c").crossJoin(asked)
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            m = np.array(batch.column(1).to_pylist(), "f8")
-            s = batch.column(2).to_numpy(zero_copy_only=False).astype("f8")
-            for at in range(0, len(ids), BLOCK):
-                product, root = matrix[at : at + BLOCK] @ m.T, np.sqrt(scale[at : at + BLOCK, None] * s[None, :])
-                score = np.round(np.divide(product, root, out=np.zeros_like(product), where=root > 0), digits) + 0.0
-                best = np.stack([np.lexsort((own, -row))[:k] for row in score])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + BLOCK], best.shape[1])), pa.array(own[best.ravel()]), pa.array(np.take_along_axis(score, best, axis=1).ravel())], ["query_id", "id", "score"])
-
-    found = corpus.select(F.col("id").cast("long"), "vector", F.col("scale").cast("double")).mapInArrow(run, "query_id long, id long, score double")
+            held = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for row in range(batch.num_rows):
+                sides = [tuple(held[f"{side}_{c}"][row].values.to_numpy() for side in "qc") for c in ("ids", "values", "scales")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in block_best(*sides, k, digits)], ["query_id", "id", "score"])
+
+    found = pairs.mapInArrow(run, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

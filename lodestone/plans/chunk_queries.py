@@ -117,10 +117,8 @@ PAGED = "p AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDE
 
 
 def paged(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.row_number().over(order).cast("long").alias("page"), "text")
+    """Every document as a page of its source."""
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), "doc_id", "text")
 
 
 RANGES = f"{PAGED}, r AS (SELECT doc, page, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, length(text) AS n FROM p)"
@@ -128,21 +126,25 @@ RANGES = f"{PAGED}, r AS (SELECT doc, page, coalesce(sum(length(text) + 2) OVER
 
 @query("page_char_ranges", f"WITH {RANGES} SELECT doc, page, s AS start, s + n AS \"end\" FROM r")
 def page_char_ranges(spark, sf_dir):
-    return lines.char_ranges(paged(spark, sf_dir), "doc", "page")
+    return lines.char_ranges(paged(spark, sf_dir), "doc", "doc_id").drop("doc_id")
 
 
-@query("span_pages_join", f"WITH {RANGES}, q AS (SELECT doc, i AS span_id, i * 3000 AS a, i * 3000 + 2500 AS b FROM (SELECT DISTINCT source AS doc FROM documents), range(5) t(i)) SELECT doc, span_id, min(page) AS page_start, max(page) AS page_end FROM q JOIN r USING (doc) WHERE s <= b AND s + n >= a GROUP BY doc, span_id")
+@query("span_pages_join", f"WITH {RANGES}, q AS (SELECT doc, unnest(generate_series(0, max(s + n) // 3000)) AS span_id FROM r GROUP BY doc) SELECT doc, span_id, min(page) AS page_start, max(page) AS page_end FROM q JOIN r USING (doc) WHERE s <= span_id * 3000 + 2500 AND s + n >= span_id * 3000 GROUP BY doc, span_id")
 def span_pages_join(spark, sf_dir):
-    pages = paged(spark, sf_dir)
-    spans = pages.select("doc").distinct().select("doc", F.explode(F.expr("sequence(0L, 4L)")).alias("span_id")).select("doc", "span_id", (F.col("span_id") * 3000).alias("from"), (F.col("span_id") * 3000 + 2500).alias("to"))
-    return lines.span_pages(spans, lines.char_ranges(pages, "doc", "page"), "doc", "page")
+    """Pages of spans of 2,500 characters, one every 3,000 over the whole of each source."""
+    ranges = lines.char_ranges(paged(spark, sf_dir), "doc", "doc_id")
+    last = F.floor(F.col("last") / 3000)
+    spans = ranges.groupBy("doc").agg(F.max("end").alias("last")).select("doc", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("span_id"))
+    return lines.span_pages(spans.select("doc", "span_id", (F.col("span_id") * 3000).alias("from"), (F.col("span_id") * 3000 + 2500).alias("to")), ranges, "doc", "page")
 
 
-@query("pdf_pages_concat", f"WITH {PAGED} SELECT doc, count(*) AS pages, md5(string_agg(text, concat(chr(10), chr(10)) ORDER BY page)) AS text_md5 FROM p GROUP BY doc")
+@query("pdf_pages_concat", "WITH p AS (SELECT doc_id, unnest(generate_series(0, greatest(length(text) - 1, 0) // 3000)) AS i, text FROM documents) SELECT doc_id, count(*) AS pages, md5(string_agg(substr(text, i * 3000 + 1, 3000), concat(chr(10), chr(10)) ORDER BY i)) AS text_md5 FROM p GROUP BY doc_id")
 def pdf_pages_concat(spark, sf_dir):
-    """One row a document of at most thousands of pages; the pages are sorted within it."""
-    pages = paged(spark, sf_dir).groupBy("doc").agg(F.count("*").alias("pages"), F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
-    return pages.select("doc", "pages", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")).alias("text_md5"))
+    """Pages of 3,000 characters joined to the text of their document; a group is one document."""
+    i = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / 3000).cast("int")))
+    pages = table(spark, sf_dir, "documents").select("doc_id", i.alias("i"), "text").select("doc_id", "i", F.substring("text", F.col("i") * 3000 + 1, F.lit(3000)).alias("text"))
+    whole = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.array_sort(F.collect_list(F.struct("i", "text"))).alias("p"))
+    return whole.select("doc_id", "pages", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")).alias("text_md5"))
 
 
 def sql_sections(source: str, heading: str, preamble: str = "NULL", title: str = "s") -> str:

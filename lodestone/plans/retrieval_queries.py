@@ -173,6 +173,16 @@ def dense_topk(spark, sf_dir):
     return vectors.dense_topk(spark, rows, rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 20)
 
 
+@query(
+    "dense_topk_all",
+    "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 5",
+)
+def dense_topk_all(spark, sf_dir):
+    """The five nearest vectors of every vector."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(1.0).alias("scale"))
+    return vectors.dense_topk(spark, rows, rows.withColumnRenamed("id", "query_id"), 5)
+
+
 @query("hyde_vector", "SELECT a.vec_id, round(list_sum(list_transform(generate_series(1, 64), lambda i: abs((a.embedding[i]::DOUBLE + b.embedding[i]::DOUBLE) / 2))), 5) AS mass FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def hyde_vector(spark, sf_dir):
     """A query's vector averaged with its hypothesis' vector, before the length is made one again."""
