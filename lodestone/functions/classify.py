@@ -157,7 +157,7 @@ def unique_indices(indices: Column) -> Column:
 def heading(line: Column) -> Column:
     """The label of a section heading; null for other lines."""
     s = strip(line)
-    number, label = F.regexp_extract(s, r"^(\d+(?:\.\d+)*)\.?\s+([A-Z][A-Za-z,\s:&/'–\-]{3,80})$", 1), strip(F.regexp_extract(s, r"^(\d+(?:\.\d+)*)\.?\s+([A-Z][A-Za-z,\s:&/'–\-]{3,80})$", 2))
+    number, label = F.regexp_extract(s, rules.NUMBERED_HEADING, 1), strip(F.regexp_extract(s, rules.NUMBERED_HEADING, 2))
     refused = number.rlike(r"^(19|20)\d{2}$") | label.rlike(r"^(Department|School|University|Institute|Faculty)") | (F.length(label) < 5) | F.lower(label).rlike(r"^(table|figure|fig\.)")
     words = F.size(F.split(s, r"\s+"))
     capitals = s.rlike(r"\p{Lu}") & ~s.rlike(r"\p{Ll}") & s.contains(" ") & (F.length(s) <= 60) & words.between(2, 6)
@@ -170,6 +170,11 @@ def heading(line: Column) -> Column:
     )
 
 
+def heading_number(line: Column) -> Column:
+    """The number of a section heading; empty for one without."""
+    return F.regexp_extract(strip(line), rules.NUMBERED_HEADING, 1)
+
+
 def is_reference_page(c: Column) -> Column:
     """At least six signals of references, on more than half of the lines."""
     signals = F.regexp_count(c, F.lit(rules.REFERENCE_SIGNALS))

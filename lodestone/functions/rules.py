@@ -81,10 +81,31 @@ HEADINGS = [
     "glossary", "thank you", "who we are", "meet our team", "mission", "core", "partnerships highlights", "new initiatives",
     "publications", "research highlight", "upcoming research releases", "students", "recognitions", "events", "summary",
 ]
+TABLE_LABEL = r"(?i)^\s*Table\s+(\d+)\.\s*(.*?)$"
+FIGURE_LABEL = r"(?i)^\s*(?:Figure|Fig\.?)\s+(\d+)\.\s*(.*?)$"
+NUMBERED_HEADING = r"^(\d+(?:\.\d+)*)\.?\s+([A-Z][A-Za-z,\s:&/'–\-]{3,80})$"
+# Where a bibliography begins: a number alone before a line that starts with an author, or both on one line.
+ENTRY_NUMBER, ENTRY_AUTHOR, ENTRY_LINE = r"^\s*(\d+)\.\s*$", r"^\s*[A-Z][a-z]+,\s+[A-Z]", r"^\d+\.\s+[A-Z][a-z]+,\s+[A-Z]"
 REFERENCE_SIGNALS = r"(?im)\[CrossRef\]|\[PubMed\]|doi\.org|Available\s+online:?\s+http|ISBN\s+\d|Accessed\s+on\s+\d|^\s*\d+\.\s*$"
 SCRAPE_NOISE = ["honeypot link", "Current Students", "Parents & Families", "Faculty & Staff", "Alumni", "Skip to Main Content"]
 NOISE_TAGS = ["nav", "header", "footer", "aside", "script", "style", "noscript", "form"]
 
+# Blocks, by characters: the least of a preamble or page, and of a block under a marker.
+LEAST_PREAMBLE, LEAST_BLOCK, LEAST_CONDENSED = 31, 15, 30
+MIN_CHUNK_CHARS, HARD_MIN_CHARS = 120, 200
+
+# Sections of papers, in order; they begin at the start of a line.
+SCHOLAR_SECTIONS = [
+    (r"(?im)^\s*abstract\s*$", "Abstract"),
+    (r"(?im)^\s*1\.?\s*introduction\s*$", "Introduction"),
+    (r"(?im)^\s*(?:2\.?\s*)?methods?\b", "Methods"),
+    (r"(?im)^\s*(?:3\.?\s*)?results?\b", "Results"),
+    (r"(?im)^\s*(?:4\.?\s*)?discussion\b", "Discussion"),
+    (r"(?im)^\s*conclusion[s]?\b", "Conclusion"),
+    (r"(?im)^\s*references?\b", "References"),
+    (r"(?im)^\s*acknowledgements?\b", "Acknowledgements"),
+]
+
 # Sessions.
 SESSION_TURNS, SUMMARY_TURNS, ENTITY_TURNS = 10, 3, 3
 SESSION_TTL_S, MAX_SESSIONS = 3600, 200

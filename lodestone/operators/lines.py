@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.storage import ensure_checkpoint_dir
+from lodestone.functions.storage import written
 from lodestone.functions.text import let, strip
 
 
@@ -43,9 +41,7 @@ def sums_before(df: DataFrame, doc: str, order: str, values: dict[str, Column],
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = f"{ensure_checkpoint_dir(spark)}/ranges-{uuid.uuid4().hex}"
-    df.select(doc, order, *[v.alias(n) for n, v in values.items()]).repartitionByRange(parts, doc, order).withColumn("_part", F.spark_partition_id()).write.parquet(at)
-    dealt = spark.read.parquet(at)
+    dealt = written(df.select(doc, order, *[v.alias(n) for n, v in values.items()]).repartitionByRange(parts, doc, order).withColumn("_part", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(doc).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy(doc, "_part").agg(*[F.sum(n).alias(n) for n in values])
     offsets = sums.select(doc, "_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in values])

@@ -110,31 +110,37 @@ def slide_groups(slides: Column, chars: int = rules.MAX_CHUNK_CHARS) -> Column:
 CHUNK = "struct<section:string,text:string>"
 
 
-def _fold(chunks: Column, merges) -> Column:
+def _text_grown(a: Column, b: Column) -> Column:
+    return F.struct(a["section"].alias("section"), F.concat(a["text"], F.lit(" "), b["text"]).alias("text"))
+
+
+def _fold(chunks: Column, merges, kind: str, grown) -> Column:
     """Each chunk joins the one before where merges(last, chunk) says so."""
 
     def step(done: Column, c: Column) -> Column:
         last = F.element_at(done, -1)
-        into = F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.struct(last["section"].alias("section"), F.concat(last["text"], F.lit(" "), c["text"]).alias("text")))
+        into = F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), grown(last, c))
         return F.when(F.coalesce((F.size(done) > 0) & merges(last, c), F.lit(False)), into).otherwise(F.array_append(done, c))
 
-    return F.aggregate(chunks, F.array().cast(f"array<{CHUNK}>"), step)
+    return F.aggregate(chunks, F.array().cast(f"array<{kind}>"), step)
 
 
-def merge_small(chunks: Column, small: int, least: int = 200, most: int = rules.MAX_CHUNK_CHARS + 200, base_title: bool = False, forward: bool = True) -> Column:
+def merge_small(chunks: Column, small: int, least: int = 200, most: int = rules.MAX_CHUNK_CHARS + 200, base_title: bool = False, forward: bool = True, kind: str = CHUNK, grown=_text_grown, into_next=None) -> Column:
     """array of CHUNK: small chunks join the one before in their section, then those under least any neighbour before if the sum fits, then a tiny first one the next.
 
     With base_title, sections are compared without their part numbers. One pass of the second step reaches its end: a chunk that was refused only grows.
+    Chunks may be of another kind with a section and a text; grown(a, b) then makes one of a and the chunk after it, into_next(a, b) puts a before b.
     """
     title = (lambda x: F.substring_index(x, " (part", 1)) if base_title else (lambda x: x)
-    first = _fold(chunks, lambda last, c: (title(last["section"]) == title(c["section"])) & (F.length(c["text"]) < small))
-    second = _fold(first, lambda last, c: (F.length(c["text"]) < least) & (F.length(last["text"]) + F.length(c["text"]) + 1 <= most))
+    into_next = into_next or (lambda a, b: F.struct(b["section"].alias("section"), F.concat(a["text"], F.lit(" "), b["text"]).alias("text")))
+    first = _fold(chunks, lambda last, c: (title(last["section"]) == title(c["section"])) & (F.length(c["text"]) < small), kind, grown)
+    second = _fold(first, lambda last, c: (F.length(c["text"]) < least) & (F.length(last["text"]) + F.length(c["text"]) + 1 <= most), kind, grown)
     if not forward:
         return second
 
     def tiny(s: Column) -> Column:
         a, b = F.get(s, F.lit(0)), F.get(s, F.lit(1))
-        moved = F.concat(F.array(F.struct(b["section"].alias("section"), F.concat(a["text"], F.lit(" "), b["text"]).alias("text"))), F.slice(s, F.lit(3), F.greatest(F.size(s), F.lit(1))))
+        moved = F.concat(F.array(into_next(a, b)), F.slice(s, F.lit(3), F.greatest(F.size(s), F.lit(1))))
         return F.when((F.size(s) > 1) & (F.length(a["text"]) < least), moved).otherwise(s)
 
     return let(second, tiny)

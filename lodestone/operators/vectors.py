@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.storage import ensure_checkpoint_dir
+from lodestone.functions.storage import written
 
 DIMS = 64
 #: Query vectors and corpus vectors that are scored together.
@@ -100,9 +99,7 @@ def dense_topk(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: in
     if queries.count() <= SMALL_QUERIES:
         asked = F.broadcast(asked)
     else:
-        at = f"{ensure_checkpoint_dir(spark)}/queries-{uuid.uuid4().hex}"
-        asked.write.parquet(at)
-        asked = spark.read.parquet(at)
+        asked = written(asked, "queries")
     pairs = blocks(corpus, ROWS, "c").crossJoin(asked)
 
     def run(batches):

@@ -199,29 +199,6 @@ def people_split(spark, sf_dir):
     return section_rows(noisy(spark, sf_dir), found).where("title <> 'Overview' OR length(body) > 50")
 
 
-@query("structural_blocks")
-def structural_blocks(spark, sf_dir):
-    """Blocks between heading lines; reference pages are dropped and the bibliography cut off."""
-    docs = noisy(spark, sf_dir).where(~classify.is_reference_page(F.col("text")))
-    cut = docs.withColumn("text", F.element_at(F.split("text", r"(?m)^References$", 2), 1))
-    found = section_rows(cut, lines.sections(F.col("text"), lambda x: classify.heading(x).isNotNull(), lambda x: classify.heading(x)))
-    return found.where(F.length("body") >= F.when(F.col("title").isNull(), 31).otherwise(15))
-
-
-@query("pdf_chunk_pipeline")
-def pdf_chunk_pipeline(spark, sf_dir):
-    """Cleaned pages to sections, sentences, overlapping chunks, without references, small ones merged, with ids and flags."""
-    docs = table(spark, sf_dir, "documents")
-    cleaned = docs.select("doc_id", "source", text.clean_text(F.col("text")).alias("text"))
-    found = cleaned.select("doc_id", "source", F.posexplode(lines.sections(F.col("text"), lambda x: classify.heading(x).isNotNull(), lambda x: classify.heading(x), preamble="")).alias("n", "s"))
-    chunks = found.select("doc_id", "source", "n", F.col("s.title").alias("section"), F.transform(sentences.joined(sentences.pack(sentences.split_sentences(F.col("s.body"), sentences.PDF), overlap=rules.OVERLAP_SENTENCES)), lambda x: F.struct(F.col("s.title").alias("section"), x.alias("text"))).alias("c"))
-    whole = chunks.groupBy("doc_id", "source").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"])).alias("c"))
-    kept = F.filter("c", lambda x: ~classify.looks_like_reference(x["text"], F.lit("paragraph")))
-    merged = whole.select("doc_id", "source", F.posexplode(sentences.merge_small(kept, small=120)).alias("i", "c"))
-    body = F.col("c.text")
-    return merged.select("doc_id", F.col("i").cast("long").alias("chunk_index"), ids.pdf_chunk_id(F.concat_ws("_", "source", "doc_id"), F.col("i")).alias("chunk_id"), F.col("c.section").alias("section_title"), body.alias("chunk_text"), classify.pdf_quality(body).alias("quality_flag"), classify.pdf_chunk_type(body, F.lit("body")).alias("chunk_type"))
-
-
 @query("segment_chunks")
 def segment_chunks(spark, sf_dir):
     """Segments cut at list items, each piece packed with overlap, parts numbered over the whole segment."""
