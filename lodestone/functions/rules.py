@@ -94,6 +94,11 @@ NOISE_TAGS = ["nav", "header", "footer", "aside", "script", "style", "noscript",
 LEAST_PREAMBLE, LEAST_BLOCK, LEAST_CONDENSED = 31, 15, 30
 MIN_CHUNK_CHARS, HARD_MIN_CHARS = 120, 200
 
+# Headings of reports.
+INSTITUTE_HEADING = r"(?im)^\s*(?:\d+(?:\.\d+)*\s+.{3,80}|(?:[A-Z][A-Za-z0-9 ,&'-]{2,60})\s*$|(?:Our Mission|Our Team|Who We Are|Programs|Partners|Contact|Financials|Overview)\b)\s*$"
+INSTITUTE_OPENING = r"(?i)^(our mission|programs|contact|overview)\b"
+PERSON_LINE = r"^[A-Z][a-zA-ZáéíóúñÁÉÍÓÚÑ.\-' ]+(?:\([^)]+\))?$"
+
 # Sections of papers, in order; they begin at the start of a line.
 SCHOLAR_SECTIONS = [
     (r"(?im)^\s*abstract\s*$", "Abstract"),

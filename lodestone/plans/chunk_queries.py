@@ -159,27 +159,6 @@ def section_rows(docs, column):
     return docs.select("doc_id", F.posexplode(column).alias("i", "s")).select("doc_id", F.col("i").cast("long").alias("i"), "s.title", "s.body")
 
 
-INSTITUTE = r"^(?:[0-9]+(?:\.[0-9]+)*\s+.{3,80}|[A-Z][A-Za-z0-9 ,&'-]{2,60}|(?i:Our Mission|Our Team|Who We Are|Programs|Partners|Contact|Financials|Overview))$"
-
-
-@query("split_institute", f"WITH {NOISY}, {sql_sections('noisy', 'length(s) < 120 AND regexp_matches(s, ' + repr(INSTITUTE).replace(chr(34), chr(39)).replace(chr(92) * 2, chr(92)).replace('&' + chr(39) + '-', '&' + chr(39) * 2 + '-') + ')')}")
-def split_institute(spark, sf_dir):
-    found = lines.sections(F.col("text"), lambda x: (F.length(text.strip(x)) < 120) & text.strip(x).rlike(INSTITUTE))
-    return section_rows(noisy(spark, sf_dir), found)
-
-
-SCHOLARLY = {"Introduction": "^1\\.?\\s*introduction$", "References": "^references?\\b", "Methods": "^(?:2\\.?\\s*)?methods?\\b"}
-ANCHOR = "(?i)" + "|".join(f"(?:{p})" for p in SCHOLARLY.values())
-
-
-@query("split_scholarly", f"WITH {NOISY}, {sql_sections('noisy', f'''regexp_matches(s, '{ANCHOR}')''', title='''CASE WHEN regexp_matches(s, '(?i)^references') THEN 'References' ELSE 'other' END''')}")
-def split_scholarly(spark, sf_dir):
-    def label(x):
-        return F.when(text.strip(x).rlike("(?i)^references"), "References").otherwise("other")
-
-    return section_rows(noisy(spark, sf_dir), lines.sections(F.col("text"), lambda x: text.strip(x).rlike(ANCHOR), label))
-
-
 WEB_HEADING = "(?i)^(?:Running head|References)$"
 
 
@@ -189,13 +168,10 @@ def web_heading_split(spark, sf_dir):
     return found.where("title <> 'Overview' OR length(body) > 50")
 
 
-PERSON = r"^[A-Z][a-zA-ZáéíóúñÁÉÍÓÚÑ.\-' ]+(?:\([^)]+\))?$"
-
-
 @query("people_split")
 def people_split(spark, sf_dir):
     """Blocks that start with a line that looks like a name."""
-    found = lines.sections(F.col("text"), lambda x: F.length(text.strip(x)).between(6, 59) & text.strip(x).rlike(PERSON), preamble="Overview")
+    found = lines.sections(F.col("text"), lambda x: F.length(text.strip(x)).between(6, 59) & text.strip(x).rlike(rules.PERSON_LINE), preamble="Overview")
     return section_rows(noisy(spark, sf_dir), found).where("title <> 'Overview' OR length(body) > 50")
 
 
@@ -222,27 +198,3 @@ def fallback_segments(spark, sf_dir):
 @query("page_min_length", f"SELECT doc_id FROM documents WHERE length({stripped('text')}) >= 50 AND source NOT IN ('src3', 'src7')")
 def page_min_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").where((F.length(text.strip(F.col("text"))) >= 50) & ~F.col("source").isin("src3", "src7")).select("doc_id")
-
-
-@query("candidate_units")
-def candidate_units(spark, sf_dir):
-    """Units of documents by their type: sections of papers or of reports, else the whole text; with ids and the pages on which they start and end.
-
-    Pages are stretches of 3,000 characters; a unit is found by its first 80 characters, at their first occurrence.
-    """
-    docs = noisy(spark, sf_dir)
-    kind = classify.document_type(F.col("text"), F.col("source"), F.col("doc_id") % 5 == 0)
-
-    def label(x):
-        return F.when(text.strip(x).rlike("(?i)^references"), "References").otherwise("other")
-
-    papers = lines.sections(F.col("text"), lambda x: text.strip(x).rlike(ANCHOR), label)
-    reports = lines.sections(F.col("text"), lambda x: (F.length(text.strip(x)) < 120) & text.strip(x).rlike(INSTITUTE))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("title"), text.strip(F.col("text")).alias("body")))
-    chosen = F.when(kind == "scholarly_paper_pdf", papers).when(kind == "institute_report_pdf", reports).otherwise(whole)
-    typed = docs.select("doc_id", "source", "text", kind.alias("document_type"), chosen.alias("s"))
-    units = typed.select("doc_id", "source", "text", "document_type", F.posexplode(F.when(F.size("s") > 0, F.col("s")).otherwise(whole)).alias("i", "u"))
-    start = F.greatest(F.instr(F.col("text"), F.substring("u.body", 1, 80)), F.lit(1))
-    page = lambda at: (F.floor((at - 1) / 3000) + 1).cast("long")
-    unit = ids.unit_id(ids.document_id(F.concat_ws("_", "source", "doc_id"), F.lit(None).cast("string")), F.col("i"), F.col("u.body"))
-    return units.select("doc_id", unit.alias("unit_id"), "document_type", F.col("u.title").alias("title"), F.length("u.body").cast("long").alias("n_chars"), page(start).alias("page_start"), page(start + F.length("u.body") - 1).alias("page_end"))
