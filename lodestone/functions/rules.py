@@ -89,6 +89,13 @@ ENTRY_NUMBER, ENTRY_AUTHOR, ENTRY_LINE = r"^\s*(\d+)\.\s*$", r"^\s*[A-Z][a-z]+,\
 REFERENCE_SIGNALS = r"(?im)\[CrossRef\]|\[PubMed\]|doi\.org|Available\s+online:?\s+http|ISBN\s+\d|Accessed\s+on\s+\d|^\s*\d+\.\s*$"
 SCRAPE_NOISE = ["honeypot link", "Current Students", "Parents & Families", "Faculty & Staff", "Alumni", "Skip to Main Content"]
 NOISE_TAGS = ["nav", "header", "footer", "aside", "script", "style", "noscript", "form"]
+# Elements that are no content: tags, roles, and parts of attributes in any case; for sections and for the text of a page.
+NOISE_ROLES = ["navigation"]
+SECTION_NOISE = {"aria-label": ["cookie"], "class": ["cookie", "banner", "newsletter"], "id": ["cookie"]}
+TEXT_NOISE = {"aria-label": ["cookie"], "class": ["cookie"], "id": ["cookie"]}
+# Where the content of a page stands, first found first.
+SECTION_CONTAINERS = ["main", "article", "body"]
+TEXT_CONTAINERS = ["main", "[role=main]", "article", "#content", "#main", ".main-content", "body"]
 
 # Blocks, by characters: the least of a preamble or page, and of a block under a marker.
 LEAST_PREAMBLE, LEAST_BLOCK, LEAST_CONDENSED = 31, 15, 30

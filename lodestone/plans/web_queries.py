@@ -8,7 +8,7 @@ from lodestone.functions import ids, rules
 from lodestone.functions.text import strip
 from lodestone.plans.registry import query, table
 from lodestone.plans.text_queries import stripped
-from lodestone.sources import web
+from lodestone.sources import page_tree, web
 
 HOST, PATH = r"regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)", r"regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 
@@ -56,10 +56,8 @@ def html_sections(spark, sf_dir):
 
 @query("html_main_text")
 def html_main_text(spark, sf_dir):
-    """Title and the text of a page's sections, lines without blanks."""
-    found = web.sections(pages(spark, sf_dir)).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", F.concat_ws("\n", "heading", "content").alias("t")))).alias("s"))
-    titles = pages(spark, sf_dir).select("page_id", web.title(F.col("html")).alias("title"))
-    return titles.join(found, "page_id", "left").select("page_id", "title", F.array_join(F.transform("s", lambda x: x["t"]), "\n").alias("text"))
+    """Title and text of every page, from the element that holds its content."""
+    return page_tree.contents(pages(spark, sf_dir)).select("page_id", "title", "text")
 
 
 @query("web_chunk_pipeline")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
 from lodestone.functions.text import strip
+from lodestone.sources import page_tree
 
 
 def title(html: Column) -> Column:
@@ -90,69 +89,10 @@ def stop_after_misses(df: DataFrame, key: str, number: str, missed: Column, run:
     return marked.withColumn("_ended", F.coalesce(ended, F.lit(0))).where((F.col("_ended") == 0) & (F.col("_i") <= most)).drop("_i", "_miss", "_ended")
 
 
-class _Sections(HTMLParser):
-    """Headings, paragraphs and list items in order; text outside them is left out."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found, self.level, self.title, self.lines, self.open, self.text, self.skip = [], None, None, [], [], [], 0
-
-    def flush(self) -> None:
-        if self.lines or self.title:
-            self.found.append((self.level, self.title, "\n".join(self.lines)))
-        self.lines = []
-
-    def end_block(self) -> None:
-        text = " ".join("".join(self.text).split())
-        self.text = []
-        tag = self.open.pop() if self.open else None
-        if not tag or not text:
-            return
-        if tag[0] == "h":
-            self.flush()
-            self.level, self.title = int(tag[1]), text
-        else:
-            self.lines.append(text)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in rules.NOISE_TAGS:
-            self.skip += 1
-        if tag in ("h1", "h2", "h3", "p", "li") and not (tag == "p" and "li" in self.open):
-            self.end_block()
-            self.open = [tag]
-
-    def handle_endtag(self, tag):
-        if tag in rules.NOISE_TAGS:
-            self.skip = max(0, self.skip - 1)
-        if tag in ("h1", "h2", "h3", "p", "li") and self.open and self.open[-1] == tag:
-            self.end_block()
-
-    def handle_data(self, data):
-        if self.open and not self.skip:
-            self.text.append(data)
-
-
-def sections_of(html: str | None) -> list[tuple[int | None, str | None, str]]:
-    """(heading level, heading, content) of a page; the whole text as one section if it has no such blocks."""
-    parser = _Sections()
-    parser.feed(html or "")
-    parser.close()
-    parser.end_block()
-    parser.flush()
-    return parser.found
-
-
 def sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, i, level, heading, content), one row a section."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            rows = [(p, i, *s) for p, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, s in enumerate(sections_of(h))]
-            kinds = (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["page_id", "i", "level", "heading", "content"])
-
-    return pages.select(F.col(id_col).alias("page_id"), html_col).mapInArrow(run, f"page_id {dict(pages.dtypes)[id_col]}, i long, level int, heading string, content string")
+    found = page_tree.contents(pages, id_col, html_col)
+    return found.select("page_id", F.posexplode("sections").alias("i", "s")).select("page_id", F.col("i").cast("long").alias("i"), "s.level", "s.heading", "s.content")
 
 
 def read_url_lists(spark, path: str, recursive: bool = False) -> DataFrame:

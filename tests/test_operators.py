@@ -154,11 +154,6 @@ def test_model_sees_only_unknown_rows(spark):
     assert seen.value == 1
 
 
-def test_page_sections():
-    page = "<html><body><nav><p>menu</p></nav><p>before</p><h1>Title</h1><p>one <b>two</b></p><ul><li>item <p>in it</p></li></ul><h2>Next</h2></body></html>"
-    assert web.sections_of(page) == [(None, None, "before"), (1, "Title", "one two\nitem in it"), (2, "Next", "")]
-
-
 def test_url_lists(spark, tmp_path):
     (tmp_path / "B.txt").write_text("# no\nhttps://x.org/a\nsee https://x.org/b).\n")
     (tmp_path / "a.list").write_text("https://x.org/b\n\nplain\n")
