@@ -92,18 +92,40 @@ def page_links(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.posexplode(web.links(F.col("html"))).alias("i", "target")).withColumn("i", F.col("i").cast("long"))
 
 
-EDGES = f"l AS (SELECT url, unnest({HREFS}) AS target FROM pages), e AS (SELECT url AS a, target AS b FROM l UNION SELECT target, url FROM l)"
-
-
-@query("crawl_reachable", f"WITH RECURSIVE {EDGES}, r AS (SELECT min(url) AS url FROM pages UNION SELECT e.b FROM r JOIN e ON e.a = r.url) SELECT url FROM r")
+#: Pages called by number on one site; every link of the table leads, in one of six forms, to the page of the number that its letters give.
+GOES = "(SELECT count(*) FROM pages)"
+NUMBERED = f"""l AS (SELECT page_id, unnest({HREFS}) AS h, generate_subscripts({HREFS}, 1) - 1 AS i FROM pages), k AS (SELECT page_id, i, (ascii(substr(h, 2, 1)) * 31 + length(h) * 7 + page_id * 3) % {GOES} AS goes FROM l),
+e AS (SELECT DISTINCT concat('https://www.site.org/in/p', page_id::VARCHAR) AS url, concat('https://www.site.org/in/p', goes::VARCHAR) AS target FROM k WHERE i % 6 < 4)"""
+
+
+def numbered_pages(spark, sf_dir):
+    """(url, html) of the made site."""
+    all_ = pages(spark, sf_dir)
+    n = F.broadcast(all_.agg(F.count("*").alias("n")))
+    h = F.regexp_extract_all("html", F.lit("(?i)<a\\s[^>]*href=\"([^\"#]*)"), F.lit(1))
+    rows = all_.select("page_id", F.posexplode(h).alias("i", "h")).crossJoin(n)
+    to = ((F.ascii(F.substring("h", 2, 1)) * 31 + F.length("h") * 7 + F.col("page_id") * 3) % F.col("n")).cast("string")
+    forms = [("href=\"/in/p", "\""), ("class=x href='p", "#top'"), ("href=\"../x/../in/./p", "\""), ("HREF=//www.site.org/in/p", " id=a"), ("href=\"https://other.org/in/p", "\""), ("href=\"mailto:p", "\"")]
+    link = F.lit("")
+    for k, (before, after) in enumerate(forms):
+        link = F.when(F.col("i") % 6 == k, F.concat(F.lit(f"<a {before}"), to, F.lit(f"{after}>x</a>"))).otherwise(link)
+    html = rows.groupBy("page_id").agg(F.array_join(F.collect_list(link), "\n").alias("html"))
+    return html.select(F.concat(F.lit("https://www.site.org/in/p"), F.col("page_id").cast("string")).alias("url"), "html")
+
+
+@query("site_links", f"WITH {NUMBERED} SELECT url, target FROM e")
+def site_links(spark, sf_dir):
+    """Links within the site, resolved."""
+    return web.site_links(numbered_pages(spark, sf_dir), "https://www.site.org/in/")
+
+
+@query(
+    "crawl_reachable",
+    f"WITH RECURSIVE {NUMBERED}, r AS (SELECT 'https://www.site.org/in/p0' AS url, 0 AS depth UNION SELECT e.target, depth + 1 FROM r JOIN e USING (url) WHERE depth < (SELECT 2 * count(*) FROM pages)) SELECT url, min(depth) AS depth FROM r GROUP BY url",
+)
 def crawl_reachable(spark, sf_dir):
-    """What a crawl from the first page finds by all links, followed both ways, as no link of the tables names a page."""
-    from lodestone.functions.storage import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    linked = pages(spark, sf_dir).select("url", F.explode(web.links(F.col("html"))).alias("target"))
-    edges = linked.union(linked.select("target", "url"))
-    return web.reachable(pages(spark, sf_dir).agg(F.min("url").alias("url")), edges).select("url")
+    """What a crawl from the first page of the site finds along its links, with the depth."""
+    return web.reachable(spark.createDataFrame([("https://www.site.org/in/p0",)], "url string"), web.site_links(numbered_pages(spark, sf_dir), "https://www.site.org/in/"))
 
 
 LISTED = "CASE page_id % 5 WHEN 0 THEN concat('  ', url, ' ') WHEN 1 THEN concat('# ', url) WHEN 2 THEN concat('see ', url, ').') WHEN 3 THEN ' ' ELSE 'nothing here' END"

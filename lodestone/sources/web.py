@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
+from lodestone.functions.storage import ensure_checkpoint_dir, written
 from lodestone.functions.text import strip
 from lodestone.sources import page_tree
 
@@ -68,16 +71,68 @@ def audit(status: Column, size: Column, url: Column) -> Column:
     return F.struct((status < 400).alias("ok"), F.when(blocked, "blocked download").alias("note"))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments . and .., which take the one before with them."""
+    segments = F.split(path, "/")
+    tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+
+    def step(done: Column, x: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(x == ".", done).when(x == "..", up).otherwise(F.array_append(done, x))
+
+    return F.array_join(F.concat(F.aggregate(segments, F.array().cast("array<string>"), step), tail), "/")
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The address that a link on a page means, without its fragment; null for links to other schemes than http and https, and for those to a place on the page.
+
+    Targets are whole addresses, or begin with //host, /path or ?query, or are paths from the folder of the page.
+    """
+    t = F.regexp_replace(strip(target), "#.*$", "")
+    page = F.regexp_replace(base, "[?#].*$", "")
+    scheme, root = F.regexp_extract(page, "^([a-z]+:)//", 1), F.regexp_extract(page, "^[a-z]+://[^/]*", 0)
+    path = F.substring(page, F.length(root) + 1, F.length(page))
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", "")
+    joined = (
+        F.when(t == "", F.lit(None).cast("string"))
+        .when(t.rlike("(?i)^https?://"), t)
+        .when(t.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(t.startswith("//"), F.concat(scheme, t))
+        .when(t.startswith("/"), F.concat(root, t))
+        .when(t.startswith("?"), F.concat(page, t))
+        .otherwise(F.concat(root, folder, t))
+    )
+    site, rest = F.regexp_extract(joined, "(?i)^https?://[^/?]*", 0), F.regexp_extract(joined, "(?i)^https?://[^/?]*(.*)$", 1)
+    way, asked = F.regexp_extract(rest, "^[^?]*", 0), F.regexp_extract(rest, "[?].*$", 0)
+    return F.when(joined.isNotNull(), F.concat(site, F.when(way == "", way).otherwise(without_dots(way)), asked))
+
+
+def site_links(pages: DataFrame, within: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(url, target), each once: the links of pages that lead to addresses with this beginning."""
+    hrefs = F.regexp_extract_all(html_col, F.lit(HREF), F.lit(1))
+    targets = F.transform(hrefs, lambda x: F.regexp_replace(x, "&amp;", "&"))
+    found = pages.select(F.col(url_col).alias("url"), F.explode(targets).alias("href")).select("url", resolved(F.col("url"), F.regexp_replace("href", "^[\"']|[\"']$", "")).alias("target"))
+    return found.where(F.col("target").startswith(within)).distinct()
+
+
+#: The value of href in an anchor, with its quotes if any.
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pages that a crawl from start (url) finds over edges (url, target), each once with its depth; breadth first, a join and an anti-join a level, until no page is new."""
-    seen, edge = start.select("url").distinct().withColumn("depth", F.lit(0)), edges.select("url", "target").distinct()
-    front, depth = seen, 0
-    while True:
+    """Pages that a crawl from start (url) finds along edges (url, target), each once with its depth; breadth first, until no page is new.
+
+    Edges are written once; each level is written beside those before it and never again, and what it finds is new if no level has it.
+    """
+    spark, edge = start.sparkSession, written(edges.select("url", "target").distinct(), "edges")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/crawl-{uuid.uuid4().hex}"
+    start.select("url").where("url is not null").distinct().write.parquet(f"{path}/depth=0")
+    depth, kind = 0, f"url {dict(start.dtypes)['url']}"
+    while not (front := spark.read.schema(kind).parquet(f"{path}/depth={depth}")).isEmpty():
+        seen = spark.read.schema(f"{kind}, depth int").parquet(path).select("url")
         depth += 1
-        front = front.join(edge, "url").select(F.col("target").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front).checkpoint()
+        front.join(edge, "url").select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti").write.parquet(f"{path}/depth={depth}")
+    return spark.read.schema(f"{kind}, depth int").parquet(path)
 
 
 def stop_after_misses(df: DataFrame, key: str, number: str, missed: Column, run: int = 5, most: int = 50) -> DataFrame:
