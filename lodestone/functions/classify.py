@@ -133,11 +133,14 @@ def wants_llm(content: Column, title: Column, flagged: Column, generic: list[str
 
 
 def grounding(segment: Column, source: Column) -> Column:
-    """Share of the segment's words that occur in the source; null for a segment without words."""
-    words, known = F.regexp_extract_all(F.lower(segment), F.lit("[a-z0-9]+"), F.lit(0)), F.array_distinct(F.regexp_extract_all(F.lower(source), F.lit("[a-z0-9]+"), F.lit(0)))
+    """Share of the segment's words that occur in the source; null for a segment without words.
+
+    Distinct words are compared as sets; the words of the segment are then held against those alone that the source lacks.
+    """
     from lodestone.functions.text import let
 
-    return let(known, lambda k: let(words, lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.array_contains(k, x))) / F.size(w))))
+    words, known = F.regexp_extract_all(F.lower(segment), F.lit("[a-z0-9]+"), F.lit(0)), F.regexp_extract_all(F.lower(source), F.lit("[a-z0-9]+"), F.lit(0))
+    return let(words, lambda w: let(F.array_except(w, known), lambda lacking: F.when(F.size(w) > 0, (F.size(w) - F.size(F.filter(w, lambda x: F.array_contains(lacking, x)))) / F.size(w))))
 
 
 def is_grounded(segment: Column, source: Column, least: float = 0.85) -> Column:

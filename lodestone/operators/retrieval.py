@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify, rules
+from lodestone.operators.patterns import occurrences
 
 
 def per_query(*order: Column) -> Window:
@@ -133,10 +134,11 @@ def diversify(found: DataFrame, per_source: int = 2, least: int = rules.TOP_K_FI
 
 def missing_entities(entities: DataFrame, found: DataFrame) -> DataFrame:
     """(query_id, entity) of which no word of more than two letters occurs in the query's evidence (query_id, text)."""
-    held = found.groupBy("query_id").agg(F.lower(F.array_join(F.collect_list("text"), " ")).alias("held"))
     words = F.filter(F.split(F.lower("entity"), r"\s+"), lambda w: F.length(w) > 2)
-    asked = entities.join(held, "query_id", "left")
-    return asked.where(~F.exists(words, lambda w: F.coalesce(F.contains(F.col("held"), w), F.lit(False)))).select("query_id", "entity")
+    asked = entities.select("query_id", "entity", F.explode(words).alias("pattern"))
+    held = occurrences(found.select("query_id", F.lower("text").alias("held")), F.col("held"), asked).select("query_id", "pattern").distinct()
+    covered = asked.join(held, ["query_id", "pattern"]).select("query_id", "entity").distinct()
+    return entities.select("query_id", "entity").join(covered, ["query_id", "entity"], "left_anti")
 
 
 def supplements(scored: DataFrame, existing: DataFrame, k: int = 2) -> DataFrame:

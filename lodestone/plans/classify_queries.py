@@ -160,9 +160,9 @@ def llm_triage(spark, sf_dir):
 
 @query(
     "grounding_ratio",
-    """WITH p AS (SELECT doc_id, text, concat(text, CASE WHEN doc_id % 3 = 0 THEN ' zzyzx quux' ELSE '' END) AS seg FROM documents),
-w AS (SELECT doc_id, unnest(regexp_extract_all(lower(seg), '[a-z0-9]+')) AS w, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS k FROM p)
-SELECT doc_id, count(*) AS n_words, sum(CASE WHEN list_contains(k, w) THEN 1 ELSE 0 END) / count(*) AS ratio FROM w GROUP BY doc_id""",
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(concat(text, CASE WHEN doc_id % 3 = 0 THEN ' zzyzx quux' ELSE '' END)), '[a-z0-9]+')) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT DISTINCT doc_id, w, true AS held FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) q)
+SELECT n.doc_id, sum(n)::BIGINT AS n_words, sum(CASE WHEN held THEN n ELSE 0 END) / sum(n) AS ratio FROM n LEFT JOIN k ON n.doc_id = k.doc_id AND n.w = k.w GROUP BY n.doc_id""",
 )
 def grounding_ratio(spark, sf_dir):
     seg = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " zzyzx quux").otherwise(""))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids, rules, text
+from lodestone.operators import patterns
 from lodestone.plans.registry import query, table
 
 #: SQL with the same text as noisy().
@@ -242,3 +243,14 @@ def contextualize(spark, sf_dir):
     section = F.when(i % 5 == 0, "").when(i % 5 == 1, "Preamble").otherwise(F.col("lang"))
     prefix = ids.context_prefix(kind, F.col("source"), section, F.when(i % 4 == 0, "table").otherwise("paragraph"), F.col("source"), hints={"1": "It is about people.", "2": "It is about projects."})
     return table(spark, sf_dir, "documents").select("doc_id", prefix.alias("prefix"))
+
+
+@query(
+    "pattern_mentions",
+    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS pattern FROM benchmark) SELECT pattern, count(*) AS documents, min(strpos(lower(text), pattern) - 1)::INT AS earliest FROM documents JOIN w ON contains(lower(text), pattern) GROUP BY pattern""",
+)
+def pattern_mentions(spark, sf_dir):
+    """For every longer word of the benchmark the documents that hold it anywhere, and the earliest place in one."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("pattern"))
+    found = patterns.occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"), F.lower("text"), words)
+    return found.groupBy("pattern").agg(F.count("*").alias("documents"), F.min("at").alias("earliest"))
