@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify, rules
-from lodestone.operators import evaluation
+from lodestone.operators import evaluation, models
 from lodestone.plans.classify_queries import any_match
 from lodestone.plans.registry import query, table
 
@@ -77,6 +77,37 @@ def retrieval_eval(spark, sf_dir):
     return evaluation.retrieval_hits(found, gold)
 
 
+class StubJudge:
+    """Scores by the length of what it was asked; some replies are fenced, some broken, and some prompts fail."""
+
+    def complete(self, prompts):
+        return [self.reply(len(p)) for p in prompts]
+
+    def reply(self, n):
+        import json
+
+        if n % 11 == 0:
+            raise ValueError("no reply")
+        body = json.dumps({name: (n + k) % 3 if k < 4 else n % 2 for k, name in enumerate(models.SCORES)})
+        return ("no JSON here", f"```json\n{body}\n```", body, f"Here: {body}")[n % 4]
+
+
+ASKED_TO_JUDGE = f"concat('{models.JUDGING}', chr(10), chr(10), 'Right answer:', chr(10), a.text, chr(10), chr(10), 'Answer:', chr(10), coalesce(b.text, ''), chr(10), chr(10), 'Expected: ', CASE WHEN a.doc_id % 3 = 0 THEN 'refuse' ELSE 'answer' END)"
+
+
+@query(
+    "judge_answers",
+    f"""WITH p AS (SELECT a.doc_id, length({ASKED_TO_JUDGE}) AS n FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, {", ".join(f"CASE WHEN n % 11 = 0 OR n % 4 = 0 THEN -1 ELSE {f'(n + {k}) % 3' if k < 4 else 'n % 2'} END AS {name}" for k, name in enumerate(models.SCORES))} FROM p""",
+)
+def judge_answers(spark, sf_dir):
+    """Every document as the right answer to which the next one is held, judged."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("gold"))
+    said = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("gold").alias("answer"))
+    asked = docs.join(said, "doc_id", "left").withColumn("expected", F.when(F.col("doc_id") % 3 == 0, "refuse").otherwise("answer"))
+    return models.judge(asked, StubJudge).drop("gold", "answer", "expected")
+
+
 @query(
     "judge_override",
     f"""WITH {JUDGED}, r AS (SELECT j.*, {any_match("t.t", rules.REFUSAL)} AS refused FROM judged j JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('I was unable to find it. ', text) ELSE text END AS t FROM documents) t USING (doc_id))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify, rules
-from lodestone.functions.storage import ensure_checkpoint_dir
+from lodestone.functions.storage import ensure_checkpoint_dir, written
 from lodestone.functions.text import tokens
 from lodestone.operators import bm25, conversation, retrieval, search_index, vectors
 from lodestone.plans.classify_queries import INTENTS, any_match, sql_intent
@@ -277,6 +277,30 @@ def evidence_log(spark, sf_dir):
     return evidence(spark, sf_dir).groupBy("query_id").agg(F.count_if(F.col("layer") == "qa_memory").alias("final_qa"), F.count_if(F.col("layer") != "qa_memory").alias("final_raw"))
 
 
+ANSWERED = f"""{EVIDENCE}, texts AS (SELECT e.query_id, e.rank, CASE WHEN e.layer = 'qa_memory' THEN 0 WHEN c.source_type = 'website' THEN 1 ELSE 2 END AS kind, concat('[Source: ', coalesce(c.source, 'qa_memory'), ']', chr(10), coalesce(c.text, qa.answer, '')) AS block
+FROM evidence e LEFT JOIN corpus c ON e.layer = 'corpus' AND e.chunk_id = c.chunk_id::VARCHAR LEFT JOIN qa ON e.layer = 'qa_memory' AND e.chunk_id = concat('qa', qa_id::VARCHAR)),
+bodies AS (SELECT query_id, kind, concat(CASE kind WHEN 0 THEN '{conversation.KINDS[0]}' WHEN 1 THEN '{conversation.KINDS[1]}' ELSE '{conversation.KINDS[2]}' END, chr(10), string_agg(block, concat(chr(10), chr(10)) ORDER BY rank)) AS body FROM texts GROUP BY query_id, kind),
+whole AS (SELECT query_id, string_agg(body, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY kind) AS context FROM bodies GROUP BY query_id)"""
+
+
+class DigestModel:
+    """Replies with a digest of what it was asked, without a model."""
+
+    def complete(self, prompts):
+        import hashlib
+
+        return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+
+@query("answer_v1", f"WITH {ANSWERED} SELECT a.query_id, md5(concat('{conversation.RULES}', chr(10), chr(10), 'Evidence:', chr(10), chr(10), coalesce(context, '(No evidence)'), chr(10), chr(10), '---', chr(10), chr(10), 'Question: ', a.text)) AS answer FROM asked a LEFT JOIN whole USING (query_id)")
+def answer_v1(spark, sf_dir):
+    """Every question answered once from its evidence, by a model that tells what it was asked."""
+    rows = evidence(spark, sf_dir)
+    texts = corpus(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("chunk_id"), "source", "source_type", "text")
+    answers = asked(spark, sf_dir).select(F.concat(F.lit("qa"), F.col("query_id").cast("string")).alias("chunk_id"), F.lit("qa_memory").alias("source"), F.lit("curated_qa").alias("source_type"), "text")
+    return conversation.answer_once(asked(spark, sf_dir), rows.join(texts.unionByName(answers), "chunk_id"), DigestModel)
+
+
 SUBS = f"{BM25}, subs AS (SELECT query_id // 3 AS query_id, (query_id % 3)::INT AS sub, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25) r WHERE rank <= 5)"
 
 
@@ -320,14 +344,26 @@ ENTITIES = ["thand", "ción de", "chen ein", "tion of the", "zz"]
 ENTITY_LIST = "[" + ", ".join(f"'{e}'" for e in ENTITIES) + "]"
 
 
-@query("coverage_missing", f"WITH {TURNED}, h AS (SELECT t.query_id, lower(string_agg(c.text, ' ')) AS held FROM t JOIN corpus c USING (chunk_id) GROUP BY t.query_id), e AS (SELECT query_id, unnest({ENTITY_LIST}) AS entity FROM asked) SELECT query_id, entity FROM e LEFT JOIN h USING (query_id) WHERE NOT coalesce(list_bool_or(list_transform(list_filter(string_split(entity, ' '), lambda w: length(w) > 2), lambda w: contains(held, w))), false)")
+MISSING = f"WITH {TURNED}, h AS (SELECT t.query_id, lower(string_agg(c.text, ' ')) AS held FROM t JOIN corpus c USING (chunk_id) GROUP BY t.query_id), e AS (SELECT query_id, unnest({ENTITY_LIST}) AS entity FROM asked) SELECT query_id, entity FROM e LEFT JOIN h USING (query_id) WHERE NOT coalesce(list_bool_or(list_transform(list_filter(string_split(entity, ' '), lambda w: length(w) > 2), lambda w: contains(held, w))), false)"
+
+
+@query("coverage_missing", MISSING)
 def coverage_missing(spark, sf_dir):
     entities = asked(spark, sf_dir).select("query_id", F.explode(F.array(*map(F.lit, ENTITIES))).alias("entity"))
     found = turned(spark, sf_dir).join(corpus(spark, sf_dir), "chunk_id").select("query_id", "text")
     return retrieval.missing_entities(entities, found)
 
 
-@query("supplemental")
+NAMED = BM25.replace(ASKED, f"asked AS (SELECT i - 1 AS query_id, {ENTITY_LIST}[i] AS text FROM range(1, {len(ENTITIES) + 1}) t(i))")
+
+
+@query(
+    "supplemental",
+    f"""WITH missing AS (SELECT * FROM ({MISSING}) m), scored AS (SELECT {ENTITY_LIST}[query_id + 1] AS entity, chunk_id, score FROM (WITH {NAMED} SELECT * FROM bm25) b), have AS (SELECT query_id, chunk_id FROM (WITH {TURNED} SELECT * FROM t) t),
+fresh AS (SELECT m.query_id, m.entity, s.chunk_id, s.score FROM missing m JOIN scored s USING (entity) WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.query_id = m.query_id AND h.chunk_id = s.chunk_id)),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY entity) AS n FROM fresh) q WHERE n = 1)
+SELECT query_id, entity, chunk_id, score FROM (SELECT query_id, entity, chunk_id, score, row_number() OVER (PARTITION BY query_id, entity ORDER BY score DESC, chunk_id) AS n FROM once) q WHERE n <= 2""",
+)
 def supplemental(spark, sf_dir):
     """For entities that a question's evidence lacks, the two best further chunks."""
     entities = spark.createDataFrame(list(enumerate(ENTITIES)), "query_id long, text string")
@@ -344,33 +380,35 @@ class CorpusRetriever:
         self.spark, self.sf_dir = spark, sf_dir
         self.corpus = corpus(spark, sf_dir)
         self.index = indexed(spark, sf_dir)
+        self.memory = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text", (F.col("item_id") % 3 == 0).alias("denies"))
+        self.vectors, self.memory_vectors = (written(self._embedded(rows, "chunk_id"), "embedded") for rows in (self.corpus, self.memory))
 
     def _embedded(self, rows, id_col: str):
         own = vectors.embed(rows, id_col, tokens(F.col("text"))).where("norm2 > 0")
         unit = F.transform("counts", lambda x: x / F.sqrt("norm2"))
         return own.select("id", unit.alias("unit"))
 
-    def _searched(self, asked, rows, k: int, passages: bool):
-        """The k nearest of rows (chunk_id, text) to questions, whose vectors are averaged with those of their passages."""
+    def _searched(self, asked, held, k: int, passages: bool):
+        """The k nearest of held vectors to questions, whose vectors are averaged with those of their passages."""
         q = self._embedded(asked, "query_id").toDF("query_id", "q")
         if passages:
             p = self._embedded(asked.where("passage is not null").select("query_id", F.col("passage").alias("text")), "query_id").toDF("query_id", "p")
             q = q.join(p, "query_id", "left").withColumn("q", F.when(F.col("p").isNull(), F.col("q")).otherwise(F.zip_with("q", "p", lambda x, y: (x + y) / 2)))
         wanted = q.select("query_id", F.col("q").alias("vector"), vectors.dot(F.col("q"), F.col("q")).alias("scale"))
-        own = self._embedded(rows, "chunk_id").select("id", F.col("unit").alias("vector"), F.lit(1.0).alias("scale"))
+        own = held.select("id", F.col("unit").alias("vector"), F.lit(1.0).alias("scale"))
         return vectors.dense_topk(self.spark, own, wanted, k).select("query_id", F.col("id").alias("chunk_id"), "score")
 
     def single(self, asked):
         numbered = asked.withColumn("name", F.col("query_id")).withColumn("query_id", F.xxhash64("query_id"))
         questions = numbered.select("query_id", F.col("text").alias("question"), "intent")
-        dense = retrieval.candidates(self._searched(numbered, self.corpus, rules.TOP_K_DENSE, True), self.corpus, rules.TOP_K_DENSE)
+        dense = retrieval.candidates(self._searched(numbered, self.vectors, rules.TOP_K_DENSE, True), self.corpus, rules.TOP_K_DENSE)
         sparse = retrieval.candidates(self.index.search(numbered, rules.TOP_K_SPARSE), self.corpus, rules.TOP_K_SPARSE, positive=True)
         placed = retrieval.merge_lists(dense, sparse).join(self.corpus, "chunk_id").join(questions, "query_id")
         scored = retrieval.hybrid(retrieval.drop_when_both(placed, PAIRS).withColumn("boost", retrieval.boost(F.col("intent"), F.col("source_type"))))
         final = retrieval.final_score(F.col("hybrid"), retrieval.lexical_rerank(F.col("question"), F.col("text")))
         raw = scored.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), final.alias("final"))
-        qa = table(self.spark, self.sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text", (F.col("item_id") % 3 == 0).alias("denies"))
-        known = self._searched(numbered, qa, rules.TOP_K_QA, False).where(F.col("score") >= rules.QA_RELEVANCE_FLOOR).join(qa, "chunk_id")
+        qa = self.memory
+        known = self._searched(numbered, self.memory_vectors, rules.TOP_K_QA, False).where(F.col("score") >= rules.QA_RELEVANCE_FLOOR).join(qa, "chunk_id")
         known = known.withColumn("chunk_id", F.concat(F.lit("qa"), F.col("chunk_id").cast("string")))
         positive = known.where("not denies").join(questions, "query_id").select("query_id", "chunk_id", (retrieval.lexical_rerank(F.col("question"), F.col("text")) / 10.0).alias("final"))
         negative = known.where("denies").select("query_id", "chunk_id", F.col("score").alias("raw_score"))
@@ -382,7 +420,7 @@ class CorpusRetriever:
     def supplement(self, missing):
         """Ten nearest and ten best chunks by BM25 of each entity, reranked."""
         named = missing.select("entity").distinct().select(F.xxhash64("entity").alias("query_id"), "entity", F.col("entity").alias("text"))
-        dense = retrieval.candidates(self._searched(named, self.corpus, rules.TOP_K_DENSE // 2, False), self.corpus, rules.TOP_K_DENSE // 2)
+        dense = retrieval.candidates(self._searched(named, self.vectors, rules.TOP_K_DENSE // 2, False), self.corpus, rules.TOP_K_DENSE // 2)
         sparse = retrieval.candidates(self.index.search(named, rules.TOP_K_SPARSE // 2), self.corpus, rules.TOP_K_SPARSE // 2, positive=True)
         both = dense.select("query_id", "chunk_id").unionByName(sparse.select("query_id", "chunk_id")).distinct().join(named.drop("text"), "query_id").drop("query_id").join(self.corpus, "chunk_id")
         score = retrieval.lexical_rerank(F.col("entity"), F.col("text")) / 10.0
