@@ -132,18 +132,26 @@ def merge_small(chunks: Column, small: int, least: int = 200, most: int = rules.
     Chunks may be of another kind with a section and a text; grown(a, b) then makes one of a and the chunk after it, into_next(a, b) puts a before b.
     """
     title = (lambda x: F.substring_index(x, " (part", 1)) if base_title else (lambda x: x)
-    into_next = into_next or (lambda a, b: F.struct(b["section"].alias("section"), F.concat(a["text"], F.lit(" "), b["text"]).alias("text")))
     first = _fold(chunks, lambda last, c: (title(last["section"]) == title(c["section"])) & (F.length(c["text"]) < small), kind, grown)
-    second = _fold(first, lambda last, c: (F.length(c["text"]) < least) & (F.length(last["text"]) + F.length(c["text"]) + 1 <= most), kind, grown)
-    if not forward:
-        return second
+    second = merge_neighbours(first, least, most, kind, grown)
+    return merge_first(second, least, into_next) if forward else second
+
+
+def merge_neighbours(chunks: Column, least: int = 200, most: int = rules.MAX_CHUNK_CHARS + 200, kind: str = CHUNK, grown=_text_grown) -> Column:
+    """Chunks under least characters join the one before if both together have at most so many."""
+    return _fold(chunks, lambda last, c: (F.length(c["text"]) < least) & (F.length(last["text"]) + F.length(c["text"]) + 1 <= most), kind, grown)
+
+
+def merge_first(chunks: Column, least: int = 200, into_next=None) -> Column:
+    """A first chunk under least characters goes to the head of the next one."""
+    into_next = into_next or (lambda a, b: F.struct(b["section"].alias("section"), F.concat(a["text"], F.lit(" "), b["text"]).alias("text")))
 
     def tiny(s: Column) -> Column:
         a, b = F.get(s, F.lit(0)), F.get(s, F.lit(1))
         moved = F.concat(F.array(into_next(a, b)), F.slice(s, F.lit(3), F.greatest(F.size(s), F.lit(1))))
         return F.when((F.size(s) > 1) & (F.length(a["text"]) < least), moved).otherwise(s)
 
-    return let(second, tiny)
+    return let(chunks, tiny)
 
 
 def list_pieces(text: Column) -> Column:

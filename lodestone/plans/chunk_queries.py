@@ -113,6 +113,28 @@ def merge_small_web(spark, sf_dir):
     return docs.select("doc_id", F.col("i").cast("long").alias("i"), "c.section", "c.text")
 
 
+LINED = f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), k AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i FROM l WHERE {stripped("x")} <> '')"""
+
+
+@query(
+    "merge_neighbours",
+    f"""WITH RECURSIVE {LINED}, r AS (SELECT doc_id, i, 0::BIGINT AS g, x AS text FROM k WHERE i = 1
+UNION ALL SELECT k.doc_id, k.i, CASE WHEN length(k.x) < 200 AND length(r.text) + length(k.x) + 1 <= 900 THEN g ELSE g + 1 END, CASE WHEN length(k.x) < 200 AND length(r.text) + length(k.x) + 1 <= 900 THEN concat(r.text, ' ', k.x) ELSE k.x END FROM r JOIN k ON k.doc_id = r.doc_id AND k.i = r.i + 1)
+SELECT doc_id, g AS i, arg_max(text, i) AS text FROM (SELECT doc_id, g, i, text FROM r) q GROUP BY doc_id, g""",
+)
+def merge_neighbours(spark, sf_dir):
+    """The lines of documents as chunks, short ones with the one before."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences.merge_neighbours(chunks_of("text", 3))).alias("i", "c"))
+    return docs.select("doc_id", F.col("i").cast("long").alias("i"), "c.text")
+
+
+@query("merge_first", f"WITH {LINED}, t AS (SELECT *, first_value(length(x)) OVER w < 200 AND count(*) OVER (PARTITION BY doc_id) > 1 AS moves, lag(x) OVER w AS before FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT doc_id, i - 1 - moves::INT AS i, CASE WHEN moves AND i = 2 THEN concat(before, ' ', x) ELSE x END AS text FROM t WHERE NOT (moves AND i = 1)")
+def merge_first(spark, sf_dir):
+    """The lines of documents as chunks, a short first one at the head of the second."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences.merge_first(chunks_of("text", 3))).alias("i", "c"))
+    return docs.select("doc_id", F.col("i").cast("long").alias("i"), "c.text")
+
+
 PAGED = "p AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text FROM documents)"
 
 
