@@ -27,8 +27,8 @@ def hits(c: Column, patterns: list[str]) -> Column:
 def document_type(text: Column, path: Column, is_web: Column, scholarly: list[str] = rules.SCHOLARLY, institute: list[str] = rules.INSTITUTE) -> Column:
     """website_page, scholarly_paper_pdf or institute_report_pdf; the path adds to both scores."""
     low, where = F.lower(F.substring(F.concat_ws(" ", path, text), 1, 200_000)), F.lower(path)
-    s = hits(low, scholarly) + F.when(where.rlike("scholar|paper|arxiv"), 3).otherwise(0)
-    i = hits(low, institute) + F.when(where.rlike("report|institute|annual"), 2).otherwise(0)
+    s = hits(low, scholarly) + F.when(where.rlike(rules.PAPER_PATH), 3).otherwise(0)
+    i = hits(low, institute) + F.when(where.rlike(rules.REPORT_PATH), 2).otherwise(0)
     return F.when(is_web, "website_page").when((s >= 4) & (s >= i), "scholarly_paper_pdf").when((i >= 2) & (i > s), "institute_report_pdf").when(s >= 3, "scholarly_paper_pdf").otherwise("institute_report_pdf")
 
 
@@ -44,8 +44,8 @@ def is_useless(c: Column) -> Column:
     return any_of(F.substring(strip(c), 1, 150), rules.USELESS)
 
 
-def is_refusal(c: Column) -> Column:
-    return any_of(c, rules.REFUSAL)
+def is_refusal(c: Column, patterns: list[str] = rules.REFUSAL) -> Column:
+    return any_of(c, patterns)
 
 
 def bad_characters(c: Column) -> Column:
@@ -69,8 +69,6 @@ def line_ends(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-TABLE_LINE = r"(?m)^\s*\|.*\|"
-LIST_LINE = r"(?m)^\s*[-•*]\s"
 
 
 def pdf_chunk_type(c: Column, block_type: Column) -> Column:
@@ -78,8 +76,8 @@ def pdf_chunk_type(c: Column, block_type: Column) -> Column:
     return (
         F.when(block_type == "table", "table")
         .when(block_type == "figure", "figure_caption")
-        .when(c.rlike(TABLE_LINE), "table")
-        .when(c.rlike(LIST_LINE) & (line_ends(c) >= 2), "list")
+        .when(c.rlike(rules.TABLE_LINE), "table")
+        .when(c.rlike(rules.LIST_LINE) & (line_ends(c) >= 2), "list")
         .when(F.substring(low, 1, 100).contains("figure") | low.rlike(r"\bfig\.?\s+\d"), "figure_caption")
         .otherwise("paragraph")
     )
@@ -101,9 +99,9 @@ def web_chunk_type(c: Column, source_type: Column) -> Column:
 def batch_chunk_type(c: Column, content_type: Column) -> Column:
     low = F.lower(c)
     return (
-        F.when(c.rlike(TABLE_LINE) | F.substring(c, 1, 500).contains("\t"), "table")
+        F.when(c.rlike(rules.TABLE_LINE) | F.substring(c, 1, 500).contains("\t"), "table")
         .when(low.contains("figure") | low.contains("fig.") | F.substring(c, 1, 80).contains("图"), "figure_caption")
-        .when(c.rlike(LIST_LINE) & (line_ends(c) > 2), "list")
+        .when(c.rlike(rules.LIST_LINE) & (line_ends(c) > 2), "list")
         .when(low.contains("appendix"), "appendix")
         .when(content_type.isin("academic_method", "academic_result", "academic_dataset"), "mixed")
         .otherwise("paragraph")
@@ -161,10 +159,10 @@ def heading(line: Column) -> Column:
     """The label of a section heading; null for other lines."""
     s = strip(line)
     number, label = F.regexp_extract(s, rules.NUMBERED_HEADING, 1), strip(F.regexp_extract(s, rules.NUMBERED_HEADING, 2))
-    refused = number.rlike(r"^(19|20)\d{2}$") | label.rlike(r"^(Department|School|University|Institute|Faculty)") | (F.length(label) < 5) | F.lower(label).rlike(r"^(table|figure|fig\.)")
+    refused = number.rlike(rules.YEAR) | label.rlike(rules.AFFILIATION) | (F.length(label) < 5) | F.lower(label).rlike(rules.CAPTION)
     words = F.size(F.split(s, r"\s+"))
     capitals = s.rlike(r"\p{Lu}") & ~s.rlike(r"\p{Ll}") & s.contains(" ") & (F.length(s) <= 60) & words.between(2, 6)
-    month = s.rlike(r"^(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\w*\s+\d{4}$")
+    month = s.rlike(rules.MONTH_AND_YEAR)
     return (
         F.when(~F.length(s).between(3, 100), F.lit(None).cast("string"))
         .when(number != "", F.when(~refused, label))
@@ -187,4 +185,4 @@ def is_reference_page(c: Column) -> Column:
 
 
 def looks_like_reference(c: Column, chunk_type: Column) -> Column:
-    return (chunk_type == "paragraph") & (F.length(c) <= 600) & c.rlike(r"\[CrossRef\]|\[PubMed\]|doi\.org") & (c.rlike(r"(?m)^\s*\d+\.\s+[A-Z][a-z]+,") | c.rlike(r"\b[A-Z][a-z]+\.\s+\d{4},\s+\d+"))
+    return (chunk_type == "paragraph") & (F.length(c) <= 600) & c.rlike(rules.REFERENCE_LINK) & (c.rlike(rules.NUMBERED_REFERENCE) | c.rlike(rules.JOURNAL_REFERENCE))

@@ -118,6 +118,20 @@ SCHOLAR_SECTIONS = [
     (r"(?im)^\s*acknowledgements?\b", "Acknowledgements"),
 ]
 
+# Lines of tables and lists, and what is no heading.
+TABLE_LINE = r"(?m)^\s*\|.*\|"
+LIST_LINE = r"(?m)^\s*[-•*]\s"
+YEAR = r"^(19|20)\d{2}$"
+AFFILIATION = r"^(Department|School|University|Institute|Faculty)"
+CAPTION = r"^(table|figure|fig\.)"
+MONTH_AND_YEAR = r"^(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\w*\s+\d{4}$"
+
+# Entries of a bibliography, and paths that tell papers from reports.
+REFERENCE_LINK = r"\[CrossRef\]|\[PubMed\]|doi\.org"
+NUMBERED_REFERENCE = r"(?m)^\s*\d+\.\s+[A-Z][a-z]+,"
+JOURNAL_REFERENCE = r"\b[A-Z][a-z]+\.\s+\d{4},\s+\d+"
+PAPER_PATH, REPORT_PATH = "scholar|paper|arxiv", "report|institute|annual"
+
 # Sessions.
 SESSION_TURNS, SUMMARY_TURNS, ENTITY_TURNS = 10, 3, 3
 SESSION_TTL_S, MAX_SESSIONS = 3600, 200
