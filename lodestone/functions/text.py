@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,26 +60,42 @@ def drop_repeated_lines(c: Column, least: int = 3, below: int = 200) -> Column:
     return let(F.split(c, "\n"), body)
 
 
+WHITE = " \t\n\x0b\f\r"
+
+
+def paragraphs(text: str) -> str:
+    """merge_broken_lines() of one text whose hyphens are joined, in one walk over its lines."""
+    done, open_, size = [], [], 0
+    for line in text.split("\n"):
+        x = line.strip(WHITE)
+        if not x:
+            if open_:
+                done.append(" ".join(open_))
+            done.append("")
+            open_, size = [], 0
+        elif open_ and open_[-1][-1] not in ".!?:" and (unicodedata.category(x[0]) == "Ll" or size < 500 and x[0] != "#"):
+            open_.append(x)
+            size += 1 + len(x)
+        else:
+            if open_:
+                done.append(" ".join(open_))
+            open_, size = [x], len(x)
+    if open_:
+        done.append(" ".join(open_))
+    return "\n".join(done).strip(WHITE)
+
+
 def merge_broken_lines(c: Column) -> Column:
-    """Hyphens at line ends joined; soft line breaks as spaces; blank lines end paragraphs."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def ended(x: Column) -> Column:
-        return F.substring(x, -1, 1).isin(*".!?:")
-
-    def step(s: Column, line: Column) -> Column:
-        x, done, open_ = strip(line), s["done"], s["open"]
-        flushed = F.when(open_ == "", done).otherwise(F.array_append(done, open_))
-        joins = ~ended(open_) & (x.rlike(r"^\p{Ll}") | ((F.length(open_) < 500) & ~x.startswith("#")))
-        return (
-            F.when(x == "", F.struct(F.array_append(flushed, F.lit("")).alias("done"), F.lit("").alias("open")))
-            .when(open_ == "", F.struct(done.alias("done"), x.alias("open")))
-            .when(joins, F.struct(done.alias("done"), F.concat(open_, F.lit(" "), x).alias("open")))
-            .otherwise(F.struct(flushed.alias("done"), x.alias("open")))
-        )
-
-    lines = F.split(F.regexp_replace(unix_lines(c), r"-\n([a-z])", "$1"), "\n")
-    return strip(F.aggregate(lines, state, step, lambda s: F.array_join(F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])), "\n")))
+    """Hyphens at line ends joined; soft line breaks as spaces; blank lines end paragraphs.
+
+    Whether a line joins depends on how long its paragraph has grown, so it is a walk; a fold over arrays would copy them at every line.
+    """
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(paragraphs, na_action="ignore")
+
+    return run(F.regexp_replace(unix_lines(c), r"-\n([a-z])", "$1"))
 
 
 def clean_text(c: Column) -> Column:

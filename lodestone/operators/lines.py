@@ -70,25 +70,6 @@ def span_pages(spans: DataFrame, ranges: DataFrame, doc: str, page: str, width:
     return left.join(right, [doc, "_bin"]).where(overlaps).groupBy(doc, "span_id").agg(F.min(page).alias("page_start"), F.max(page).alias("page_end"))
 
 
-def sections(text: Column, is_heading, label=None, preamble: str | None = None, keep_heading: bool = False) -> Column:
-    """array<struct<title, body>>: the lines from each heading to the next, by a fold over the lines of one document.
-
-    is_heading and label take a line. What comes before the first heading has the title preamble. Sections without a body are left out.
-    """
-    label = label or (lambda x: strip(x))
-    state = F.struct(F.array().cast("array<struct<title:string,body:string>>").alias("done"), F.lit(preamble).cast("string").alias("title"), F.array().cast("array<string>").alias("lines"))
-
-    def closed(s: Column) -> Column:
-        body = strip(F.array_join(s["lines"], "\n"))
-        return F.when(body == "", s["done"]).otherwise(F.array_append(s["done"], F.struct(s["title"].alias("title"), body.alias("body"))))
-
-    def step(s: Column, line: Column) -> Column:
-        first = F.array(line) if keep_heading else F.array().cast("array<string>")
-        return F.when(is_heading(line), F.struct(closed(s).alias("done"), label(line).alias("title"), first.alias("lines"))).otherwise(F.struct(s["done"].alias("done"), s["title"].alias("title"), F.array_append(s["lines"], line).alias("lines")))
-
-    return F.aggregate(F.split(text, "\n"), state, step, closed)
-
-
 def pages_of_text(text: Column, size: int) -> Column:
     """array<struct<page, text>>: pieces of so many lines, for trying page operators on plain documents."""
     lines = F.split(text, "\n")

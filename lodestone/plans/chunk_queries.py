@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import classify, ids, rules, text
+from lodestone.functions import ids, text
 from lodestone.operators import lines, sentences
 from lodestone.plans.registry import query, table
-from lodestone.plans.text_queries import NOISY, noisy, stripped
+from lodestone.plans.text_queries import stripped
 
 
 def sql_sentences(c: str, opening: str = "A-Z\"''(\\[") -> str:
@@ -169,34 +169,6 @@ def pdf_pages_concat(spark, sf_dir):
     return whole.select("doc_id", "pages", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")).alias("text_md5"))
 
 
-def sql_sections(source: str, heading: str, preamble: str = "NULL", title: str = "s") -> str:
-    """Sections by a running count of heading lines; s is the stripped line."""
-    return f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source}), k AS (SELECT doc_id, i, line, {stripped("line")} AS s FROM l),
-h AS (SELECT *, sum(({heading})::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec, {heading} AS is_h FROM k),
-t AS (SELECT doc_id, sec, coalesce(max(CASE WHEN is_h THEN {title} END), {preamble}) AS title, {stripped("coalesce(string_agg(CASE WHEN NOT is_h THEN line END, chr(10) ORDER BY i), '')")} AS body FROM h GROUP BY doc_id, sec)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS i, title, body FROM t WHERE body <> ''"""
-
-
-def section_rows(docs, column):
-    return docs.select("doc_id", F.posexplode(column).alias("i", "s")).select("doc_id", F.col("i").cast("long").alias("i"), "s.title", "s.body")
-
-
-WEB_HEADING = "(?i)^(?:Running head|References)$"
-
-
-@query("web_heading_split", f"WITH {NOISY}, q AS (WITH {sql_sections('noisy', f'''regexp_matches(s, '{WEB_HEADING}')''', preamble=repr('Overview'))}) SELECT * FROM q WHERE title <> 'Overview' OR length(body) > 50")
-def web_heading_split(spark, sf_dir):
-    found = section_rows(noisy(spark, sf_dir), lines.sections(F.col("text"), lambda x: text.strip(x).rlike(WEB_HEADING), preamble="Overview"))
-    return found.where("title <> 'Overview' OR length(body) > 50")
-
-
-@query("people_split")
-def people_split(spark, sf_dir):
-    """Blocks that start with a line that looks like a name."""
-    found = lines.sections(F.col("text"), lambda x: F.length(text.strip(x)).between(6, 59) & text.strip(x).rlike(rules.PERSON_LINE), preamble="Overview")
-    return section_rows(noisy(spark, sf_dir), found).where("title <> 'Overview' OR length(body) > 50")
-
-
 @query("segment_chunks")
 def segment_chunks(spark, sf_dir):
     """Segments cut at list items, each piece packed with overlap, parts numbered over the whole segment."""

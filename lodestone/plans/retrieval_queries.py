@@ -139,7 +139,7 @@ def memory(spark, sf_dir):
 
 
 def remembered(spark, sf_dir):
-    found = memory(spark, sf_dir)
+    found = written(memory(spark, sf_dir), "memory")
     scored = found.where("not denies").join(asked(spark, sf_dir), "query_id")
     positive = scored.select("query_id", "chunk_id", (retrieval.lexical_rerank(F.col("text"), F.col("answer")) / 10.0).alias("final"))
     return positive, found.where("denies").select("query_id", "chunk_id", "raw_score")
@@ -147,7 +147,7 @@ def remembered(spark, sf_dir):
 
 def evidence(spark, sf_dir):
     positive, negative = remembered(spark, sf_dir)
-    raw = finals(spark, sf_dir).select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "final")
+    raw = written(finals(spark, sf_dir).select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "final"), "candidates")
     return retrieval.evidence(raw, positive, negative, intents(asked(spark, sf_dir)))
 
 
@@ -406,10 +406,10 @@ class CorpusRetriever:
         placed = retrieval.merge_lists(dense, sparse).join(self.corpus, "chunk_id").join(questions, "query_id")
         scored = retrieval.hybrid(retrieval.drop_when_both(placed, PAIRS).withColumn("boost", retrieval.boost(F.col("intent"), F.col("source_type"))))
         final = retrieval.final_score(F.col("hybrid"), retrieval.lexical_rerank(F.col("question"), F.col("text")))
-        raw = scored.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), final.alias("final"))
+        raw = written(scored.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), final.alias("final")), "candidates")
         qa = self.memory
         known = self._searched(numbered, self.memory_vectors, rules.TOP_K_QA, False).where(F.col("score") >= rules.QA_RELEVANCE_FLOOR).join(qa, "chunk_id")
-        known = known.withColumn("chunk_id", F.concat(F.lit("qa"), F.col("chunk_id").cast("string")))
+        known = written(known.withColumn("chunk_id", F.concat(F.lit("qa"), F.col("chunk_id").cast("string"))), "memory")
         positive = known.where("not denies").join(questions, "query_id").select("query_id", "chunk_id", (retrieval.lexical_rerank(F.col("question"), F.col("text")) / 10.0).alias("final"))
         negative = known.where("denies").select("query_id", "chunk_id", F.col("score").alias("raw_score"))
         found = retrieval.evidence(raw, positive, negative, questions)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify, rules, text
-from lodestone.operators import evaluation, lines, models, retrieval, sentences, sessions
+from lodestone.operators import evaluation, models, retrieval, sections, sentences, sessions
 from lodestone.sources import web
 
 
@@ -65,8 +65,16 @@ def test_merge_small_moves_a_tiny_first_chunk_on(spark):
 
 
 def test_sections_leave_out_titles_without_body(spark):
-    found = one(spark, "intro\nONE\nTWO\nbody\n", lambda c: lines.sections(c, lambda x: x.rlike("^[A-Z]+$")))
-    assert [tuple(r) for r in found] == [(None, "intro"), ("TWO", "body")]
+    frame = spark.createDataFrame([(1, "intro\nONE\nTWO\nbody\n")], "d int, text string")
+    found = sections.by_heading(frame, "d", lambda x: x.rlike("^[A-Z]+$")).orderBy("i").collect()
+    assert [(r["title"], r["body"], r["start"]) for r in found] == [(None, "intro", 0), ("TWO", "body", 14)]
+
+
+def test_long_texts_merge_in_time(spark):
+    """A hundred thousand lines are one walk."""
+    line = "some words of a line"
+    found = one(spark, "\n".join([line, "", *[line] * 100_000]), text.merge_broken_lines)
+    assert found.startswith(f"{line}\n\n{line} {line}") and found.count(line) == 100_001
 
 
 def test_headings(spark):
