@@ -35,6 +35,10 @@ FREQUENT = 2_000_000
 MAX_FILTER_BYTES, PART_BYTES = 128 << 20, 8 << 20
 #: Tokens to a bucket of the filter, bytes of text that are scored together, n-grams counted together.
 BUCKET_TOKENS, GROUP_BYTES, COUNTED = 20_000, 2 << 20, 3_000_000
+#: Bytes of text whose distinct n-grams are looked up together, where the filter is joined.
+PIECE_BYTES = 8 << 20
+#: A group looks up about as many n-grams as so many pieces have, so that sending it a part of the filter weighs little.
+LOOKED = 8
 GOLD, M32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF)
 WINDOW = 1 << 18
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -108,12 +112,13 @@ class Tokens:
         return out
 
 
-def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about GROUP_BYTES; a longer text stands alone."""
+def groups(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many bytes, by default GROUP_BYTES; a longer text stands alone."""
+    size = size or GROUP_BYTES
     sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype="i8")])
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + GROUP_BYTES, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + size, "right")) - 1)
         yield at, end
         at = end
 
@@ -372,46 +377,53 @@ def by_broadcast(asked: DataFrame, scorer, told, ddl: str) -> DataFrame:
 
 
 def by_join(asked: DataFrame, bits: DataFrame, buckets: int, bytes_: int, scorer, ddl: str) -> DataFrame:
-    """Scores with a filter of any size. Texts are dealt into pieces of about GROUP_BYTES; the distinct n-grams of a piece meet the part
-    of the filter that they fall in, and their levels come back to the piece. A part is sent to several groups of
+    """Scores with a filter of any size. Texts are dealt into pieces of about PIECE_BYTES; the distinct n-grams of a piece, in order of hash, go to the parts
+    of the filter that they fall in, one row a part, and their levels come back in the same order, a byte each. A part is sent to several groups of
     pieces, so that no group has more than a few million n-grams, however common one is."""
     order, columns = scorer.value.order, asked.columns
+    span = max(1, buckets * PART_BYTES // bytes_)
 
     def pieces(batches):
         task, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for at, end in groups(batch.column(len(columns) - 1)):
+            rows = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            for at, end in groups(batch.column(len(columns) - 1), PIECE_BYTES):
                 n += 1
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns), pa.array(np.full(end - at, task + n))], [*columns, "_row"])
+                yield pa.RecordBatch.from_arrays([pa.array([task + n]), pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), rows.slice(at, end - at))], ["piece", "rows"])
+
+    def distinct(texts: pa.Array) -> np.ndarray:
+        return np.unique(np.concatenate([np.unique(g) for at, end in groups(texts) for g in Tokens(texts.slice(at, end - at)).grams(order)]))
 
-    def distinct(batches):
+    def ask(batches):
         for batch in batches:
-            piece = batch.column(1).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [len(piece)]])
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo < hi:
-                    u = np.unique(np.concatenate(Tokens(batch.column(0).slice(lo, hi - lo)).grams(order)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), piece[lo])), signed(u), pa.array(bucket_of(u, buckets) // span)], ["piece", "hash", "part"])
+            for i, piece in enumerate(batch.column(0).to_pylist()):
+                hashes = distinct(batch.column(1)[i].values.field("_text"))
+                part = bucket_of(hashes, buckets) // span
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+                asking = [{"piece": piece, "part": int(part[lo]), "hashes": hashes[lo:hi].tobytes()} for lo, hi in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_pylist(asking, pa.schema([("piece", pa.int64()), ("part", pa.int64()), ("hashes", pa.binary())]))
 
     def look(asking, parts):
-        u = asking["hash"].to_numpy().view("u8")
-        first = int(asking["part"][0].as_py()) * span if len(u) else 0
-        held = parts if len(u) else parts.slice(0, 0)
+        first = asking["part"][0].as_py() * span if asking.num_rows else 0
+        held = parts if asking.num_rows else parts.slice(0, 0)
         part = Filter(held["bucket"].to_numpy(), held["bits"].to_pylist(), buckets, first, span)
-        return pa.table({"piece": asking["piece"], "hash": asking["hash"], "level": pa.array(part.levels(u).astype("i4"))})
-
-    def score(texts, known):
-        source = Looked(known["hash"].to_numpy().view("u8"), known["level"].to_numpy().astype("u1"))
-        found = scorer.value.score(texts["_text"].combine_chunks(), source)
-        rest = texts.select([c for c in columns if c != "_text"])
-        return pa.table([*rest.columns, *found], [*rest.column_names, *Scorer.NAMES])
-
-    span = max(1, buckets * PART_BYTES // bytes_)
-    dealt = materialize(asked.mapInArrow(pieces, asked.withColumn("_row", F.lit(0).cast("long")).schema), "pieces")
-    grams = dealt.select("_text", "_row").mapInArrow(tidy(distinct), "piece long, hash long, part long")
-    salts = max(1, dealt.select("_row").distinct().count() * span // buckets)
-    asking = grams.withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)))
+        levels = [part.levels(np.frombuffer(h, "u8")).tobytes() for h in asking["hashes"].to_pylist()]
+        return pa.table({"piece": asking["piece"], "part": asking["part"], "levels": pa.array(levels, pa.binary())})
+
+    def score(piece, known):
+        rows = piece["rows"].combine_chunks().flatten()
+        texts, known = rows.field("_text"), known.sort_by("part")
+        source = Looked(distinct(texts), np.frombuffer(b"".join(known["levels"].to_pylist()), "u1"))
+        parts = [pa.table(scorer.value.score(texts.slice(at, end - at), source), Scorer.NAMES) for at, end in groups(texts)]
+        found = pa.concat_tables(parts)
+        return pa.table([*(rows.field(c) for c in columns[:-1]), *found.columns], [*columns[:-1], *Scorer.NAMES])
+
+    inner = ", ".join(f"`{c}`: {t}" for c, t in asked.dtypes)
+    dealt = materialize(asked.mapInArrow(tidy(pieces), f"piece long, rows array<struct<{inner}>>"), "pieces")
+    salts = max(1, dealt.count() * span // (LOOKED * buckets))
+    asking = dealt.mapInArrow(tidy(ask), "piece long, part long, hashes binary").withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)))
     sent = bits.withColumn("part", F.floor(F.col("bucket") / span)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    levels = asking.groupBy("part", "salt").cogroup(sent.groupBy("part", "salt")).applyInArrow(look, "piece long, hash long, level int")
-    # A part without any bucket has no group on the other side; look() then sees no rows of it and finds no level.
-    return dealt.groupBy("_row").cogroup(levels.groupBy("piece")).applyInArrow(score, ddl)
+    # A part without any bucket has no group on the other side; look() then finds no level.
+    levels = materialize(asking.groupBy("part", "salt").cogroup(sent.groupBy("part", "salt")).applyInArrow(look, "piece long, part long, levels binary"), "levels")
+    free_shuffles(asked.sparkSession)
+    return dealt.groupBy("piece").cogroup(levels.groupBy("piece")).applyInArrow(score, ddl)

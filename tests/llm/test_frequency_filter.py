@@ -75,6 +75,8 @@ def test_hard_cases_by_broadcast_and_by_join(spark, hard, hard_rows, monkeypatch
     wide = lm.lm_score(hard)
     compare(wide, rows_of(hard_rows))
     monkeypatch.setattr(lm, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(lm, "PIECE_BYTES", 50_000)
+    monkeypatch.setattr(lm, "LOOKED", 1)
     monkeypatch.setattr(lm, "PART_BYTES", 30_000)
     joined = lm.lm_score(hard, max_filter_bytes=0)
     key = lambda r: (str(r[0]), r[2], r[5])
