@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from lodestone.streaming import sessions
+from lodestone.streaming import files, sessions, store
 
 
 def run(spark, frame, mode: str, name: str, tmp_path):
@@ -30,3 +30,38 @@ def test_windows_agree_with_batch(spark, sf_dir, tmp_path):
     stream = spark.readStream.schema(stamped.schema).parquet(str(tmp_path / "events"))
     streamed = run(spark, sessions.activity(stream), "complete", "activity", tmp_path)
     assert sorted(map(str, streamed)) == sorted(map(str, sessions.activity(stamped).collect()))
+
+
+def ended(spark, tmp_path, name, parts):
+    """Rows of ended sessions after each part was added as a file and taken."""
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        found = store.ended_sessions(files.stream_table(spark, str(tmp_path / name / "in")), "user_id", "event_id", "ts", 1, 2, 3600, 3)
+        told = files.drain(found, str(tmp_path / name / "out"), str(tmp_path / name / "checkpoint"), conf=files.ROCKSDB)
+        assert told["read"] == len(rows)
+    out = spark.read.parquet(str(tmp_path / name / "out"))
+    return sorted((r["session"], r["start"], r["n"], tuple(r["turns"]), r["reason"]) for r in out.collect())
+
+
+def test_sessions_do_not_depend_on_how_the_stream_is_cut(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    at = [(0, 1), (60, 2), (120, 1), (180, 3), (240, 1), (300, 1), (4000, 2), (4100, 3), (4200, 1), (20000, 9), (40000, 9)]
+    rows = [(i, t + datetime.timedelta(seconds=s), u) for i, (s, u) in enumerate(at)] + [(99, None, 1), (98, t, None)]
+    whole = ended(spark, tmp_path, "whole", [rows])
+    swapped = [rows[:3] + rows[4:5], rows[3:4] + rows[5:8], rows[8:]]  # one comes late, but not too late
+    assert ended(spark, tmp_path, "cut", swapped) == whole
+    naive = lambda s: t + datetime.timedelta(seconds=s)
+    assert whole == sorted([(2, naive(60), 1, (1,), "evicted"), (1, naive(0), 4, (2, 4, 5), "idle"), (3, naive(180), 1, (3,), "idle"), (2, naive(4000), 1, (6,), "evicted"), (3, naive(4100), 1, (7,), "idle"), (1, naive(4200), 1, (8,), "idle"), (9, naive(20000), 1, (9,), "idle")])
+
+
+def test_interval_join_is_the_same_on_batch_and_stream(spark, sf_dir, tmp_path):
+    def sides(read):
+        rows = read(f"{sf_dir}/events.parquet")
+        return [rows.where(f"event_type = '{k}'").selectExpr("user_id", f"event_id as {k}", f"ts as {k}_at") for k in ("purchase", "view")]
+
+    def joined(read):
+        return store.interval_join(*sides(read), "user_id", "purchase_at", "view_at", "1 day", "10 minutes").select("purchase", "view")
+
+    files.drain(joined(lambda p: files.stream_table(spark, p)), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    streamed = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert streamed == sorted(map(tuple, joined(spark.read.parquet).collect())) and len(streamed) > 5
