@@ -47,3 +47,17 @@ def test_no_queries_and_no_rows(spark):
     asked = lambda df: df.withColumnRenamed("id", "query_id")
     assert vectors.dense_topk(spark, one, asked(none), 2).count() == 0
     assert vectors.dense_topk(spark, none, asked(one), 2).count() == 0
+
+
+def test_few_scores_are_put_in_order(monkeypatch):
+    """Of a pair of blocks only what may be among the best is sorted; ties go to the least id, also those that rounding makes."""
+    rng = np.random.default_rng(1)
+    q, m = rng.normal(size=(20, 8)), rng.normal(size=(500, 8))
+    m[100:110] = m[:10] + 1e-9
+    ids = np.arange(20), np.arange(500)[::-1].copy()
+    sizes, sort = [], np.lexsort
+    monkeypatch.setattr(vectors.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    found = list(zip(*(x.tolist() for x in vectors.block_best(ids, (q.ravel(), m.ravel()), (np.ones(20), np.ones(500)), 3, 6))))
+    assert sum(sizes) < 20 * 20
+    score = np.round(q @ m.T, 6) + 0.0
+    assert found == [(i, j, s) for i in range(20) for s, j in sorted(zip(score[i].tolist(), ids[1].tolist()), key=lambda x: (-x[0], x[1]))[:3]]
