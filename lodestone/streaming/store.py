@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestone.functions import rules
 
+#: Accesses that are unpacked at once, and that a row of the waiting list holds.
+SLICE = 10_000
 CLOSED = "shard long, session long, start long, end long, n long, turns array<bigint>, reason string"
 
 
@@ -28,12 +31,14 @@ class SessionStore(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, event long, session long")
+        # A row of it is a batch of accesses, 24 bytes each: a list of single ones would be read and written row by row.
+        self.waiting = handle.getListState("waiting", "accesses binary")
         self.live = handle.getMapState("live", "session long", "start long, last long, n long, turns array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            self.waiting.appendList([tuple(map(int, r)) for r in part[["at", "event", "session"]].itertuples(index=False)])
+            if len(part):
+                self.waiting.appendValue((part[["at", "event", "session"]].to_numpy("i8").tobytes(),))
         yield from self.advance(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -44,23 +49,25 @@ class SessionStore(StatefulProcessor):
 
     def advance(self, key, mark: int) -> Iterator[pd.DataFrame]:
         """Takes in order the accesses up to the watermark, then ends what is idle by then."""
-        rows = sorted(map(tuple, self.waiting.get()))
-        ready, later = [r for r in rows if r[0] <= mark], [r for r in rows if r[0] > mark]
+        rows = np.frombuffer(b"".join(r[0] for r in self.waiting.get()), "i8").reshape(-1, 3)
+        ready, later = rows[rows[:, 0] <= mark], rows[rows[:, 0] > mark]
+        ready = ready[np.lexsort(ready.T[::-1])]
         held = sorted(((k[0], tuple(v)) for k, v in self.live.iterator()), key=lambda x: (x[1][1], x[1][3][-1]))
         before, live, out = dict(held), OrderedDict(held), []
-        for at, event, session in ready:
-            take(live, out, at, event, session, self.most, self.ttl, self.turns)
+        for start in range(0, len(ready), SLICE):
+            for at, event, session in ready[start : start + SLICE].tolist():
+                take(live, out, at, event, session, self.most, self.ttl, self.turns)
         expire(live, out, mark, self.ttl)
         for session in before.keys() - live.keys():
             self.live.removeKey((session,))
         for session, value in live.items():
             if before.get(session) != value:
                 self.live.updateValue((session,), value)
-        if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
+        if len(ready):
+            self.waiting.put([(later[i : i + SLICE].tobytes(),) for i in range(0, len(later), SLICE)]) if len(later) else self.waiting.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        due = [later[0][0] // 1000 + 1] if later else []
+        due = [int(later[:, 0].min()) // 1000 + 1] if len(later) else []
         due += [(next(iter(live.values()))[1] + self.ttl) // 1000 + 1] if live else []
         if due:
             self.handle.registerTimer(max(min(due), mark // 1000 + 1))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 
+import pandas as pd
+
 from lodestone.streaming import files, sessions, store
 
 
@@ -65,3 +67,40 @@ def test_interval_join_is_the_same_on_batch_and_stream(spark, sf_dir, tmp_path):
     files.drain(joined(lambda p: files.stream_table(spark, p)), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     streamed = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     assert streamed == sorted(map(tuple, joined(spark.read.parquet).collect())) and len(streamed) > 5
+
+
+def test_waiting_accesses_are_kept_in_batches():
+    """A shard's list of waiting accesses has a row a batch, not a row an access."""
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def appendValue(self, row):
+            self.rows.append(row)
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        put = lambda self, rows: setattr(self, "rows", list(rows))
+        get = lambda self: iter(self.rows)
+        clear = lambda self: self.rows.clear()
+        iterator = lambda self: iter(())
+        updateValue = removeKey = lambda *_: None
+
+    class Handle:
+        listTimers = lambda self: iter(())
+        registerTimer = deleteTimer = lambda *_: None
+
+    class Mark:
+        at = 0
+        getCurrentWatermarkInMs = lambda self: self.at
+
+    kept, mark = store.SessionStore(5, 1, 3), Mark()
+    kept.handle, kept.waiting, kept.live = Handle(), State(), State()
+    parts = [pd.DataFrame({"at": range(n, n + 5000), "event": range(5000), "session": 1}) for n in (10**9, 10**9 + 5000)]
+    assert list(kept.handleInputRows((0,), iter(parts), mark)) == [] and len(kept.waiting.rows) == 2
+    mark.at = 1_000_004  # the first 4001 accesses have passed, and none of their sessions is idle yet
+    assert list(kept.handleExpiredTimer((0,), mark, None)) == [] and len(kept.waiting.rows) == 1
+    mark.at = 10**7
+    (out,) = kept.handleExpiredTimer((0,), mark, None)
+    assert out["n"].tolist() == [5999] and kept.waiting.rows == []
