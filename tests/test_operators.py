@@ -176,3 +176,20 @@ def test_columns_on_empty_tables(spark, sf_dir, empty):
         assert web.sections(none).count() == 0
     else:
         assert none.select(text.clean_text(F.col("text"))).count() == 0
+
+
+def test_supplements_by_sets_of_entities(spark):
+    """As from all pairs of queries and chunks, with chunks that other entities of the query take or that it holds already."""
+    missing = spark.createDataFrame([(q, e) for q in range(7) for i, e in enumerate("abc") if (q + 1) >> i & 1], "query_id long, entity string")
+    scored = spark.createDataFrame([(e, c, float((c * 7 + ord(e)) % 11)) for e in "abc" for c in range(40) if (c + ord(e)) % 3], "entity string, chunk_id long, score double")
+    held = spark.createDataFrame([(q, c) for q in range(7) for c in range(q, 40, 9)], "query_id long, chunk_id long")
+    want = retrieval.supplements(missing.join(scored, "entity").select("query_id", "entity", "chunk_id", "score"), held)
+    got = retrieval.supplements_of_all(missing, scored, held)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_candidates_leave_texts_behind(spark):
+    scored = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0), (1, 3, 0.5)], "query_id long, chunk_id long, score double")
+    corpus = spark.createDataFrame([(1, "s", "References"), (2, "s", "what it is"), (3, "s", None)], "chunk_id long, source string, text string")
+    found = retrieval.candidates(scored, corpus, 3)
+    assert "text" not in found.columns and [r["chunk_id"] for r in found.collect()] == [2]
