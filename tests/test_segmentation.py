@@ -60,3 +60,19 @@ def test_routes(spark, make, route, n):
 
 def test_empty_units(spark):
     assert segmentation.segment_units(spark.createDataFrame([], UNIT), F.col("wanted")).count() == 0
+
+
+class Counting:
+    """Replies with how many prompts came at once."""
+
+    def complete(self, prompts):
+        return [str(len(prompts))] * len(prompts)
+
+
+def test_a_model_is_given_few_prompts_at_a_time(spark):
+    """What a worker holds of prompts and replies does not grow with the partition."""
+    from lodestone.operators import models
+
+    found = spark.range(1001).coalesce(1).select("id", models.complete(F.when(F.col("id") != 5, F.col("id").cast("string")), Counting).alias("n"))
+    sizes = [int(r["n"]) for r in found.collect()]
+    assert len(sizes) == 1001 and max(sizes) <= models.PROMPTS
