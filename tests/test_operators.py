@@ -193,3 +193,13 @@ def test_candidates_leave_texts_behind(spark):
     corpus = spark.createDataFrame([(1, "s", "References"), (2, "s", "what it is"), (3, "s", None)], "chunk_id long, source string, text string")
     found = retrieval.candidates(scored, corpus, 3)
     assert "text" not in found.columns and [r["chunk_id"] for r in found.collect()] == [2]
+
+
+def test_lines_are_merged_in_pieces_of_a_batch(spark):
+    """Rows keep their order, nulls stay, and more rows than a piece holds come through."""
+    rows = spark.range(1001).selectExpr("id", "CASE WHEN id % 7 <> 0 THEN concat('a ', id, '\n', 'on') END AS t").coalesce(1)
+    found = rows.select("id", text.merge_broken_lines(F.col("t")).alias("t"))
+    assert all(r["t"] == (f"a {r['id']} on" if r["id"] % 7 else None) for r in found.collect())
+    import pyarrow as pa
+
+    assert max(len(x) for x in text.paragraphs_of(iter([pa.array(["a\nb"] * 1001)]))) <= 200
