@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 from array import array
 from functools import cache
-from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
@@ -42,7 +41,6 @@ def byte_letters() -> dict[int, str]:
 
 LETTERS = byte_letters()
 SPACE = LETTERS[32]
-ID = attrgetter("id")
 
 
 def shown(letters: str) -> str:
@@ -76,7 +74,8 @@ class ChunkEncoder:
 
     def _word(self, shown: str) -> bytes:
         """Ids of one pre-token, given by the letters that stand for its bytes."""
-        return array("I", map(ID, self.model.tokenize(shown))).tobytes()
+        found = self.model.tokenize(shown)
+        return found[0].id.to_bytes(4, "little") if len(found) == 1 else array("I", [t.id for t in found]).tobytes()
 
     def _learn(self, missing: set[str]) -> None:
         """Adds chunks, which stand for themselves after a space or start with a line end; a last sign after a letter is a token of its own."""
@@ -91,12 +90,14 @@ class ChunkEncoder:
             known["\n"] = line_end
         wanted, direct, word = set(), self.direct, self._word
         for c in missing:
-            if not c.isalpha() and c[-1:] in self.sign and c[-2:-1].isalpha():
+            letters = c.isalpha()
+            if not letters and c[-1:] in self.sign and c[-2:-1].isalpha():
                 signed.append(c)
                 c = c[:-1]
                 if c in known:
                     continue
-            if direct and c.isalpha():
+                letters = c.isalpha()
+            if direct and letters:
                 known[c] = word(SPACE + (c if c.isascii() else shown(c)))
             elif direct and c[0] == "\n" and c[1:].isalpha():
                 known[c] = line_end + word(c[1:] if c.isascii() else shown(c[1:]))
@@ -125,12 +126,15 @@ class ChunkEncoder:
             return []
         chunks = pc.split_pattern(pc.replace_substring(pa.array(["\n" + t for t in texts], pa.large_string()), "\n", " \n"), " ")
         numbered = chunks.values.dictionary_encode()
-        names, numbers = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        names, numbers = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
         known = self.known
         known[""] = b""  # before the line end that starts each text
-        self._learn({c for c in names if c not in known})
-        ids = [known[c] for c in names]
-        sizes = np.array([len(x) for x in ids], "i4") >> 2
+        ids = list(map(known.get, names))
+        fresh = [i for i, x in enumerate(ids) if x is None]
+        self._learn({names[i] for i in fresh})
+        for i in fresh:
+            ids[i] = known[names[i]]
+        sizes = np.fromiter(map(len, ids), "i4", len(ids)) >> 2
         starts = np.cumsum(sizes, dtype="i4") - sizes
         n = sizes[numbers]
         ends = np.cumsum(n)
