@@ -175,17 +175,32 @@ def near(limit: int) -> Test:
 
 
 def alike(threshold: float = SIMILARITY) -> Test:
-    """Whether two multisets grams overlap enough; sizes that rule it out are looked at first."""
+    """Whether two multisets of total members, of which grams may be in both, overlap enough; sizes that rule it out are looked at first."""
 
     def of(a: Get, b: Get) -> Column:
-        n, m = F.size(a("grams")), F.size(b("grams"))
-        common = F.size(F.array_intersect(a("grams"), b("grams")))
+        n, m = a("total"), b("total")
+        least = threshold * (n + m) - 1e-9
         # The least common count at which common / (n + m - common) reaches the threshold.
-        return F.when(F.least(n, m) >= threshold * F.greatest(n, m), common * (1 + threshold) >= threshold * (n + m) - 1e-9).otherwise(F.lit(False))
+        enough = lambda common: common * (1 + threshold) >= least
+        may = (F.least(n, m) >= threshold * F.greatest(n, m)) & enough(F.least(F.size(a("grams")), F.size(b("grams"))))
+        return F.when(may, enough(F.size(F.array_intersect(a("grams"), b("grams"))))).otherwise(F.lit(False))
 
     return of
 
 
+def held_by_several(known: DataFrame) -> DataFrame:
+    """item, grams, total of rows (item, grams, total): grams without those of one row alone, which are common to no pair."""
+    each = known.select("item", F.explode("grams").alias("gram"))
+    alone = each.groupBy("gram").agg(F.count("*").alias("n"), F.min("item").alias("item")).where("n = 1").groupBy("item").agg(F.collect_list("gram").alias("alone"))
+    return known.join(alone, "item", "left").select("item", F.when(F.col("alone").isNull(), F.col("grams")).otherwise(F.array_except("grams", "alone")).alias("grams"), "total")
+
+
+def reach(threshold: float) -> tuple[Column, Column, Column]:
+    """The total of a multiset, and the least and the greatest total of others that it can be alike to, given grams."""
+    n = F.col("total")
+    return n, n * threshold - 1e-6, F.size("grams") * (1 + threshold) / threshold - n + 1e-6
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, copy_of, class_id for every row. A threshold below SIMILARITY, for which the bands are made, is refused.
 
@@ -207,9 +222,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     def fetch(items: DataFrame) -> DataFrame:
         texts = docs.select(F.col("doc_id").alias("item"), "text")
-        return shingle_sets(only(texts, items, items.count()).groupBy("item").agg(F.max("text").alias("text")))
+        return shingle_sets(only(texts, items, items.count()).groupBy("item").agg(F.max("text").alias("text"))).withColumn("total", F.size("grams"))
 
-    labels = link(bands, near(NEAR_BITS), fetch, ["grams"], alike(threshold))
+    labels = link(bands, near(NEAR_BITS), fetch, ["grams", "total"], alike(threshold), ratio=threshold, reach=reach(threshold), narrow=held_by_several)
     named = labels.select(F.col("item"), F.col("label"))
     sizes = materialize(placed.groupBy("item").agg(F.count("*").alias("of_item")).join(named, "item"), "classes")
     return heavy_join(placed, sizes, "item", F.col("of_item"), max(1, rows)).select("doc_id", F.col("item").alias("copy_of"), F.coalesce("label", "item").alias("class_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import random
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -316,6 +317,27 @@ def test_a_family_with_links_that_miss_the_hub(spark):
     assert len(set(want.values())) > 2
 
 
+def test_texts_that_can_be_alike_to_none_leave_the_last_step(spark, monkeypatch):
+    """Of texts with a common passage, of which a quarter is in no other text, none is compared with blocks of the others."""
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(n)]
+    passage = words(90)
+    docs = {i: " ".join(passage + words(25)) for i in range(120)}
+    docs |= {200 + i: docs[i] + " end" for i in range(3)}
+    held = []
+
+    def watched(df, label, **options):
+        out = common.materialize(df, label, **options)
+        if label == "full":
+            held.extend(r["item"] for r in out.select("item").distinct().collect())
+        return out
+
+    monkeypatch.setattr(linking, "materialize", watched)
+    found = bagminhash.near_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == brute.near_classes(docs)
+    assert set(held) <= {0, 1, 2, 200, 201, 202}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5)]
     found = {r["item"]: r["label"] for r in linking.components(spark.createDataFrame(edges, "a long, b long")).collect()}
