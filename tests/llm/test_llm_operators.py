@@ -344,6 +344,44 @@ def test_components_of_a_path_and_a_star(spark):
     assert found == {i: 0 for i in range(41)} | {i: 1000 for i in range(1000, 1100)}
 
 
+def test_asking_items_go_to_blocks_in_groups(spark):
+    """Each item meets each block of its reach once, in far fewer rows than items times blocks."""
+    rows = [(7, 0, {0: 400}, 0, 0, i) for i in range(400)] + [(8, 1, {0: 3, 1: 5, 2: 4}, 1, 2, i) for i in range(5)]
+    members = spark.createDataFrame(rows, "key long, bin int, bins map<int, long>, least_bin int, greatest_bin int, item long")
+    asked = linking._asking(members, [], 32).collect()
+    met = [(r["key"], r["bin"], r["block"], x["item"]) for r in asked for x in r["asks"]]
+    assert sorted(met) == sorted([(7, 0, b, i) for b in range(13) for i in range(400)] + [(8, b, 0, i) for b in (1, 2) for i in range(5)])
+    assert len(asked) <= 13 * 50 + 2
+
+
+def test_inner_heavy_joins_make_rows_of_matches_alone(spark, monkeypatch):
+    """With a heavy key and light ones the rows equal a plain join, and no outer join keeps the rows without a match."""
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)
+    df = spark.createDataFrame([(i % 50 if i % 2 else 7, i) for i in range(3000)], "key long, item long")
+    values = spark.createDataFrame([(7, 1530), (8, 0), (9, 30), (99, 0)], "key long, n long")
+    monkeypatch.setattr(common, "HEAVY_SHARE", 4)
+    found = common.heavy_join(df, values, "key", F.col("n"), 3000, 10, "inner")
+    assert sorted(found.select("key", "item", "n").collect()) == sorted(df.join(values, "key").select("key", "item", "n").collect())
+    assert "LeftOuter" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_are_looked_over_in_passes(spark, monkeypatch):
+    """Each shared key is found by one pass."""
+    rows = spark.createDataFrame([(i, k) for i in range(40) for k in (i // 2 - 10, 100 + i)], "item long, key long")
+    seen = []
+
+    def watched(df, label, **options):
+        out = common.materialize(df, label, **options)
+        if label == "keys":
+            seen.append({r["key"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(linking, "materialize", watched)
+    members = linking.shared_members(rows).collect()
+    assert len(seen) == linking.KEY_PASSES and sorted(k for s in seen for k in s) == [*range(-10, 10)] and all(seen)
+    assert {(r["key"], r["item"], r["n"]) for r in members} == {(i // 2 - 10, i, 2) for i in range(40)}
+
+
 # ---- 8 ----
 
 
