@@ -149,3 +149,39 @@ def test_filter_never_forgets_and_seldom_invents():
     got = f.levels(hashes)
     assert (got >= true).all() and (got > true).mean() < 0.02
     assert (f.levels(rng.integers(1 << 63, size=40_000, dtype="u8") * np.uint64(2)) > 0).mean() < 0.02
+
+
+def test_a_joined_piece_is_cut_and_hashed_once(monkeypatch):
+    """Where the filter is joined, scoring a piece from its levels makes the tokens of each group of texts once."""
+    texts = pa.array(["one two three", None, "two three two", "", "zzz one", "three one two one"])
+    order, made = 2, []
+    monkeypatch.setattr(lm, "GROUP_BYTES", 20)
+    level = lambda hashes: (hashes % np.uint64(5)).astype("u1")
+    hashes = lm.distinct_grams([lm.Tokens(texts)], order)
+    levels = level(lm.distinct_grams([lm.Tokens(texts.slice(at, end - at)) for at, end in lm.groups(texts)], order))
+
+    class Counted(lm.Tokens):
+        def __init__(self, texts):
+            made.append(len(texts))
+            super().__init__(texts)
+
+    scorer = lm.Scorer(100, 10, tuple(np.zeros(0, k) for k in ("u8", "u8", "i8")), order, 64.0)
+    whole = pa.table(scorer.score(texts, lm.Looked(hashes, level(hashes))), scorer.NAMES)
+    monkeypatch.setattr(lm, "Tokens", Counted)
+    assert scorer.of_piece(texts, levels).combine_chunks().to_pylist() == whole.to_pylist()
+    assert sum(made) == len(texts) and len(made) > 1
+
+
+def test_settings_of_the_join_go_back(spark, hard):
+    before = {k: spark.conf.get(k, None) for k in lm.SMALL_BATCHES}
+    assert lm.lm_score(hard, max_filter_bytes=0).count() == hard.count()
+    assert {k: spark.conf.get(k, None) for k in lm.SMALL_BATCHES} == before
+
+
+def test_hashes_travel_in_order_and_packed():
+    rng = np.random.default_rng(3)
+    x = rng.integers(1 << 63, size=5000, dtype="u8") * np.uint64(2)
+    for some in (x, x[:1], x[:0], np.array([0, 1 << 63, (1 << 64) - 1], "u8")):
+        kept = lm.ascending([some, some[: len(some) // 2]])
+        assert kept.tolist() == sorted(set(some.tolist()))
+        assert lm.unpacked(lm.packed(kept)).tolist() == kept.tolist()
