@@ -13,6 +13,8 @@ from lodestone.streaming import files, store
 from lodestone.streaming import sessions as windows
 
 SHARDS, MOST, DELAY_S = 2, 5, 600
+#: Events that a batch takes from a large table.
+FILE_ROWS = 3_000_000
 
 
 def sql_sessions(source: str, shards: int = SHARDS, most: int = MOST, ttl_s: int = 3600, turns: int = 10, delay_s: int = DELAY_S) -> str:
@@ -31,10 +33,15 @@ SELECT shard, session, make_timestamp(s) AS start, make_timestamp(e) AS "end", n
 
 @query("stream_sessions", sql_sessions("events"))
 def stream_sessions(spark, sf_dir):
-    """Sessions that ended in stores of five, over the events as a stream: by idle time or pushed out."""
+    """Sessions that ended in stores of five, over the events as a stream: by idle time or pushed out. One batch takes all, or batches come in order of time, so none is late."""
     at = f"{ensure_checkpoint_dir(spark)}/stream-sessions-{uuid.uuid4().hex}"
-    found = store.ended_sessions(files.stream_table(spark, f"{sf_dir}/events.parquet"), "user_id", "event_id", "ts", SHARDS, MOST, delay=f"{DELAY_S} seconds")
-    files.drain(found, f"{at}/out", f"{at}/checkpoint", conf=files.ROCKSDB)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    if files.in_order(events, "ts", at, FILE_ROWS):
+        stream = files.stream_table(spark, f"{at}/in", events.schema, 1)
+    else:
+        stream = files.stream_table(spark, f"{sf_dir}/events.parquet")
+    found = store.ended_sessions(stream, "user_id", "event_id", "ts", SHARDS, MOST, delay=f"{DELAY_S} seconds", pack=True)
+    files.drain(found, f"{at}/out", f"{at}/checkpoint", conf=files.ROCKSDB | {"spark.sql.shuffle.partitions": str(store.partitions(spark, SHARDS))})
     return spark.read.parquet(f"{at}/out").withColumn("turns", F.array_join("turns", ","))
 
 

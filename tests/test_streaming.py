@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from lodestone.streaming import files, sessions, store
 
@@ -104,3 +106,58 @@ def test_waiting_accesses_are_kept_in_batches():
     mark.at = 10**7
     (out,) = kept.handleExpiredTimer((0,), mark, None)
     assert out["n"].tolist() == [5999] and kept.waiting.rows == []
+
+
+def test_sessions_by_columns_are_those_by_access():
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        most, ttl, users, n, turns = (int(rng.integers(*x)) for x in ((1, 6), (1, 60), (1, 12), (0, 120), (1, 5)))
+        rows = np.stack([rng.integers(0, 400, n), np.arange(n), rng.integers(0, users, n)], axis=1)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        held, out, before = {store.by_access: [], store.by_columns: []}, {store.by_access: [], store.by_columns: []}, -1
+        for mark in [*sorted(rng.integers(0, 401, 2).tolist()), int(rng.integers(390, 500))]:
+            for work in held:
+                live, found = work(held[work], rows[(rows[:, 0] > before) & (rows[:, 0] <= mark)], mark, most, ttl, turns)
+                held[work] = list(live.items())
+                out[work] += found.to_pylist()
+            before = mark
+        assert held[store.by_access] == held[store.by_columns]
+        assert sorted(map(str, out[store.by_access])) == sorted(map(str, out[store.by_columns]))
+
+
+def test_accesses_are_packed_and_added_to_the_list_at_once():
+    """The state store reads the whole list again for each value that is added, so a batch adds all its values in one call."""
+    at = pa.array([5, 9, 7, 8], pa.timestamp("us"))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 0, 1]), pa.array([2, 3, 4, 5]), pa.array([10, 11, 12, 13]), pa.array([5, 9, 7, 8]), at], ["shard", "session", "event", "at", "time"])
+    (rows,) = store.packed(iter([batch]))
+    assert [(r["shard"], np.frombuffer(r["accesses"], "i8").tolist()) for r in rows.to_pylist()] == [(0, [5, 10, 2, 7, 12, 4]), (1, [9, 11, 3, 8, 13, 5])]
+    assert rows.column(2).cast(pa.int64()).to_pylist() == [7, 9]
+    calls, timers = [], []
+
+    class Waiting:
+        appendValue = None
+        appendList = lambda self, rows: calls.append(list(rows))
+
+    class Handle:
+        listTimers = lambda self: iter(timers)
+        registerTimer = lambda self, x: timers.append(x)
+        deleteTimer = lambda self, x: timers.remove(x)
+
+    class Mark:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    kept = store.SessionStore(5, 1, 3)
+    kept.handle, kept.waiting = Handle(), Waiting()
+    assert list(kept.handleInputRows((0,), iter([rows.to_pandas()] * 3), Mark())) == []
+    assert len(calls) == 1 and len(calls[0]) == 6 and timers == [1]
+
+
+def test_a_large_table_comes_as_files_in_order_of_time(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id as event_id", "timestamp_micros((id * 37) % 100 * 1000000) as ts")
+    assert not files.in_order(rows, "ts", str(tmp_path / "small"), 100)
+    assert files.in_order(rows, "ts", str(tmp_path / "large"), 30)
+    held = sorted((tmp_path / "large" / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    parts = [[r["ts"] for r in spark.read.parquet(str(p)).collect()] for p in held]
+    assert len(parts) == 4 and sum(map(len, parts)) == 100 and all(max(a) < min(b) for a, b in zip(parts, parts[1:]))
+    places = [r[0] for r in spark.range(2).selectExpr(f"pmod(hash(id), {store.partitions(spark, 2)})").collect()]
+    assert len(set(places)) == 2
