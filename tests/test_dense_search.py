@@ -61,3 +61,26 @@ def test_few_scores_are_put_in_order(monkeypatch):
     assert sum(sizes) < 20 * 20
     score = np.round(q @ m.T, 6) + 0.0
     assert found == [(i, j, s) for i in range(20) for s, j in sorted(zip(score[i].tolist(), ids[1].tolist()), key=lambda x: (-x[0], x[1]))[:3]]
+
+
+def test_a_corpus_that_was_cut_once_serves_searches(spark):
+    """Cut and written before, a corpus gives the same rows; queries of a known number are not counted again."""
+    rows = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id")).alias("vector"), F.lit(1.0).alias("scale"))
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    plain = sorted(map(tuple, vectors.dense_topk(spark, rows, asked, 3).collect()))
+    held = vectors.cut(spark, rows)
+    assert "c_ids" in held.columns and len(plain) == 18
+    assert sorted(map(tuple, vectors.dense_topk(spark, held, asked, 3, most=6).collect())) == plain
+
+
+def test_useful_chunks_are_told_once(spark):
+    from lodestone.functions import rules
+    from lodestone.operators import retrieval
+
+    texts = [(i, "s", f"words of chunk {i} " * 60) for i in range(6)] + [(6, "s", rules.USELESS[0] + " and more"), (7, "s", None)]
+    corpus = spark.createDataFrame(texts, "chunk_id long, source string, text string")
+    scored = spark.range(8).select(F.lit(1).alias("query_id"), F.col("id").alias("chunk_id"), (F.col("id") * 1.0).alias("score"))
+    chunks = retrieval.useful(corpus)
+    assert chunks.columns == ["chunk_id", "source", "passage"] and chunks.agg(F.max(F.length("passage"))).first()[0] == 512
+    plain, told = retrieval.candidates(scored, corpus, 5, True), retrieval.candidates_of(scored, chunks.drop("passage"), 5, True)
+    assert plain.columns == told.columns and sorted(map(tuple, plain.collect())) == sorted(map(tuple, told.collect()))
